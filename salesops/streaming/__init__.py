@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+Every report is one synchronous batch query over the current tables; there is
+no event-time input, watermark, window or state to keep.  A caller that wants
+a report refreshed per micro-batch can run it from ``foreachBatch`` on the
+tables' change feed, but nothing here needs it.
+"""
