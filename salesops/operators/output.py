@@ -67,14 +67,15 @@ def category_rank(category: Column, order: Sequence[str]) -> Column:
 
 
 def unpivot_categories(df: DataFrame, keys: Sequence[str], categories: Sequence[str],
-                       measures: Sequence[str], column_of) -> DataFrame:
+                       measures: Sequence[str], column_of, cell_type: str = "decimal(38,9)") -> DataFrame:
     """Rows per category from one wide row: ``UNION ALL`` of the category
     branches computed by a single aggregate (``stack``).  ``column_of(category,
-    measure)`` names the wide column holding that cell."""
+    measure)`` names the wide column holding that cell; cells are cast to one
+    ``cell_type``."""
     n = len(categories)
     parts = []
     for cat in categories:
         parts.append(f"'{cat}'")
-        parts.extend(f"`{column_of(cat, m)}`" for m in measures)
+        parts.extend(f"CAST(`{column_of(cat, m)}` AS {cell_type})" for m in measures)
     expr = f"stack({n}, {', '.join(parts)}) AS (Category, {', '.join(measures)})"
     return df.select(*keys, F.expr(expr))

@@ -35,3 +35,33 @@ def register(name: str):
 def _report_funnel(t):
     """The funnel report for all business heads."""
     return R.report_funnel(t, None, CONFIG)
+
+
+@register("report_zero_order")
+def _report_zero_order(t):
+    """One zero-order customer per bd."""
+    return R.report_zero_order(t, None, CONFIG)
+
+
+@register("report_collection")
+def _report_collection(t):
+    """Collection report for all business heads."""
+    return R.report_collection(t, None, CONFIG)
+
+
+@register("report_debtors")
+def _report_debtors(t):
+    """Debtor report for all business heads."""
+    return R.report_debtors(t, None, CONFIG)
+
+
+@register("report_dashboard")
+def _report_dashboard(t):
+    """R2: dashboard, numbers and formatted text."""
+    return R.report_dashboard(t, None, CONFIG)
+
+
+@register("report_appointment")
+def _report_appointment(t):
+    """Appointments on 2024-01-17."""
+    return R.report_appointment(t, None, TODO_CONFIG)
