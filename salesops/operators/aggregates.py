@@ -200,11 +200,12 @@ def invoice_day_totals(sales_invoice: DataFrame) -> DataFrame:
 
 
 def customer_invoice_sums(sales_invoice: DataFrame, customers: DataFrame, as_of: DateLike,
-                          terms_col: str = "payment_terms_days") -> DataFrame:
+                          terms_col: str = "payment_terms_days", carry: Sequence[str] = ("account_manager",)) -> DataFrame:
     """Per eligible customer: total outstanding, overdue (posted on or before
     ``as_of - terms``), falling due tomorrow, and falling due within 1..7 days.
 
-    ``customers`` carries ``name`` and ``terms_col``.  Invoices are first summed
+    ``customers`` carries ``name``, ``terms_col`` and the ``carry`` columns
+    (passed through per customer).  Invoices are first summed
     per customer and day, so the join with customers sees at most one row per
     customer-day however many invoices a customer has.
     """
@@ -212,11 +213,11 @@ def customer_invoice_sums(sales_invoice: DataFrame, customers: DataFrame, as_of:
 
     a = as_date(as_of)
     days = invoice_day_totals(sales_invoice)
-    c = customers.select(F.col("name").alias("customer_id"), terms_col)
+    c = customers.select(F.col("name").alias("customer_id"), terms_col, *carry)
     j = days.join(c, F.col("customer") == F.col("customer_id"))
     pd, out, terms = F.col("posting_date"), F.col("day_outstanding"), F.col(terms_col)
     cut0, cut1, cut7 = due_cutoff(a, terms, 0), due_cutoff(a, terms, 1), due_cutoff(a, terms, 7)
-    return j.groupBy("customer_id").agg(
+    return j.groupBy("customer_id", *carry).agg(
         F.sum(out).alias("outstanding_amount"),
         _sum_when(pd <= cut0, out).alias("overdue_gross"),
         _sum_when(pd == cut1, out).alias("due_tomorrow_gross"),

@@ -40,16 +40,17 @@ def zero_if_no_overdue(overdue: Column, value: Column, keep_overdue: bool = Fals
     return F.when(overdue == 0, overdue if keep_overdue else F.lit(0)).otherwise(value)
 
 
-def receivable_pools(customer_sums: DataFrame, ledger: DataFrame, adjustments: DataFrame,
-                     unallocated: DataFrame, per_customer: bool = False) -> DataFrame:
-    """Overdue and net outstanding per account manager.
+def receivable_pools_stage1(customer_sums: DataFrame, ledger: DataFrame, adjustments: DataFrame,
+                            unallocated: DataFrame, per_customer: bool = False) -> DataFrame:
+    """Overdue, net overdue and net outstanding per pool.
 
     Customers with a positive ledger are grouped by manager **and** their three
     balances (ledger, journal, unallocated), as the collection report does:
     customers of one manager with equal balances form one pool whose ledger
     and adjustments count once.  ``per_customer=True`` groups by customer
     instead.  ``customer_sums`` carries customer_id, account_manager,
-    outstanding_amount and overdue_gross.
+    outstanding_amount and overdue_gross (already one row per customer, so
+    every join below is one-to-one on the party key).
     """
     j = (customer_sums
          .join(ledger.where(F.col("total_gl_amount") > 0), F.col("customer_id") == ledger["party"])
@@ -63,10 +64,16 @@ def receivable_pools(customer_sums: DataFrame, ledger: DataFrame, adjustments: D
                                  F.sum("outstanding_amount").alias("outstanding_amount"))
     gl, jv, pe = F.col("total_gl_amount"), F.col("total_jv_amount"), F.col("total_unallocated_amount")
     n = net_outstanding(gl, F.col("outstanding_amount"), jv, pe)
-    pools = pools.select("account_manager",
-                         overdue_amount(F.col("overdue_gross")).alias("overdue_amount"),
-                         net_overdue(F.col("overdue_gross"), jv, pe, n).alias("net_overdue"),
-                         n.alias("net_outstanding"))
+    return pools.select(*keys,
+                        overdue_amount(F.col("overdue_gross")).alias("overdue_amount"),
+                        net_overdue(F.col("overdue_gross"), jv, pe, n).alias("net_overdue"),
+                        n.alias("net_outstanding"))
+
+
+def receivable_pools(customer_sums: DataFrame, ledger: DataFrame, adjustments: DataFrame,
+                     unallocated: DataFrame, per_customer: bool = False) -> DataFrame:
+    """Overdue, net overdue and net outstanding summed per account manager."""
+    pools = receivable_pools_stage1(customer_sums, ledger, adjustments, unallocated, per_customer)
     return pools.groupBy("account_manager").agg(
         F.sum("overdue_amount").alias("overdue_amount"),
         F.sum("net_overdue").alias("net_overdue"),

@@ -127,7 +127,8 @@ def receivable_inputs(tables, config: Config) -> dict[str, DataFrame]:
     pt = A.payment_party_totals(t["payment_entry"], config.as_of if config.as_of else a)
     cust = A.eligible_customers(t["customer"], t["party_account"], config.excluded_accounts)
     cust = cust.withColumn("payment_terms_days", payment_terms_days("payment_terms"))
-    sums = A.customer_invoice_sums(t["sales_invoice"], cust, a)
+    sums = A.customer_invoice_sums(t["sales_invoice"], cust, a,
+                                   carry=("account_manager", "customer_name", "payment_type", "payment_terms_days"))
     return {
         "party_totals": pt,
         "eligible_customers": cust,
@@ -149,9 +150,8 @@ COLLECTION_COLUMNS = ["bushead", "slp", "team", "head", "head_name", "team_usern
 def manager_receivables(tables, config: Config, inputs: dict[str, DataFrame] | None = None) -> DataFrame:
     """Overdue, net overdue and net outstanding per account manager (pooled)."""
     r = inputs or receivable_inputs(tables, config)
-    sums = r["customer_sums"].join(
-        r["eligible_customers"].select(F.col("name").alias("customer_id"), "account_manager"), "customer_id")
-    return receivable_pools(sums, r["ledger"], r["adjustments"], r["unallocated"], config.per_customer_pools)
+    return receivable_pools(r["customer_sums"], r["ledger"], r["adjustments"], r["unallocated"],
+                            config.per_customer_pools)
 
 
 def report_collection(tables, user=None, config: Config = DEFAULT) -> DataFrame:
@@ -207,10 +207,10 @@ def customer_debt(tables, config: Config, inputs: dict[str, DataFrame] | None =
     limit: ledger, net outstanding, overdue and ageing buckets."""
     t = tables
     r = inputs or receivable_inputs(t, config)
-    cust = r["eligible_customers"].select(
-        F.col("name").alias("customer_id"), "customer_name", F.col("payment_type").alias("customer_payment_type"),
-        F.col("account_manager").alias("bd"), F.col("payment_terms_days").alias("payment_terms"))
-    j = (r["customer_sums"].join(cust, "customer_id")
+    j = (r["customer_sums"].select(
+        "customer_id", "customer_name", F.col("payment_type").alias("customer_payment_type"),
+        F.col("account_manager").alias("bd"), F.col("payment_terms_days").alias("payment_terms"),
+        "outstanding_amount", "overdue_gross", "due_tomorrow_gross", "due_week_gross")
          .join(r["ledger"].where(F.col("total_gl_amount") > 0), F.col("customer_id") == F.col("party")).drop("party")
          .join(r["adjustments"], F.col("customer_id") == F.col("party"), "left").drop("party")
          .join(r["unallocated"], F.col("customer_id") == F.col("party"), "left").drop("party"))
