@@ -160,7 +160,7 @@ def calendar_parts(d: DateLike) -> dict[str, Column]:
     return {
         "weekday": F.weekday(d),          # Monday = 0
         "dayofweek": F.dayofweek(d),      # Sunday = 1
-        "day": F.dayofmonth(d),
+        "dayofmonth": F.dayofmonth(d),
         "last_day": F.last_day(d),
         "month_start": F.trunc(d, "month"),
         "week": sunday_week(d),

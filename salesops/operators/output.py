@@ -52,7 +52,7 @@ def with_total_row(df: DataFrame, fields: Sequence[Field], label_column: str | N
         if t in NUMERIC_FIELDTYPES and t != "Percent":
             aggs.append(F.sum(F.coalesce(F.col(c), F.lit(0))).cast(dt).alias(c))
         elif t == "Percent":
-            aggs.append((F.sum(F.coalesce(F.col(c), F.lit(0))) / F.count(F.lit(1))).cast(dt).alias(c))
+            aggs.append((F.sum(F.coalesce(F.col(c), F.lit(0))) / F.count(F.lit(1))).alias(c))
         elif c == label_column and types.get(c, "Data") not in NUMERIC_FIELDTYPES:
             aggs.append(F.lit("Total").cast(dt).alias(c))
         else:

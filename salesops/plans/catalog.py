@@ -65,3 +65,6 @@ def _report_dashboard(t):
 def _report_appointment(t):
     """Appointments on 2024-01-17."""
     return R.report_appointment(t, None, TODO_CONFIG)
+
+
+from . import operator_queries  # noqa: E402,F401  (registers the operator queries)
