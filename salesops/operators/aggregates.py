@@ -125,9 +125,12 @@ def ledger_balance(gl_entry: DataFrame, journal_entry: DataFrame, ledger_start)
     start = ledger_start if isinstance(ledger_start, _dt.datetime) else _dt.datetime.combine(ledger_start, _dt.time())
     gl = gl_entry.where((F.col("creation") >= F.lit(start)) & F.col("against").isNotNull()
                         & F.col("party").isNotNull() & (F.col("party_type") == "Customer"))
-    unposted = journal_entry.where(F.col("docstatus") != 1).select(F.col("name").alias("__je"))
-    gl = gl.join(unposted, F.col("voucher_no") == F.col("__je"), "left_anti")
-    return gl.groupBy("party").agg(F.sum(F.col("debit") - F.col("credit")).alias("total_gl_amount"))
+    # one row per voucher and party before the anti join: a voucher with very
+    # many lines is collapsed map-side instead of skewing the join
+    per_voucher = gl.groupBy("voucher_no", "party").agg(F.sum(F.col("debit") - F.col("credit")).alias("amount"))
+    unposted = journal_entry.where(F.col("docstatus") != 1).select("name")
+    kept = anti_join(per_voucher, unposted, "voucher_no", "name")
+    return kept.groupBy("party").agg(F.sum("amount").alias("total_gl_amount"))
 
 
 def journal_adjustments(journal_entry: DataFrame, journal_entry_account: DataFrame,
@@ -137,8 +140,9 @@ def journal_adjustments(journal_entry: DataFrame, journal_entry_account: DataFra
     je = journal_entry.where(F.col("voucher_type").isin(list(voucher_types)) & (F.col("docstatus") == 1))
     lines = journal_entry_account.where((F.col("party_type") == "Customer") & F.col("party").isNotNull()
                                         & (F.col("docstatus") == 1) & F.col("reference_type").isNull())
-    lines = semi_join(lines, je, "parent", "name")
-    return lines.groupBy("party").agg(F.sum(F.col("credit") - F.col("debit")).alias("total_jv_amount"))
+    per_journal = lines.groupBy("parent", "party").agg(F.sum(F.col("credit") - F.col("debit")).alias("amount"))
+    per_journal = semi_join(per_journal, je, "parent", "name")
+    return per_journal.groupBy("party").agg(F.sum("amount").alias("total_jv_amount"))
 
 
 def payment_party_totals(payment_entry: DataFrame, as_of: DateLike) -> DataFrame:

@@ -19,16 +19,37 @@ def anti_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     """``LEFT JOIN right ON right.k = left.k WHERE right.k IS NULL`` as a real anti join.
 
     A NULL ``left_key`` matches nothing, so the row stays, as in the SQL form.
+    The right side is reduced to its distinct keys first (a partial
+    aggregation), so a key holding a large share of ``right`` becomes one row
+    before the shuffle: the build side of an anti join cannot be split by
+    adaptive skew handling, so it must not carry the skew.
     """
-    r = right.select(F.col(right_key).alias("__anti_k")).where(F.col("__anti_k").isNotNull())
+    r = right.select(F.col(right_key).alias("__anti_k")).where(F.col("__anti_k").isNotNull()).distinct()
     return left.join(r, F.col(left_key) == F.col("__anti_k"), "left_anti")
 
 
 def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
-    r = right.select(F.col(right_key).alias("__semi_k"))
+    """``left`` rows with a matching key in ``right`` (right reduced to distinct keys)."""
+    r = right.select(F.col(right_key).alias("__semi_k")).where(F.col("__semi_k").isNotNull()).distinct()
     return left.join(r, F.col(left_key) == F.col("__semi_k"), "left_semi")
 
 
+def left_join_small_to_large(small: DataFrame, large: DataFrame, small_key: Column, large_key: Column) -> DataFrame:
+    """``small LEFT JOIN large`` for a small preserved side and a large,
+    possibly skewed other side.
+
+    In a left outer join adaptive execution can neither broadcast the
+    preserved side nor split skew on the other one, so a hot key of ``large``
+    would land in one task.  Written instead as the inner join (either side
+    may be broadcast or split) plus the ``small`` rows without a match, found
+    against the distinct keys of ``large``.  Same rows as the left join.
+    """
+    inner = small.join(large, small_key == large_key, "inner")
+    keys = large.select(large_key.alias("__lj_k")).where(F.col("__lj_k").isNotNull()).distinct()
+    unmatched = small.join(keys, small_key == F.col("__lj_k"), "left_anti")
+    return inner.unionByName(unmatched, allowMissingColumns=True)
+
+
 def not_in_subquery(df: DataFrame, column: str, values: DataFrame, value_column: str) -> DataFrame:
     """``df.column NOT IN (SELECT value_column FROM values)`` with SQL semantics.
 

@@ -20,7 +20,7 @@ from ..functions.dates import as_date, day_offset, last_days, same_month, same_q
 from ..functions.numeric import flag_yn, format_amount, payment_terms_days, per_lakh, times
 from ..operators import aggregates as A
 from ..operators.filters import open_recent_todos, visible_to
-from ..operators.joins import ci_key, disjunctive_left_join
+from ..operators.joins import ci_key, disjunctive_left_join, left_join_small_to_large
 from ..operators.metrics import (appointment_type, collection_targets, day_buckets, net_outstanding, net_overdue,
                                  overdue_amount, receivable_pools, todo_label, zero_if_no_overdue)
 from ..operators.output import category_rank, unpivot_categories
@@ -110,9 +110,14 @@ def report_zero_order(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     t, a = tables, as_date(config.as_of)
     zo = A.zero_order_customers(t["lead"], t["opportunity"], t["customer"], t["sales_order"],
                                 config.product_line, a, excluded_contacts=config.excluded_contacts)
-    zo = zo.select("bd", "customer_id", "customer_name", "payment_type", "days_since_last_onboarding").distinct()
+    zo = zo.select("bd", "customer_id", "customer_name", "payment_type", "days_since_last_onboarding")
+    # pick the customer per bd before joining the spine: a bd with a huge
+    # customer list is reduced map-side (partial WindowGroupLimit) and the
+    # spine join becomes one-to-one
+    first = [F.col("days_since_last_onboarding").desc_nulls_last(), F.col("customer_id").asc_nulls_first()]
+    zo = pick_one(zo, ["bd"], first + [F.col("customer_name").asc_nulls_first(), F.col("payment_type").asc_nulls_first()])
     j = visible_spine(t, user).join(zo, "bd", "left")
-    j = per_bd(j, F.col("days_since_last_onboarding").desc_nulls_last(), F.col("customer_id").asc_nulls_first())
+    j = per_bd(j, *first)
     out = j.select(F.col("custom_team").alias("team"), F.col("team_user_name").alias("team_username"),
                    "zonal_head_sales_person", "zonal_head", "customer_id", "customer_name", "payment_type",
                    "days_since_last_onboarding")
@@ -350,12 +355,13 @@ def report_appointment(tables, user=None, config: Config = DEFAULT) -> DataFrame
     todos = todo_buckets(t, as_of)
     counts = A.open_todo_count(t["todo"], as_of)
     sp = visible_spine(t, user, config.excluded_sales_persons)
-    j = sp.join(todos, ci_key(todos["owner"]) == ci_key(sp["bd"]), "left").drop("owner")
+    # spine LEFT JOIN todos, written so a bd owning a large share of todos
+    # can be split or the spine broadcast (see left_join_small_to_large)
+    j = left_join_small_to_large(sp, todos, ci_key(sp["bd"]), ci_key(todos["owner"])).drop("owner")
     j = j.join(counts, j["bd"] == counts["owner"], "left")
     out = j.select(F.col("custom_team").alias("Team"), F.col("team_user_name").alias("BD"),
                    F.col("zonal_head_sales_person").alias("Zonal_head"), "Todo_ID",
-                   F.when(F.col("Todo_ID").isNull() & F.col("reference_type").isNull(), F.lit("Task"))
-                   .otherwise(appointment_type(F.col("reference_type"))).alias("Appointment_type"),
+                   appointment_type(F.col("reference_type")).alias("Appointment_type"),
                    F.col("reference_type").alias("Reference_Type"), "Yesterday", "Today", "Tomorrow", "Week",
                    F.coalesce(F.col("Count_Status_Open"), F.lit(0)).alias("Count_Status_Open"))
     return out.distinct().orderBy(F.col("Team").asc_nulls_first(), F.col("BD").asc_nulls_first())
