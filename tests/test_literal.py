@@ -1,0 +1,16 @@
+"""The literal SQL on Spark returns the oracle's rows (so the bench yardstick is the same query)."""
+
+import pytest
+
+import __spark_entry__ as E
+from salesops.plans.compare import compare
+from salesops.plans.literal import literal_query
+
+from .conftest import SF_SMALL
+
+
+@pytest.mark.parametrize("name", ["report_funnel", "report_zero_order", "report_collection", "report_debtors",
+                                  "report_dashboard", "report_appointment"])
+def test_literal_spark_sql_matches_oracle(spark, stored, name):
+    res = compare(literal_query(spark, stored, name), E.oracle_sql()[name], SF_SMALL)
+    assert res["schema_match"] and res["value_match"], res
