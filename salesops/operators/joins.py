@@ -55,38 +55,68 @@ def not_in_subquery(df: DataFrame, column: str, values: DataFrame, value_column:
 
     The row stays when the list is empty; otherwise only when ``column`` is not
     NULL, the list holds no NULL and no list value equals it.  The two list
-    facts come from one scalar subquery; the membership test is an ordinary
-    anti join, so the list may be of any size (no broadcast-only null-aware
-    join is needed).
+    facts (size, NULL count) come from one scalar subquery and appear only in
+    predicates that name no column of ``df``, so the optimizer cannot copy
+    them through later joins; membership is an ordinary anti join against the
+    distinct list values, so the list may be of any size (no broadcast-only
+    null-aware join is needed).
     """
     v = values.select(F.col(value_column).alias("__nin_v"))
     facts = v.select(F.struct(F.count(F.lit(1)).alias("n"),
                               F.count_if(F.col("__nin_v").isNull()).alias("nulls")).alias("s")).scalar()
     c = F.col(column)
-    kept = df.where((facts.getField("n") == 0) | ((facts.getField("nulls") == 0) & c.isNotNull()))
-    return kept.join(v.where(F.col("__nin_v").isNotNull()), c == F.col("__nin_v"), "left_anti")
+    listed = v.where(F.col("__nin_v").isNotNull()).distinct()
+    present = (df.where(c.isNotNull()).join(listed, c == F.col("__nin_v"), "left_anti")
+               .where(facts.getField("nulls") == 0))
+    absent = df.where(c.isNull()).where(facts.getField("n") == 0)
+    return present.unionByName(absent)
 
 
-def disjunctive_left_join(rows: DataFrame, key_cols: Sequence[str], target: DataFrame, target_key: str,
-                          target_cols: Sequence[str], prefix: str) -> DataFrame:
-    """``rows LEFT JOIN target ON target.key = k1 OR target.key = k2 ...``.
+def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Sequence[tuple]) -> DataFrame:
+    """``rows LEFT JOIN t1 ON t1.key = k1 OR t1.key = k2 ... LEFT JOIN t2 ON ...``.
 
     A disjunctive condition has no equi-join key and plans as a nested-loop
-    join.  Instead: take the distinct key tuples of ``rows``, explode each into
-    its distinct non-NULL keys, equi-join the target on the key, and left-join
-    the matches back on the tuple (NULL-safe).  A row gets one output row per
-    matching target row, or one NULL row, exactly as the OR join does.
-    Target columns come out as ``{prefix}{col}``.
+    join.  Instead the work is done once on the distinct key tuples of
+    ``rows``: each tuple is exploded into its distinct non-NULL keys, matched
+    against all targets in one equi-join (the targets are stacked into one
+    directory), the matches of each target are gathered per tuple and
+    expanded into their product, and the result is joined back to ``rows``
+    once (NULL-safe).  A row gets one output row per combination of matching
+    target rows, a target without a match contributing one NULL, exactly as
+    the chained OR joins do.  The per-tuple lists hold the target rows named
+    by one of the tuple's keys (one per target when names are keys).
+
+    ``targets``: ``(df, key_column, columns, prefix)``; target columns come
+    out as ``{prefix}{column}``; ``key_cols`` of ``rows`` may be NULL.
     """
     keys = list(key_cols)
     tup = [f"__dj{i}" for i in range(len(keys))]
-    pairs = rows.select(*[F.col(k).alias(t) for k, t in zip(keys, tup)]).distinct()
-    exploded = pairs.select(*tup, F.explode(F.array_distinct(F.array(*tup))).alias("__dj_k")).where(
+    tuples = rows.select(*[F.col(k).alias(t) for k, t in zip(keys, tup)]).distinct()
+    exploded = tuples.select(*tup, F.explode(F.array_distinct(F.array(*tup))).alias("__dj_k")).where(
         F.col("__dj_k").isNotNull())
-    tgt = target.select(F.col(target_key).alias("__dj_k"), *[F.col(c).alias(prefix + c) for c in target_cols])
-    matches = exploded.join(tgt, "__dj_k").drop("__dj_k")
-    cond = [F.col(k).eqNullSafe(matches[t]) for k, t in zip(keys, tup)]
-    return rows.join(matches, cond, "left").drop(*tup)
+    directory = None
+    for i, (tdf, tkey, tcols, prefix) in enumerate(targets):
+        part = tdf.select(F.col(tkey).alias("__dj_k"), F.lit(i).alias("__dj_t"),
+                          *[F.col(c).alias(prefix + c) for c in tcols])
+        directory = part if directory is None else directory.unionByName(part, allowMissingColumns=True)
+    matched = exploded.join(directory, "__dj_k")
+    lists = []
+    for i, (_, _, tcols, prefix) in enumerate(targets):
+        item = F.struct(*[F.col(prefix + c).alias(prefix + c) for c in tcols])
+        lists.append(F.collect_list(F.when(F.col("__dj_t") == i, item)).alias(f"__dj_l{i}"))
+    per_tuple = matched.groupBy(*tup).agg(*lists)
+    for i, (_, _, tcols, prefix) in enumerate(targets):
+        per_tuple = per_tuple.select("*", F.explode_outer(f"__dj_l{i}").alias(f"__dj_e{i}")).select(
+            *[c for c in per_tuple.columns if c != f"__dj_l{i}"],
+            *[F.col(f"__dj_e{i}").getField(prefix + c).alias(prefix + c) for c in tcols])
+    cond = [F.col(k).eqNullSafe(per_tuple[t]) for k, t in zip(keys, tup)]
+    return rows.join(per_tuple, cond, "left").drop(*tup)
+
+
+def disjunctive_left_join(rows: DataFrame, key_cols: Sequence[str], target: DataFrame, target_key: str,
+                          target_cols: Sequence[str], prefix: str) -> DataFrame:
+    """``rows LEFT JOIN target ON target.key = k1 OR target.key = k2 ...`` (one target)."""
+    return disjunctive_left_joins(rows, key_cols, [(target, target_key, target_cols, prefix)])
 
 
 def ci_key(c: Column | str) -> Column:

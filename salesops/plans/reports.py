@@ -20,7 +20,7 @@ from ..functions.dates import as_date, day_offset, last_days, same_month, same_q
 from ..functions.numeric import flag_yn, format_amount, payment_terms_days, per_lakh, times
 from ..operators import aggregates as A
 from ..operators.filters import open_recent_todos, visible_to
-from ..operators.joins import ci_key, disjunctive_left_join, left_join_small_to_large
+from ..operators.joins import ci_key, disjunctive_left_joins, left_join_small_to_large
 from ..operators.metrics import (appointment_type, collection_targets, day_buckets, net_outstanding, net_overdue,
                                  overdue_amount, receivable_pools, todo_label, zero_if_no_overdue)
 from ..operators.output import category_rank, unpivot_categories
@@ -333,11 +333,11 @@ def todo_rows(tables, as_of) -> DataFrame:
     ep = t["event_participants"].where(F.col("idx") == 1).select(
         F.col("parent").alias("ep_parent"), F.col("reference_docname").alias("ep_reference_docname"))
     rows = td.join(ep, td["reference_name"] == ep["ep_parent"], "left")
-    keys = ["reference_name", "ep_reference_docname"]
-    rows = disjunctive_left_join(rows, keys, t["customer"], "name", ["name", "customer_name"], "tc_")
-    rows = disjunctive_left_join(rows, keys, t["lead"], "name", ["name", "company_name"], "tl_")
-    rows = disjunctive_left_join(rows, keys, t["opportunity"], "name", ["name", "customer_name"], "tpo_")
-    return rows
+    return disjunctive_left_joins(rows, ["reference_name", "ep_reference_docname"], [
+        (t["customer"], "name", ["name", "customer_name"], "tc_"),
+        (t["lead"], "name", ["name", "company_name"], "tl_"),
+        (t["opportunity"], "name", ["name", "customer_name"], "tpo_"),
+    ])
 
 
 def todo_buckets(tables, as_of) -> DataFrame:
