@@ -122,8 +122,10 @@ def ledger_balance(gl_entry: DataFrame, journal_entry: DataFrame, ledger_start)
     after ``ledger_start`` with a counter-account, excluding entries whose
     voucher is a journal that is not submitted.  GL ``name`` is the key, so the
     reports' ``name NOT IN (...)`` over a second GL scan is this anti join."""
-    start = ledger_start if isinstance(ledger_start, _dt.datetime) else _dt.datetime.combine(ledger_start, _dt.time())
-    gl = gl_entry.where((F.col("creation") >= F.lit(start)) & F.col("against").isNotNull()
+    # the cut-off is wall-clock time in the session's time zone, like the stored
+    # timestamps (a Python datetime literal would be read in the driver's zone)
+    start = F.lit(str(ledger_start)).cast("timestamp")
+    gl = gl_entry.where((F.col("creation") >= start) & F.col("against").isNotNull()
                         & F.col("party").isNotNull() & (F.col("party_type") == "Customer"))
     # one row per voucher and party before the anti join: a voucher with very
     # many lines is collapsed map-side instead of skewing the join

@@ -43,9 +43,10 @@ def with_status(df: DataFrame, status: str, column: str = "status") -> DataFrame
 
 
 def on_or_after(df: DataFrame, column: str, start) -> DataFrame:
-    """``column >= start``; a typed literal so the predicate reaches the scan."""
+    """``column >= start``; a typed literal (read in the session time zone for
+    timestamps) so the predicate reaches the scan."""
     c = F.col(column)
-    return df.where(c >= F.lit(start).cast(df.schema[column].dataType))
+    return df.where(c >= F.lit(str(start)).cast(df.schema[column].dataType))
 
 
 def open_recent_todos(todo: DataFrame, as_of: DateLike, months: int = 2) -> DataFrame:

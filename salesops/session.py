@@ -21,6 +21,10 @@ LOCAL_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.shuffle.partitions": "8",
     "spark.driver.memory": "8g",
+    # PySpark records the Python call site of every Column it builds (for
+    # error messages); that doubles the driver's JVM round trips while a
+    # report's plan is built.  Plans are unchanged.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

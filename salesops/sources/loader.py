@@ -134,12 +134,15 @@ def write_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet
         tables[name].write.mode(mode).format(fmt).save(os.path.join(path, f"{name}.{fmt}"))
 
 
-_FIXTURE_CACHE: dict[tuple[int, str], Tables] = {}
+_FIXTURE_CACHE: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
 
 
 def cached_fixture_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    """``fixture_tables`` memoised per session and folder (plans only, no data)."""
-    key = (id(spark._jsparkSession), os.path.abspath(sf_dir))
-    if key not in _FIXTURE_CACHE:
-        _FIXTURE_CACHE[key] = fixture_tables(spark, sf_dir)
-    return _FIXTURE_CACHE[key]
+    """``fixture_tables`` memoised per session and folder (plans only, no data).
+    The entry keeps its session, so an id can never be reused by another one."""
+    key = (id(spark), os.path.abspath(sf_dir))
+    hit = _FIXTURE_CACHE.get(key)
+    if hit is None or hit[0] is not spark:
+        hit = (spark, fixture_tables(spark, sf_dir))
+        _FIXTURE_CACHE[key] = hit
+    return hit[1]
