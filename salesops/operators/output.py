@@ -40,25 +40,32 @@ def columns_of(df: DataFrame) -> list[dict]:
 def with_total_row(df: DataFrame, fields: Sequence[Field], label_column: str | None = None,
                    flag: str = "is_total") -> DataFrame:
     """Append the total row a report viewer adds: numeric field types summed
-    (NULL counts 0), ``Percent`` averaged over all rows, the first column
-    labelled ``Total`` when it is text, other columns empty.  ``flag`` marks
-    the total row so it can be ordered last."""
+    (NULL counts 0), ``Percent`` averaged over all rows, the label column set
+    to ``Total`` when it is text, other columns empty; ``flag`` marks it.
+
+    One aggregation over ``GROUPING SETS ((all columns), ())``: the detail
+    set returns each (distinct) report row, the empty set the total, so the
+    report is computed once rather than once per branch of a union.
+    """
     types = {f.name: f.fieldtype for f in fields}
     label_column = label_column or df.columns[0]
-    aggs: list[Column] = []
-    for c in df.columns:
-        t = types.get(c, "Data")
-        dt = df.schema[c].dataType
-        if t in NUMERIC_FIELDTYPES and t != "Percent":
-            aggs.append(F.sum(F.coalesce(F.col(c), F.lit(0))).cast(dt).alias(c))
-        elif t == "Percent":
-            aggs.append((F.sum(F.coalesce(F.col(c), F.lit(0))) / F.count(F.lit(1))).alias(c))
-        elif c == label_column and types.get(c, "Data") not in NUMERIC_FIELDTYPES:
-            aggs.append(F.lit("Total").cast(dt).alias(c))
+    cols = df.columns
+    numeric = [c for c in cols if types.get(c) in NUMERIC_FIELDTYPES]
+    aggs = [F.grouping_id().alias("__gid"), F.count(F.lit(1)).alias("__n")]
+    aggs += [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"__sum{i}") for i, c in enumerate(numeric)]
+    g = df.groupingSets([cols, []], *cols).agg(*aggs)
+    total = F.col("__gid") != 0
+    out: list[Column] = []
+    for c in cols:
+        if c in numeric:
+            s = F.col(f"__sum{numeric.index(c)}")
+            value = s / F.col("__n") if types[c] == "Percent" else s
+            out.append(F.when(total, value).otherwise(F.col(c)).alias(c))
+        elif c == label_column:
+            out.append(F.when(total, F.lit("Total")).otherwise(F.col(c)).alias(c))
         else:
-            aggs.append(F.lit(None).cast(dt).alias(c))
-    total = df.agg(*aggs).withColumn(flag, F.lit(True))
-    return df.withColumn(flag, F.lit(False)).unionByName(total)
+            out.append(F.col(c))
+    return g.select(*out, total.alias(flag))
 
 
 def category_rank(category: Column, order: Sequence[str]) -> Column:
