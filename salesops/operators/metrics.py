@@ -181,3 +181,57 @@ def team_or_others(team: Column) -> Column:
 def open_posting_date(status: Column, posting_date: Column, closed: Sequence[str] = ("Cancelled", "Paid")) -> Column:
     """Posting date of invoices that are not cancelled or paid (NULL otherwise)."""
     return F.when(~status.isin(list(closed)), posting_date)
+
+
+def manager_metrics(party_totals: DataFrame, customer_sums: DataFrame, ledger: DataFrame, adjustments: DataFrame,
+                    customer: DataFrame, per_customer: bool = False) -> DataFrame:
+    """Collections and pooled receivables per account manager in one pass.
+
+    The collection report needs, per manager, (a) collections of payers and
+    (b) the pooled overdue / net outstanding of eligible customers.  Both come
+    from party-keyed aggregates, so they are full-outer-joined on the party
+    (all inputs are already one row per party and hash-partitioned on it) and
+    reduced by one aggregation over ``GROUPING SETS ((manager), (manager,
+    unallocated, journal, ledger))``: the first set sums collections of rows
+    with a submitted payment, the second forms the pools of eligible
+    customers with a positive ledger.  A last aggregation per manager
+    combines them.  Every input, payments included, is read once.
+
+    Same result as ``collections_by_manager`` + ``receivable_pools``.
+    """
+    pt = party_totals
+    es = customer_sums.select(F.col("customer_id").alias("__e"), F.col("account_manager").alias("__em"),
+                              "outstanding_amount", "overdue_gross")
+    u = pt.join(es, pt["party"] == es["__e"], "full")
+    u = u.select(F.coalesce(F.col("party"), F.col("__e")).alias("__p"), "__e", "__em", "n_collections",
+                 "yesterday_collection", "week_collection", "month_collection", "total_unallocated_amount",
+                 "outstanding_amount", "overdue_gross")
+    c = customer.select(F.col("name").alias("__c"), F.col("account_manager").alias("__cm"))
+    u = (u.join(c, F.col("__p") == F.col("__c"), "left")
+          .join(ledger, F.col("__p") == ledger["party"], "left").drop("party")
+          .join(adjustments, F.col("__p") == adjustments["party"], "left").drop("party"))
+    u = u.withColumn("account_manager", F.coalesce(F.col("__em"), F.col("__cm")))
+    payer = F.col("n_collections") > 0
+    member = F.col("__e").isNotNull() & (F.col("total_gl_amount") > 0)
+    pool_keys = ["account_manager", "total_unallocated_amount", "total_jv_amount", "total_gl_amount"]
+    if per_customer:
+        pool_keys.append("__e")
+    g = u.groupingSets([["account_manager"], pool_keys], *pool_keys).agg(
+        F.grouping_id().alias("__gid"),
+        F.sum(F.when(payer, F.col("yesterday_collection"))).alias("amount"),
+        F.sum(F.when(payer, F.col("week_collection"))).alias("week_collection"),
+        F.sum(F.when(payer, F.col("month_collection"))).alias("month_collection"),
+        F.count_if(member).alias("__members"),
+        F.sum(F.when(member, F.col("overdue_gross"))).alias("__over"),
+        F.sum(F.when(member, F.col("outstanding_amount"))).alias("__out"))
+    is_pool = (F.col("__gid") == 0) & (F.col("__members") > 0)
+    is_coll = F.col("__gid") != 0
+    gl, jv, pe = F.col("total_gl_amount"), F.col("total_jv_amount"), F.col("total_unallocated_amount")
+    n = net_outstanding(gl, F.col("__out"), jv, pe)
+    return g.groupBy("account_manager").agg(
+        F.sum(F.when(is_coll, F.col("amount"))).alias("amount"),
+        F.sum(F.when(is_coll, F.col("week_collection"))).alias("week_collection"),
+        F.sum(F.when(is_coll, F.col("month_collection"))).alias("month_collection"),
+        F.sum(F.when(is_pool, overdue_amount(F.col("__over")))).alias("overdue_amount"),
+        F.sum(F.when(is_pool, net_overdue(F.col("__over"), jv, pe, n))).alias("net_overdue"),
+        F.sum(F.when(is_pool, n)).alias("net_outstanding_amount"))

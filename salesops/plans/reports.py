@@ -21,8 +21,8 @@ from ..functions.numeric import flag_yn, format_amount, payment_terms_days, per_
 from ..operators import aggregates as A
 from ..operators.filters import open_recent_todos, visible_to
 from ..operators.joins import ci_key, disjunctive_left_joins, left_join_small_to_large
-from ..operators.metrics import (appointment_type, collection_targets, day_buckets, net_outstanding, net_overdue,
-                                 overdue_amount, receivable_pools, todo_label, zero_if_no_overdue)
+from ..operators.metrics import (appointment_type, collection_targets, day_buckets, manager_metrics, net_outstanding,
+                                 net_overdue, overdue_amount, receivable_pools, todo_label, zero_if_no_overdue)
 from ..operators.output import category_rank, unpivot_categories
 from ..operators.star import Child, star_max
 from ..operators.windows import latest_per_group, one_row_per_key, pick_one
@@ -164,11 +164,10 @@ def report_collection(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     day / week-to-date / month-to-date targets (crore) with attainment."""
     t, a = tables, as_date(config.as_of)
     r = receivable_inputs(t, config)
-    coll = A.collections_by_manager(r["party_totals"], t["customer"])
-    recv = manager_receivables(t, config, r)
+    mgr = manager_metrics(r["party_totals"], r["customer_sums"], r["ledger"], r["adjustments"], t["customer"],
+                          config.per_customer_pools)
     j = visible_spine(t, user)
-    j = j.join(coll, j["bd"] == coll["account_manager"], "left").drop("account_manager")
-    j = j.join(recv, j["bd"] == recv["account_manager"], "left").drop("account_manager")
+    j = j.join(mgr, j["bd"] == mgr["account_manager"], "left").drop("account_manager")
     j = per_bd(j)
     m = collection_targets(j, a, config.unit_price, config.fix_lwd_att)
     overdue = zero_if_no_overdue(F.col("overdue_amount"), F.col("net_overdue"), keep_overdue=True)

@@ -160,3 +160,23 @@ def test_net_overdue_null_and_cap(spark):
     n = M.net_outstanding(F.col("gl"), F.lit(None), F.col("jv"), F.col("pe"))
     got = [r.x for r in df.select(M.net_overdue(F.col("g"), F.col("jv"), F.col("pe"), n).alias("x")).collect()]
     assert got[0] is None and float(got[1]) == 50.0 and float(got[2]) == 5.0
+
+
+def test_manager_metrics_equals_separate_operators(spark, fixtures):
+    from salesops.plans import reports as R
+    from salesops.plans.params import CONFIG
+    r = R.receivable_inputs(fixtures, CONFIG)
+
+    def rows(df):
+        cols = sorted(df.columns)
+        return sorted((tuple(None if v is None else float(v) if not isinstance(v, str) else v for v in x)
+                       for x in df.select(cols).collect()), key=str)
+
+    for per_customer in (False, True):
+        single = M.manager_metrics(r["party_totals"], r["customer_sums"], r["ledger"], r["adjustments"],
+                                   fixtures["customer"], per_customer)
+        coll = A.collections_by_manager(r["party_totals"], fixtures["customer"])
+        pools = M.receivable_pools(r["customer_sums"], r["ledger"], r["adjustments"], r["unallocated"], per_customer)
+        both = coll.join(pools, "account_manager", "full")
+        keep = single.where(F.col("amount").isNotNull() | F.col("net_outstanding_amount").isNotNull())
+        assert rows(keep) == rows(both)
