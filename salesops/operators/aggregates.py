@@ -200,20 +200,28 @@ def eligible_customers(customer: DataFrame, party_account: DataFrame, accounts:
 
 
 def invoice_day_totals(sales_invoice: DataFrame) -> DataFrame:
-    """Submitted invoices reduced to one row per customer and posting date."""
-    return submitted(sales_invoice).groupBy("customer", "posting_date").agg(
-        F.sum("outstanding_amount").alias("day_outstanding"))
+    """Invoices reduced to one row per customer and posting date: the
+    submitted invoices' outstanding and count, and the day's latest invoice
+    (by posting time, then name) with its shipping address."""
+    submitted_ = F.col("docstatus") == 1
+    return sales_invoice.groupBy("customer", "posting_date").agg(
+        F.sum(F.when(submitted_, F.col("outstanding_amount"))).alias("day_outstanding"),
+        F.count_if(submitted_).alias("day_submitted"),
+        F.max(F.struct("posting_time", "name", "shipping_address_name")).alias("day_latest"))
 
 
 def customer_invoice_sums(sales_invoice: DataFrame, customers: DataFrame, as_of: DateLike,
                           terms_col: str = "payment_terms_days", carry: Sequence[str] = ("account_manager",)) -> DataFrame:
-    """Per eligible customer: total outstanding, overdue (posted on or before
-    ``as_of - terms``), falling due tomorrow, and falling due within 1..7 days.
+    """Per eligible customer with a submitted invoice: total outstanding,
+    overdue (posted on or before ``as_of - terms``), falling due tomorrow,
+    falling due within 1..7 days, and the shipping address of its latest
+    invoice of any state (``latest_address``).
 
     ``customers`` carries ``name``, ``terms_col`` and the ``carry`` columns
-    (passed through per customer).  Invoices are first summed
-    per customer and day, so the join with customers sees at most one row per
-    customer-day however many invoices a customer has.
+    (passed through per customer).  Invoices are first reduced per customer
+    and day, so the join with customers sees at most one row per
+    customer-day however many invoices a customer has, and the invoice table
+    is read once for both the sums and the latest invoice.
     """
     from ..functions.numeric import due_cutoff
 
@@ -222,13 +230,22 @@ def customer_invoice_sums(sales_invoice: DataFrame, customers: DataFrame, as_of:
     c = customers.select(F.col("name").alias("customer_id"), terms_col, *carry)
     j = days.join(c, F.col("customer") == F.col("customer_id"))
     pd, out, terms = F.col("posting_date"), F.col("day_outstanding"), F.col(terms_col)
+    sub = F.col("day_submitted") > 0
     cut0, cut1, cut7 = due_cutoff(a, terms, 0), due_cutoff(a, terms, 1), due_cutoff(a, terms, 7)
-    return j.groupBy("customer_id", *carry).agg(
+
+    def gross(cond: Column) -> Column:
+        return F.sum(F.when(sub, F.when(cond, out).otherwise(F.lit(0))))
+
+    g = j.groupBy("customer_id", *carry).agg(
+        F.sum("day_submitted").alias("__submitted"),
         F.sum(out).alias("outstanding_amount"),
-        _sum_when(pd <= cut0, out).alias("overdue_gross"),
-        _sum_when(pd == cut1, out).alias("due_tomorrow_gross"),
-        _sum_when(pd.between(cut1, cut7), out).alias("due_week_gross"),
-    )
+        gross(pd <= cut0).alias("overdue_gross"),
+        gross(pd == cut1).alias("due_tomorrow_gross"),
+        gross(pd.between(cut1, cut7)).alias("due_week_gross"),
+        F.max(F.struct(pd.alias("posting_date"), F.col("day_latest").alias("latest"))).alias("__latest"))
+    return g.where(F.col("__submitted") > 0).select(
+        "customer_id", *carry, "outstanding_amount", "overdue_gross", "due_tomorrow_gross", "due_week_gross",
+        F.col("__latest.latest.shipping_address_name").alias("latest_address"))
 
 
 def customers_per_manager(customer: DataFrame) -> DataFrame:

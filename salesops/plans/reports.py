@@ -214,14 +214,14 @@ def customer_debt(tables, config: Config, inputs: dict[str, DataFrame] | None =
     j = (r["customer_sums"].select(
         "customer_id", "customer_name", F.col("payment_type").alias("customer_payment_type"),
         F.col("account_manager").alias("bd"), F.col("payment_terms_days").alias("payment_terms"),
-        "outstanding_amount", "overdue_gross", "due_tomorrow_gross", "due_week_gross")
+        "outstanding_amount", "overdue_gross", "due_tomorrow_gross", "due_week_gross", "latest_address")
          .join(r["ledger"].where(F.col("total_gl_amount") > 0), F.col("customer_id") == F.col("party")).drop("party")
          .join(r["adjustments"], F.col("customer_id") == F.col("party"), "left").drop("party")
          .join(r["unallocated"], F.col("customer_id") == F.col("party"), "left").drop("party"))
     ccl = credit_limits(t["customer_credit_limit"])
     j = j.join(ccl, F.col("customer_id") == F.col("__ccl"), "left").drop("__ccl")
-    city = last_delivery_city(t["sales_invoice"], t["address"])
-    j = j.join(city, F.col("customer_id") == F.col("customer"), "left").drop("customer")
+    addr = t["address"].select(F.col("name").alias("__addr"), F.col("city").alias("last_delivery_city"))
+    j = j.join(addr, F.col("latest_address") == F.col("__addr"), "left").drop("__addr", "latest_address")
     gl, jv, pe = F.col("total_gl_amount"), F.col("total_jv_amount"), F.col("total_unallocated_amount")
     n = net_outstanding(gl, F.col("outstanding_amount"), jv, pe)
     overdue = overdue_amount(F.col("overdue_gross"))

@@ -50,3 +50,13 @@ def test_filters_reach_the_scan(spark, stored):
     assert "FileScan parquet [party#" in gl_scan and "name#" not in gl_scan.split("]")[0]
     je_scan = [l for l in plan.splitlines() if "journal_entry.parquet" in l][0]
     assert "Not(EqualTo(docstatus,1))" in je_scan
+
+
+def test_debtor_scan_counts(spark, stored):
+    """The debtor report reads each fact table once (the SQL reads invoices
+    three times): the latest invoice per customer comes out of the same
+    per-customer-day pre-aggregation as the invoice sums."""
+    plan = _final_plan(R.report_debtors(stored, None, CONFIG))
+    for table in ("gl_entry", "payment_entry", "sales_invoice", "journal_entry_account"):
+        scans = re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", plan)
+        assert len(scans) == 1, (table, len(scans))
