@@ -294,3 +294,57 @@ def zonal_targets(zonal: DataFrame) -> DataFrame:
 def open_todo_count(todo: DataFrame, as_of: DateLike, months: int = 2) -> DataFrame:
     from .filters import open_recent_todos
     return open_recent_todos(todo, as_of, months).groupBy("owner").agg(F.count(F.lit(1)).alias("Count_Status_Open"))
+
+
+def funnel_metrics(lead: DataFrame, opportunity: DataFrame, customer: DataFrame, sales_order: DataFrame,
+                   line: str) -> DataFrame:
+    """Open leads by heat, opportunity stages and zero-order counts per bd in
+    one pass over leads, opportunities, customers and sales orders.
+
+    Opportunities are counted per lead, customers per (lead, manager) with
+    how many have no sales order; leads are left-joined to both (each side
+    already reduced on the join key, so a lead with very many opportunities
+    or customers is a handful of rows).  One aggregation over ``GROUPING
+    SETS ((lead_owner), (account_manager))`` then yields the lead-owner
+    measures (leads without a customer) and the manager measures (lead x
+    opportunity x customer rows without an order), combined per bd.
+
+    Same result as ``open_leads_by_heat``, ``opportunity_stage_pivot`` and
+    ``zero_order_counts`` joined on bd.
+    """
+    hot, warm, cold = LEAD_HEAT
+    counts = opportunity_counts_by_party(opportunity)
+    leads = product_line(lead, line).select("name", "lead_owner", "hwc")
+    leads = leads.join(counts, leads["name"] == counts["party_name"], "left").drop("party_name")
+    ordered = sales_order.where(F.col("name").isNotNull() & F.col("customer").isNotNull()).select(
+        F.col("customer").alias("__so")).distinct()
+    cust = customer.where(F.col("lead_name").isNotNull()).select("name", "lead_name", "account_manager")
+    cust = cust.join(ordered, cust["name"] == ordered["__so"], "left")
+    per_lead = cust.groupBy("lead_name", "account_manager").agg(
+        F.count(F.lit(1)).alias("__customers"), F.count_if(F.col("__so").isNull()).alias("__no_order"))
+    rows = leads.join(per_lead, leads["name"] == per_lead["lead_name"], "left")
+
+    has_opp = F.col("opportunity_rows").isNotNull()
+    no_cust = F.col("lead_name").isNull()
+    open_ = no_cust & ~has_opp
+    stage = no_cust & has_opp
+    name, hwc = F.col("name"), F.col("hwc")
+    stage_cols = ["opportunity_leads"] + [c for _, c in OPPORTUNITY_STAGES]
+    g = rows.groupingSets([["lead_owner"], ["account_manager"]], "lead_owner", "account_manager").agg(
+        F.grouping_id().alias("__gid"),
+        F.count_if(open_).alias("__open"),
+        F.countDistinct(F.when(open_, name)).alias("open_leads"),
+        F.count(F.when(open_ & (hwc == hot), name)).alias("hot_leads"),
+        F.count(F.when(open_ & (hwc == warm), name)).alias("warm_leads"),
+        F.count(F.when(open_ & (hwc == cold), name)).alias("cold_leads"),
+        F.count(F.when(open_ & (hwc.isNull() | (hwc == "")), name)).alias("not_marked_leads"),
+        *[F.sum(F.when(stage, F.col(c))).alias(c) for c in stage_cols],
+        F.sum(F.when(has_opp & (F.col("__no_order") > 0),
+                     F.col("opportunity_rows") * F.col("__no_order"))).alias("customers_0_orders"))
+    by_owner = F.col("__gid") == 1          # grouped by lead_owner (account_manager rolled up)
+    open_cols = ["open_leads", "hot_leads", "warm_leads", "cold_leads", "not_marked_leads"]
+    g = g.select(F.when(by_owner, F.col("lead_owner")).otherwise(F.col("account_manager")).alias("bd"),
+                 *[F.when(by_owner & (F.col("__open") > 0), F.col(c)).alias(c) for c in open_cols],
+                 *[F.when(by_owner, F.col(c)).alias(c) for c in stage_cols],
+                 F.when(~by_owner, F.col("customers_0_orders")).alias("customers_0_orders"))
+    return g.groupBy("bd").agg(*[F.max(c).alias(c) for c in open_cols + stage_cols + ["customers_0_orders"]])

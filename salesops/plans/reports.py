@@ -88,13 +88,10 @@ def report_funnel(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     """Per bd: open leads by heat, opportunities by stage, onboarding recency,
     zero-order customers."""
     t, line, a = tables, config.product_line, as_date(config.as_of)
-    ol = A.open_leads_by_heat(t["lead"], t["opportunity"], t["customer"], line)
-    os_ = A.opportunity_stage_pivot(t["lead"], t["opportunity"], t["customer"], line)
+    fm = A.funnel_metrics(t["lead"], t["opportunity"], t["customer"], t["sales_order"], line)
     co = A.customer_onboarding(t["customer"], line, a).drop("last_onboarding_date")
-    zo = A.zero_order_customers(t["lead"], t["opportunity"], t["customer"], t["sales_order"], line, a)
-    czo = A.zero_order_counts(zo)
     j = visible_spine(t, user)
-    for m in (ol, os_, co, czo):
+    for m in (fm, co):
         j = j.join(m, "bd", "left")
     j = per_bd(j)
     out = j.select(F.col("custom_team").alias("Team"), F.col("team_user_name").alias("Team_Username"),

@@ -180,3 +180,17 @@ def test_manager_metrics_equals_separate_operators(spark, fixtures):
         both = coll.join(pools, "account_manager", "full")
         keep = single.where(F.col("amount").isNotNull() | F.col("net_outstanding_amount").isNotNull())
         assert rows(keep) == rows(both)
+
+
+def test_funnel_metrics_equals_separate_operators(spark, fixtures):
+    from salesops.plans.params import CONFIG, AS_OF
+    t, line = fixtures, CONFIG.product_line
+    single = A.funnel_metrics(t["lead"], t["opportunity"], t["customer"], t["sales_order"], line)
+    parts = [A.open_leads_by_heat(t["lead"], t["opportunity"], t["customer"], line),
+             A.opportunity_stage_pivot(t["lead"], t["opportunity"], t["customer"], line),
+             A.zero_order_counts(A.zero_order_customers(t["lead"], t["opportunity"], t["customer"],
+                                                        t["sales_order"], line, AS_OF))]
+    both = parts[0].join(parts[1], "bd", "full").join(parts[2], "bd", "full")
+    cols = sorted(single.columns)
+    assert sorted(map(tuple, single.select(cols).collect()), key=str) == \
+        sorted(map(tuple, both.select(cols).collect()), key=str)

@@ -60,3 +60,13 @@ def test_debtor_scan_counts(spark, stored):
     for table in ("gl_entry", "payment_entry", "sales_invoice", "journal_entry_account"):
         scans = re.findall(rf"FileScan parquet [^\n]*{table}\.parquet", plan)
         assert len(scans) == 1, (table, len(scans))
+
+
+def test_funnel_scan_counts(spark, stored):
+    """The funnel reads leads, opportunities and sales orders once and
+    customers twice (the SQL reads leads 3x, opportunities 3x, customers 4x):
+    lead-owner and manager measures are two grouping sets of one aggregation."""
+    plan = _final_plan(R.report_funnel(stored, None, CONFIG))
+    for table, want in (("lead", 1), ("opportunity", 1), ("sales_order", 1), ("customer", 2)):
+        scans = re.findall(rf"FileScan parquet [^\n]*/{table}\.parquet", plan)
+        assert len(scans) == want, (table, len(scans))
