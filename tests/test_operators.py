@@ -191,6 +191,10 @@ def test_funnel_metrics_equals_separate_operators(spark, fixtures):
              A.zero_order_counts(A.zero_order_customers(t["lead"], t["opportunity"], t["customer"],
                                                         t["sales_order"], line, AS_OF))]
     both = parts[0].join(parts[1], "bd", "full").join(parts[2], "bd", "full")
+    # groups with nothing to count come out as all-NULL rows; left-joined to
+    # the spine they are the same as no row
+    measures = [c for c in single.columns if c != "bd"]
+    single = single.where(" OR ".join(f"{c} IS NOT NULL" for c in measures))
     cols = sorted(single.columns)
     assert sorted(map(tuple, single.select(cols).collect()), key=str) == \
         sorted(map(tuple, both.select(cols).collect()), key=str)
