@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..config import LEAD_HEAT, OPPORTUNITY_STAGES
 from ..functions.dates import DateLike, as_date, same_month, same_week
-from .filters import product_line, submitted
+from .filters import product_line
 from .joins import anti_join, not_in_subquery, semi_join
 
 

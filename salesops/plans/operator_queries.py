@@ -21,11 +21,11 @@ from ..operators.filters import (exclude_values, on_or_after, open_recent_todos,
 from ..operators.joins import anti_join, ci_key, not_in_subquery
 from ..operators.output import (Field, category_rank, with_total_row)
 from ..operators.star import star_max
-from ..operators.windows import latest_per_group, one_row_per_key, pick_one, row_number_in
+from ..operators.windows import one_row_per_key, pick_one, row_number_in
 from ..sources.schemas import SCHEMAS
 from . import reports as R
 from .catalog import register
-from .params import AS_OF, CONFIG, EXCLUDED_PERSONS, LEDGER_START, TODO_AS_OF, TODO_CONFIG, VISIBLE_USER
+from .params import AS_OF, CONFIG, EXCLUDED_PERSONS, LEDGER_START, TODO_AS_OF, VISIBLE_USER
 
 # -- sources and sinks ----------------------------------------------------------
 

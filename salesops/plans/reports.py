@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DASHBOARD_CATEGORIES, OPPORTUNITY_STAGES, POSTPAID, Config
-from ..functions.dates import as_date, day_offset, last_days, same_month, same_quarter, same_week
+from ..functions.dates import as_date, last_days, same_month, same_quarter, same_week
 from ..functions.numeric import flag_yn, format_amount, payment_terms_days, per_lakh, times
 from ..operators import aggregates as A
 from ..operators.filters import open_recent_todos, visible_to
