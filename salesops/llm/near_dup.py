@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from salesops.llm import bagminhash as B
 from salesops.llm.graph import components, stored
+from salesops.llm.tasks import map_arrow
 from salesops.llm.text import U64, chunks, mix, powers, words
 
 THRESHOLD = 0.8
@@ -56,7 +57,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(prints[0]), pa.array(prints[1]), flat], names=["doc_id", "f1", "f2", "bands"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.where("doc_id is not null and text is not null").mapInArrow(run, _SIGNED)
+    return map_arrow(rows.where("doc_id is not null and text is not null"), run, _SIGNED)
 
 
 def _links(members: list[tuple[int, np.ndarray, np.ndarray]], cross: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
@@ -117,7 +118,7 @@ def verified_links(candidates: DataFrame, threshold: float = THRESHOLD, block: i
     cuts = F.ceil(F.col("n_grp") / F.lit(block)).cast("int")
     own = F.pmod(F.xxhash64(F.lit(11), "doc_id"), cuts).cast("int")
     placed = candidates.select("doc_id", "grp", cuts.alias("cuts"), own.alias("own"), "text")
-    bags = placed.mapInArrow(run_bags, "doc_id long, grp long, cuts int, own int, shingles binary, counts binary")
+    bags = map_arrow(placed, run_bags, "doc_id long, grp long, cuts int, own int, shingles binary, counts binary")
     pair = F.when(F.col("cuts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
         F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j"))))
     units = bags.withColumn("pair", F.explode(pair)).select("doc_id", "grp", "own", F.col("pair.i").alias("i"), F.col("pair.j").alias("j"), "shingles", "counts")
@@ -147,7 +148,7 @@ def verified_links(candidates: DataFrame, threshold: float = THRESHOLD, block: i
 
     # Rows of one unit come together: hash-partitioned by unit and sorted by it within the partition.
     together = units.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j")
-    return together.mapInArrow(run_links, "a long, b long")
+    return map_arrow(together, run_links, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:

@@ -5,20 +5,63 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from salesops.llm import near_dup
+from salesops.llm import mixing, near_dup, packing, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(_table(spark, sf_dir, "documents"))
+    return packing.number(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op3_sharding,
     op4_minhash_near_dedup,
+    op8_substring_dedup,
+    op9_mixing,
+    op10_packing,
 )}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        windows AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s
+            FROM words, unnest(range(1, len(w) - 48)) AS u(i)),
+        firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+        gone AS (
+            SELECT DISTINCT doc_id, i + k AS pos
+            FROM windows JOIN firsts USING (s), unnest(range(0, 50)) AS v(k)
+            WHERE doc_id > first),
+        single AS (SELECT doc_id, pos, w[pos] AS word FROM words, unnest(range(1, len(w) + 1)) AS t(pos)),
+        kept AS (
+            SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS text, count(*) AS n
+            FROM single ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id)
+        SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(text, '')) AS kept_sha256
+        FROM words LEFT JOIN kept USING (doc_id)
+    """,
+}
