@@ -164,7 +164,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, block: int =
     sizes = grouped.groupBy("component").agg((F.count("*") + 1).alias("n_grp"))
     members = grouped.union(sizes.select(F.col("component").alias("node"), "component")).join(sizes, "component").select(F.col("node").alias("doc_id"), F.col("component").alias("grp"), "n_grp")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    near = components(verified_links(members.join(texts, "doc_id"), threshold, block))
+    # A merge join at every size: the texts move once, in proportion to the input, and skewed partitions can be split.
+    near = components(verified_links(members.join(texts.hint("merge"), "doc_id"), threshold, block))
     classes = first.select("doc_id", "rep").distinct().join(near.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     # A doc_id that comes with different texts takes its smallest class.
     classes = classes.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
