@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesops.llm import embedding_dedup, html_text, mixing, near_dup, packing, sharding, substring_dedup, topk, toxicity
+from salesops.llm import embedding_dedup, html_text, mixing, near_dup, packing, quality, sharding, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,11 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.posteriors(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "evidence", "site_rate", "probability", "kept")
+
+
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(_table(spark, sf_dir, "pages"))
 
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op3_sharding,
     op4_minhash_near_dedup,
     op5_exact_top_k,
+    op6_quality_classifier,
     op7_html_extraction,
     op8_substring_dedup,
     op9_mixing,
