@@ -11,7 +11,7 @@ that no labelled page has fall back on fixed values by element and class names.
 
 Text of elements that are no content wherever they stand (``DROPPED`` and
 ``DROPPED_NAMES``: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers) scores negative and is left out, also
+scripts, styles, comments of readers) scores slightly negative and is left out, also
 inside the region.
 
 Character references are decoded, white space inside a block becomes one space,
@@ -38,7 +38,9 @@ SAMPLE_PAGES, KEPT_KINDS = 2000, 5000
 #: Bounds of learned weights: (lowest, highest) of words and of tags.
 WORD_RANGE, TAG_RANGE = (-4.0, 1.0), (-4.0, -0.05)
 #: Weights of kinds that no labelled page has.
-NEW_WORD, NEW_TAG, DROPPED_WORD = 0.8, -0.3, -2.0
+NEW_WORD, NEW_TAG = 0.8, -0.3
+#: Weights inside elements that are left out: the region may pass over them, but has no gain from it.
+DROPPED_WORD, DROPPED_TAG = -0.02, -0.1
 
 # Element names of HTML and usual names of page furniture.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr".split())
@@ -80,8 +82,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool, str]]:
 
     def close(k: int) -> None:
         while len(stack) > k:
-            name = stack.pop()[0]
-            out.append((f"</{name}", "", False, name not in INLINE, f"/{name}" if name in CONTENT else ""))
+            name, _, dropped = stack.pop()
+            out.append((f"</{name}", "", dropped, name not in INLINE, f"/{name}" if name in CONTENT else ""))
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -150,7 +152,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
                 if not found:
                     continue
                 for i, (kind, piece, dropped, _, content) in enumerate(cut):
-                    if not kind or content or (dropped and piece):
+                    if not kind or content or dropped:
                         continue
                     key, n = (f"w {kind}", len(piece.split())) if piece else (f"t {kind}", 1)
                     counts.setdefault(key, [0, 0])[0 if found[0] <= i < found[1] else 1] += n
@@ -177,7 +179,7 @@ def region(cut: list[tuple[str, str, bool, bool, str]], weights: dict[str, float
         elif content:
             total += TAG_RANGE[0]
         else:
-            total += weights.get(f"t {kind}", NEW_TAG)
+            total += DROPPED_TAG if dropped else weights.get(f"t {kind}", NEW_TAG)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total >= best:
