@@ -2,9 +2,8 @@
 
 Subpackages: ``sources`` (schemas, loaders, fixture derivation, writers),
 ``functions`` (calendar and number Column expressions), ``operators``
-(filters, joins, aggregates, windows, metrics, report shaping), ``plans``
-(the six reports, the query registry and their DuckDB oracles) and
-``streaming`` (empty: the reports are batch queries).
+(filters, joins, aggregates, windows, metrics, report shaping) and ``plans``
+(the six reports, the query registry and their DuckDB oracles).
 """
 
 from .config import Config

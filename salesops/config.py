@@ -9,7 +9,7 @@ own; pass ``as_of`` to make a run reproducible.
 from __future__ import annotations
 
 import datetime as _dt
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 from decimal import Decimal
 
 # ---------------------------------------------------------------------------
@@ -92,6 +92,66 @@ LEAD_HEAT: tuple[str, ...] = ("Hot", "Warm", "Cold")
 # Dashboard categories, in report order.
 DASHBOARD_CATEGORIES: tuple[str, ...] = ("Orders", "Deliveries", "Collection")
 
+# Shown columns of each report: column, label, display type.
+REPORT_FIELDS: dict[str, tuple[tuple[str, str, str], ...]] = {
+    "appointment": (
+        ("Team", "Team Name", "Data"), ("BD", "BD Name", "Data"), ("Zonal_head", "Zonal Head", "Data"),
+        ("Todo_ID", "Todo ID", "Data"), ("Appointment_type", "Appointment Type", "Data"),
+        ("Reference_Type", "Reference Type", "Data"), ("Yesterday", "Yesterday", "Data"), ("Today", "Today", "Data"),
+        ("Week", "Week", "Data"), ("Count_Status_Open", "Count Status Open ", "Data"),
+    ),
+    "collection": (
+        ("team", "Team", "Data"), ("bd_name", "AE", "Data"),
+        ("net_outstanding_amount", "Outstanding (Rs) Lacs", "Currency"),
+        ("net_overdue_amount", "Overdue (Rs) Lacs", "Currency"),
+        ("lwd_tgt", "LWD TGT (Rs) Cr", "Float"), ("lwd_actual", "Actual Cr", "Float"),
+        ("lwd_att", "LWD Att %", "Percent"), ("week_tgt", "Week TGT (Rs) Cr", "Float"),
+        ("wtd_tgt", "WTD TGT", "Float"), ("Week_Actual", "Actual Cr", "Float"),
+        ("week_att", "Weekly Att (%)", "Percent"), ("Month_TGT", "Month TGT", "Float"),
+        ("mtd_tgt", "MTD TGT", "Float"), ("MTD_Actual", "Actual Cr", "Float"),
+        ("month_att", "MTD Att (%)", "Percent"),
+    ),
+    "dashboard": (
+        ("custom_team", "Team", "Data"), ("zonal_head_sales_person", "Zonal Head", "Data"),
+        ("bd_sales_person", "BD", "Data"), ("Category", "Category", "Data"),
+        ("LWD_Target", "LWD Target", "Float"), ("LWD_Actual", "LWD Achv.", "Float"),
+        ("WTD_Target", "WTD Target", "Float"), ("WTD_Actual", "WTD Achv.", "Float"),
+        ("MTD_Target", "MTD Target", "Float"), ("MTD_Actual", "MTD Achv.", "Float"),
+        ("QTD_Target", "QTD Target", "Float"), ("QTD_Actual", "QTD Achv.", "Float"),
+    ),
+    "debtors": (
+        ("Team", "Team", "Data"), ("Team_Username", "BD", "Data"),
+        ("zonal_head_sales_person", "Zonal Head Sales Person", "Data"), ("zonal_head", "Zonal Head", "Data"),
+        ("customer_id", "Customer ID", "Data"), ("customer_name", "Customer Name", "Data"),
+        ("customer_payment_type", "Payment Type", "Data"), ("credit_limit", "Credit Limit", "Currency"),
+        ("payment_terms", "Payment Terms", "Int"), ("last_delivery_city", "Last Delivery City", "Data"),
+        ("allowed_credit_breach", "Credit Breach", "Data"), ("ledger", "Ledger", "Currency"),
+        ("net_outstanding", "Net Outstanding", "Currency"), ("net_overdue", "Net Overdue", "Currency"),
+        ("overdue_amount_tomorrow", "Overdue Amount Tomorrow", "Currency"),
+        ("overdue_amount_this_week", "Overdue Amount This Week", "Currency"),
+    ),
+    "funnel": (
+        ("Team", "Team Name", "Data"), ("zonal_head_sales_person", "Zonal Head", "Data"), ("BD", "BD Name", "Data"),
+        ("open_leads", "Open Leads", "Data"), ("hot_leads", "Hot Leads", "Data"), ("warm_leads", "Warm Leads", "Data"),
+        ("cold_leads", "Cold Leads", "Data"), ("not_marked_leads", "Not Marked", "Data"),
+        ("opportunity_leads", "Opportunity Leads", "Data"),
+        ("In_Discussion_Meeting_Pending", "In discussion meeting pending ", "Data"),
+        ("Meeting_Scheduled", "Meeting scheduled", "Data"), ("In_Negotitation", "In negotiation", "Data"),
+        ("Finance_Approval_Pending", "Finance approval pending", "Data"),
+        ("Ops_Submission_Pending", "Ops submission pending", "Data"),
+        ("Ops_Approval_Pending", "Ops approval pending", "Data"),
+        ("Ops_approved_Finance_closure_Pending", "Ops approved finance closure pending", "Data"),
+        ("Lost", "Lost", "Data"), ("Onboarded", "Onboarded", "Data"),
+        ("days_since_last_onboarding", "Days since last onboarding", "Data"),
+        ("customers_0_orders", "Customers with 0 orders", "Data"),
+    ),
+    "zero_order": (
+        ("team", "Team", "Data"), ("team_username", "BD", "Data"), ("zonal_head_sales_person", "Zonal Head", "Data"),
+        ("customer_id", "Customer ID", "Data"), ("customer_name", "Customer Name", "Data"),
+        ("payment_type", "Payment Type", "Data"), ("days_since_last_onboarding", "Days Since Onboarding", "Int"),
+    ),
+}
+
 # Product line of the funnel and zero-order reports.
 PRODUCT_LINE = "High Speed Diesel"
 
@@ -128,7 +188,6 @@ class Config:
     # Quirk switches; defaults reproduce the reports as specified.
     fix_lwd_att: bool = False
     per_customer_pools: bool = False
-    extra: dict = field(default_factory=dict, compare=False, hash=False)
 
     def with_(self, **kw) -> "Config":
         return replace(self, **kw)

@@ -43,18 +43,21 @@ def with_total_row(df: DataFrame, fields: Sequence[Field], label_column: str | N
     (NULL counts 0), ``Percent`` averaged over all rows, the label column set
     to ``Total`` when it is text, other columns empty; ``flag`` marks it.
 
-    One aggregation over ``GROUPING SETS ((all columns), ())``: the detail
-    set returns each (distinct) report row, the empty set the total, so the
-    report is computed once rather than once per branch of a union.
+    One aggregation over ``GROUPING SETS ((all columns), ())``: the detail set
+    returns each distinct report row with its number, which is expanded again,
+    so equal rows stay as many as they were; the empty set is the total.  The
+    report is computed once.
     """
     types = {f.name: f.fieldtype for f in fields}
-    label_column = label_column or df.columns[0]
+    label_column = label_column or fields[0].name
     cols = df.columns
     numeric = [c for c in cols if types.get(c) in NUMERIC_FIELDTYPES]
     aggs = [F.grouping_id().alias("__gid"), F.count(F.lit(1)).alias("__n")]
     aggs += [F.sum(F.coalesce(F.col(c), F.lit(0))).alias(f"__sum{i}") for i, c in enumerate(numeric)]
     g = df.groupingSets([cols, []], *cols).agg(*aggs)
     total = F.col("__gid") != 0
+    g = g.withColumn("__copy", F.explode(F.when(total, F.array(F.lit(1).cast("bigint"))).otherwise(
+        F.sequence(F.lit(1).cast("bigint"), F.col("__n")))))
     out: list[Column] = []
     for c in cols:
         if c in numeric:

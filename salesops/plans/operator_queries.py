@@ -19,13 +19,13 @@ from ..operators import metrics as M
 from ..operators.filters import (exclude_values, on_or_after, open_recent_todos, product_line, submitted,
                                  visible_to, with_status)
 from ..operators.joins import anti_join, ci_key, not_in_subquery
-from ..operators.output import (Field, category_rank, with_total_row)
+from ..operators.output import category_rank
 from ..operators.star import star_max
 from ..operators.windows import one_row_per_key, pick_one, row_number_in
 from ..sources.schemas import SCHEMAS
 from . import reports as R
 from .catalog import register
-from .params import AS_OF, CONFIG, EXCLUDED_PERSONS, LEDGER_START, TODO_AS_OF, VISIBLE_USER
+from .params import AS_OF, CONFIG, EXCLUDED_PERSONS, LEDGER_START, TODO_AS_OF, TODO_CONFIG, VISIBLE_USER
 
 # -- sources and sinks ----------------------------------------------------------
 
@@ -38,24 +38,18 @@ def source_row_counts(t):
     return reduce(DataFrame.unionByName, parts)
 
 
-COLLECTION_FIELDS = [
-    Field("team", "Team"), Field("bd_name", "AE"),
-    Field("net_outstanding_amount", "Outstanding (Rs) Lacs", "Currency"),
-    Field("net_overdue_amount", "Overdue (Rs) Lacs", "Currency"),
-    Field("lwd_tgt", "LWD TGT (Rs) Cr", "Float"), Field("lwd_actual", "Actual Cr", "Float"),
-    Field("lwd_att", "LWD Att %", "Percent"), Field("week_tgt", "Week TGT (Rs) Cr", "Float"),
-    Field("wtd_tgt", "WTD TGT", "Float"), Field("Week_Actual", "Actual Cr", "Float"),
-    Field("week_att", "Weekly Att (%)", "Percent"), Field("Month_TGT", "Month TGT", "Float"),
-    Field("mtd_tgt", "MTD TGT", "Float"), Field("MTD_Actual", "Actual Cr", "Float"),
-    Field("month_att", "MTD Att (%)", "Percent"),
-]
-
-
-@register("report_total_row")
-def report_total_row(t):
-    """The collection report with the viewer's total row appended."""
-    rep = R.report_collection(t, None, CONFIG)
-    return with_total_row(rep, COLLECTION_FIELDS, label_column="team")
+def _total_row(name: str, config) -> None:
+    key = "report_total_row" if name == "collection" else f"report_total_row_{name}"
+
+    @register(key)
+    def run(t):
+        return R.with_totals(name, R.REPORTS[name](t, None, config))
+
+    run.__doc__ = f"S5: the {name} report with the viewer's total row appended."
+
+
+for _name in R.REPORTS:
+    _total_row(_name, TODO_CONFIG if _name == "appointment" else CONFIG)
 
 
 # -- filters ----------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """Parameters of the registered queries on the fixture tables.
 
-The fixtures hold April-July 1998 achievements and January 2024 todos, so
-the report date is 1998-07-15 (a Wednesday) for the sales reports and
+The fixtures hold achievements up to 1998 and January 2024 todos, so the
+report date is 1998-07-15 (a Wednesday) for the sales reports and
 2024-01-17 (a Wednesday) for appointments; the ledger starts 1996-04-01.
 The fixture's sales person ``Supplier#000000003`` is added to the exclusion
 list so the exclusion is exercised.

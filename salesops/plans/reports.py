@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import DASHBOARD_CATEGORIES, OPPORTUNITY_STAGES, POSTPAID, Config
+from ..config import DASHBOARD_CATEGORIES, OPPORTUNITY_STAGES, POSTPAID, REPORT_FIELDS, Config
 from ..functions.dates import as_date, last_days, same_month, same_quarter, same_week
 from ..functions.numeric import flag_yn, format_amount, payment_terms_days, per_lakh, times
 from ..operators import aggregates as A
@@ -23,7 +23,7 @@ from ..operators.filters import open_recent_todos, visible_to
 from ..operators.joins import ci_key, disjunctive_left_joins, left_join_small_to_large
 from ..operators.metrics import (appointment_type, collection_targets, day_buckets, manager_metrics, net_outstanding,
                                  net_overdue, overdue_amount, receivable_pools, todo_label, zero_if_no_overdue)
-from ..operators.output import category_rank, unpivot_categories
+from ..operators.output import Field, as_report, category_rank, unpivot_categories, with_total_row
 from ..operators.star import Child, star_max
 from ..operators.windows import latest_per_group, one_row_per_key, pick_one
 
@@ -363,6 +363,23 @@ def report_appointment(tables, user=None, config: Config = DEFAULT) -> DataFrame
     return out.distinct().orderBy(F.col("Team").asc_nulls_first(), F.col("BD").asc_nulls_first())
 
 
+def fields_of(name: str) -> list[Field]:
+    """Labelled columns of a report."""
+    return [Field(*f) for f in REPORT_FIELDS[name]]
+
+
+def with_totals(name: str, rows: DataFrame) -> DataFrame:
+    """A report's rows and its total row."""
+    return with_total_row(rows, fields_of(name))
+
+
+def report(name: str, tables, user=None, config: Config = DEFAULT, total: bool = False) -> DataFrame:
+    """A report by name with its labelled columns first (``columns_of`` lists
+    them), unlisted ones behind; ``total`` appends the total row."""
+    rows = REPORTS[name](tables, user, config)
+    return as_report(with_totals(name, rows) if total else rows, fields_of(name))
+
+
 REPORTS = {
     "appointment": report_appointment,
     "collection": report_collection,
