@@ -9,7 +9,7 @@ with a smaller doc_id; windows are judged on the input.
    Equal windows have equal minimisers, so a window whose minimiser occurs in
    one document only has a count of one and needs no shuffle.
 2. Copies of a whole earlier text go entirely; only the first copy goes on.
-3. The other windows get a 128-bit Rabin-Karp hash.  Inside one slice of a task
+3. The other windows get a 96-bit Rabin-Karp hash.  Inside one slice of a task
    a window keeps its smallest document only, the others are settled at once:
    however many documents share a passage, each slice sends one row for it.
    Spark then takes the smallest document of every window hash (partial sums
@@ -128,13 +128,14 @@ def _windows(marked: DataFrame, window: int) -> DataFrame:
                 lowest = ids[doc[new]][np.cumsum(new) - 1]
                 settled = ids[doc] > lowest
                 rows = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([pa.array(mix(h1).view(np.int64), mask=settled), pa.array(h2.view(np.int64), mask=settled), part.column("doc_id").take(rows), part.column("key").take(rows), pa.array(start.astype(np.int32)), pa.array(settled)], names=["h1", "h2", "doc_id", "key", "start", "settled"])
+                yield pa.RecordBatch.from_arrays([pa.array(mix(h1).view(np.int64), mask=settled), pa.array((h2 >> U64(32)).astype(np.uint32).view(np.int32), mask=settled), part.column("doc_id").take(rows), part.column("key").take(rows), pa.array(start.astype(np.int32)), pa.array(settled)], names=["h1", "h2", "doc_id", "key", "start", "settled"])
 
-    return map_arrow(marked, run, "h1 long, h2 long, doc_id long, key long, start int, settled boolean")
+    return map_arrow(marked, run, "h1 long, h2 int, doc_id long, key long, start int, settled boolean")
 
 
-def _cut(joined: DataFrame, window: int) -> DataFrame:
-    """n_words, n_removed and the kept words of each text; joined: doc_id, text, copied, starts."""
+def _cut(joined: DataFrame, window: int, original: bool) -> DataFrame:
+    """n_words, n_removed and the kept words of each text; joined: doc_id, key, text, copied, starts and perhaps rest."""
+    carry = [c for c in joined.columns if c not in ("text", "copied", "starts")]
 
     def run(batches):
         for batch in batches:
@@ -152,31 +153,50 @@ def _cut(joined: DataFrame, window: int) -> DataFrame:
                         np.add.at(step, at + window, -1)
                         found = [found[i] for i in np.flatnonzero(np.cumsum(step)[:-1] == 0).tolist()]
                     removed.append(counts[-1] - len(found))
-                    kept.append(b" ".join(found))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("key"), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "key", "n_words", "n_removed", "kept_text"])
+                    kept.append(text.as_buffer().to_pybytes() if original and text.is_valid and not removed[-1] else b" ".join(found))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*carry, "n_words", "n_removed", "kept_text"])
 
-    return map_arrow(joined, run, "doc_id long, key long, n_words long, n_removed long, kept_text string")
+    types = dict(joined.dtypes)
+    return map_arrow(joined, run, ", ".join(f"{c} {types[c]}" for c in carry) + ", n_words long, n_removed long, kept_text string")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of ``docs``: doc_id, key (xxhash64 of the text), n_words, n_removed, kept_text (kept words joined by one space)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", F.xxhash64("text").alias("key"), "text")
+def remove_repeats(docs: DataFrame, window: int = WINDOW, whole: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, key (of rows that share a doc_id), n_words, n_removed, kept_text (kept words joined by one space).
+
+    ``whole`` adds the other columns as the struct ``rest`` and leaves texts of which nothing goes as they are."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] if whole else []
+    rest = [F.struct(*others).alias("rest")] if others else []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *rest)
+    told_rest = ["rest"] * len(rest)
+    # The key tells rows of one doc_id apart; where every doc_id is there once, a constant takes no room.
+    once = rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = rows.select("doc_id", (F.lit(0).cast("long") if once else F.xxhash64("text")).alias("key"), "text", *told_rest)
     named = rows.where("doc_id is not null")
-    profile = stored(_profile(named, window))
+    profile = stored(_profile(named.select("doc_id", "key", "text"), window))
     first = profile.groupBy("f1", "f2").agg(F.min("doc_id").alias("first"))
-    told = stored(profile.join(first, ["f1", "f2"]).select("doc_id", "key", (F.col("doc_id") > F.col("first")).alias("copied"), F.when(F.col("doc_id") <= F.col("first"), F.col("minis")).alias("minis")))
-    mini = told.where("not copied").select("doc_id", "key", F.explode("minis").alias("m"))
+    told = profile.join(first, ["f1", "f2"])
+    mini = told.where("doc_id = first").select("doc_id", F.explode("minis").alias("m"))
     shared = mini.groupBy("m").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("m")
     # A document has each minimiser once, so this list is no longer than the document.
-    marks = stored(mini.join(shared, "m").groupBy("doc_id", "key").agg(F.collect_set("m").alias("minis")))
-    found = _windows(named.join(marks, ["doc_id", "key"]), window)
+    marks = stored(mini.join(shared, "m").groupBy("doc_id").agg(F.collect_set("m").alias("minis")))
+    found = _windows(named.join(marks, "doc_id"), window)
     open_, settled = found.where("not settled"), found.where("settled").select("doc_id", "key", "start")
-    lowest = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("top")).where("low < top").select("h1", "h2", "low")
+    lowest = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"))
     later = open_.join(lowest, ["h1", "h2"]).where("doc_id > low").select("doc_id", "key", "start")
     # Starts of one document: no more than it has words.
     starts = later.union(settled).groupBy("doc_id", "key").agg(F.collect_set("start").alias("starts"))
-    copied = told.where("copied").select("doc_id", "key", F.lit(True).alias("copied"), F.lit(None).cast("array<int>").alias("starts")).distinct()
+    copied = told.where("doc_id > first").select("doc_id", "key", F.lit(True).alias("copied"), F.lit(None).cast("array<int>").alias("starts")).distinct()
     told_again = copied.unionByName(starts.select("doc_id", "key", F.lit(False).alias("copied"), "starts"))
-    joined = named.join(told_again, ["doc_id", "key"], "left")
-    nameless = rows.where("doc_id is null").select("doc_id", "key", "text", F.lit(False).alias("copied"), F.lit(None).cast("array<int>").alias("starts"))
-    return _cut(joined.select("doc_id", "key", "text", F.coalesce("copied", F.lit(False)).alias("copied"), "starts").unionByName(nameless), window)
+    # Joined by doc_id alone, as above, so that the texts are dealt out once for both joins.
+    told_again = told_again.select(F.col("doc_id").alias("told_id"), F.col("key").alias("told_key"), "copied", "starts")
+    joined = named.join(told_again, (named["doc_id"] == F.col("told_id")) & (named["key"] == F.col("told_key")) if not once else named["doc_id"] == F.col("told_id"), "left")
+    nameless = rows.where("doc_id is null").select("doc_id", "key", "text", *told_rest, F.lit(False).alias("copied"), F.lit(None).cast("array<int>").alias("starts"))
+    return _cut(joined.select("doc_id", "key", "text", *told_rest, F.coalesce("copied", F.lit(False)).alias("copied"), "starts").unionByName(nameless), window, whole)
+
+
+def cut_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` with its columns, repeated words cut from the texts and n_chars renewed; rows that had words and keep none go."""
+    cut = remove_repeats(docs, window, whole=True).where("n_removed = 0 or n_removed < n_words")
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    own = [new[c].alias(c) if c in new else (F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("rest.n_chars").cast("long")) if c == "n_chars" else F.col(f"rest.`{c}`")).alias(c) for c in docs.columns]
+    return cut.select(*own)
