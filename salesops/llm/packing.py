@@ -23,15 +23,18 @@ their own.  An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+from collections import Counter
 from functools import cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesops.llm.graph import stored
 from salesops.llm.tasks import map_arrow
 from salesops.llm.text import U64, chunks, mix, words
 
@@ -41,6 +44,9 @@ VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Units whose ids a worker keeps; beyond it the table starts anew.
 KEPT_UNITS = 1 << 20
 
+#: Most counts (length and task) that are broadcast; beyond it they are joined by shuffle.
+BROADCAST_COUNTS = 200_000
+
 #: White space that separates no units.
 _OTHER_SPACE = "[\\x{09}\\x{0B}-\\x{0D}\\x{1C}-\\x{1F}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 _LINE = 0x0A
@@ -169,17 +175,18 @@ def piece_lengths(n: int, sequence: int = SEQUENCE) -> list[int]:
 
 
 def pieces(docs: DataFrame, paths: tuple[str, str] | None = None, sequence: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens and ids (little-endian unsigned 32-bit)."""
+    """One row per piece: doc_id, start, length, doc_tokens, ids (little-endian unsigned 32-bit), its task and the place ``nth`` among the task's pieces of its length."""
     paths = paths or vocabulary_paths()
     if sequence & (sequence - 1) or sequence < 1:
         raise ValueError("the sequence length must be a power of two")
 
     def run(batches):
         encoder = _encoder(paths)
+        task, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for part in chunks(batch, "text"):
                 ids, first = encoder.encode(part.column("text"))
-                row, start, length, total, packed = [], [], [], [], []
+                row, start, length, total, packed, nth = [], [], [], [], [], []
                 raw = ids.astype("<u4").tobytes()
                 end = np.array([end_id], "<u4").tobytes()
                 for i, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
@@ -189,30 +196,31 @@ def pieces(docs: DataFrame, paths: tuple[str, str] | None = None, sequence: int
                         row.append(i)
                         start.append(at)
                         length.append(size)
+                        nth.append(seen[size])
+                        seen[size] += 1
                         total.append(n)
                         packed.append(own[4 * at : 4 * (at + size)])
                         at += size
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row, pa.int64())), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(total, pa.int64()), pa.array(packed, pa.binary()), pa.array(np.full(len(row), task, np.int32)), pa.array(nth, pa.int64())], names=["doc_id", "start", "length", "doc_tokens", "ids", "task", "nth"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(rows, run, "doc_id long, start long, length long, doc_tokens long, ids binary")
+    return map_arrow(rows, run, "doc_id long, start long, length long, doc_tokens long, ids binary, task int, nth long")
 
 
-def number(rows: DataFrame, parts: int = 64) -> DataFrame:
+def number(rows: DataFrame) -> DataFrame:
     """Adds sequence_id and offset (0: a piece fills its sequence) to pieces.
 
-    Ids run through the buckets of equal length; inside a bucket the pieces are
-    dealt to ``parts`` by a hash of their place, ranked in each part, and set
-    off by the counts of the parts before, so no task ranks a whole bucket."""
-    order = [c for c in rows.columns if c not in ("length", "doc_id", "start")]
-    keyed = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "start", *order), F.lit(parts)).cast("int"))
-    counts = keyed.groupBy("length", "part").count()
-    # At most 12 lengths times the parts: a few hundred rows.
-    before = counts.withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("length", "part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", *order))
-    ranked = keyed.withColumn("rank", rank)
-    out = ranked.join(F.broadcast(before), ["length", "part"])
-    return out.withColumn("sequence_id", (F.col("before") + F.col("rank") - 1).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("part", "before", "rank")
+    Ids run through the buckets of equal length.  The pieces are written once, with their
+    place among the pieces of their length in their task; the counts of the tasks
+    before set the places off, so no piece is shuffled and no text is read twice."""
+    rows = stored(rows)
+    counts = rows.groupBy("length", "task").count()
+    # One row for each length (at most 12) and task.
+    ahead = Window.orderBy("length", "task").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.withColumn("before", F.coalesce(F.sum("count").over(ahead), F.lit(0))).drop("count")
+    before = stored(before)
+    out = rows.join(F.broadcast(before) if before.count() <= BROADCAST_COUNTS else before, ["length", "task"])
+    return out.withColumn("sequence_id", (F.col("before") + F.col("nth")).cast("long")).withColumn("offset", F.lit(0).cast("long")).drop("task", "before", "nth")
 
 
 def pack(docs: DataFrame, paths: tuple[str, str] | None = None, sequence: int = SEQUENCE) -> DataFrame:
