@@ -40,7 +40,7 @@ def open_leads_by_heat(lead: DataFrame, opportunity: DataFrame, customer: DataFr
     leads = anti_join(leads, customer, "name", "lead_name")
     name, hwc = F.col("name"), F.col("hwc")
     return leads.groupBy(F.col("lead_owner").alias("bd")).agg(
-        F.countDistinct(name).alias("open_leads"),
+        F.count(name).alias("open_leads"),  # ``name`` is the key of leads
         F.count(F.when(hwc == hot, name)).alias("hot_leads"),
         F.count(F.when(hwc == warm, name)).alias("warm_leads"),
         F.count(F.when(hwc == cold, name)).alias("cold_leads"),
@@ -127,12 +127,12 @@ def ledger_balance(gl_entry: DataFrame, journal_entry: DataFrame, ledger_start)
     start = F.lit(str(ledger_start)).cast("timestamp")
     gl = gl_entry.where((F.col("creation") >= start) & F.col("against").isNotNull()
                         & F.col("party").isNotNull() & (F.col("party_type") == "Customer"))
-    # one row per voucher and party before the anti join: a voucher with very
-    # many lines is collapsed map-side instead of skewing the join
-    per_voucher = gl.groupBy("voucher_no", "party").agg(F.sum(F.col("debit") - F.col("credit")).alias("amount"))
     unposted = journal_entry.where(F.col("docstatus") != 1).select("name")
-    kept = anti_join(per_voucher, unposted, "voucher_no", "name")
-    return kept.groupBy("party").agg(F.sum("amount").alias("total_gl_amount"))
+    # rows, not per-voucher sums: a voucher seldom has many lines of one party, so
+    # grouping first would only shuffle the ledger once more, and adaptive
+    # execution can split the left side of an anti join or broadcast the list
+    kept = anti_join(gl.select("voucher_no", "party", "debit", "credit"), unposted, "voucher_no", "name")
+    return kept.groupBy("party").agg(F.sum(F.col("debit") - F.col("credit")).alias("total_gl_amount"))
 
 
 def journal_adjustments(journal_entry: DataFrame, journal_entry_account: DataFrame,
@@ -142,9 +142,8 @@ def journal_adjustments(journal_entry: DataFrame, journal_entry_account: DataFra
     je = journal_entry.where(F.col("voucher_type").isin(list(voucher_types)) & (F.col("docstatus") == 1))
     lines = journal_entry_account.where((F.col("party_type") == "Customer") & F.col("party").isNotNull()
                                         & (F.col("docstatus") == 1) & F.col("reference_type").isNull())
-    per_journal = lines.groupBy("parent", "party").agg(F.sum(F.col("credit") - F.col("debit")).alias("amount"))
-    per_journal = semi_join(per_journal, je, "parent", "name")
-    return per_journal.groupBy("party").agg(F.sum("amount").alias("total_jv_amount"))
+    lines = semi_join(lines.select("parent", "party", "credit", "debit"), je, "parent", "name")
+    return lines.groupBy("party").agg(F.sum(F.col("credit") - F.col("debit")).alias("total_jv_amount"))
 
 
 def payment_party_totals(payment_entry: DataFrame, as_of: DateLike) -> DataFrame:
@@ -196,32 +195,26 @@ def eligible_customers(customer: DataFrame, party_account: DataFrame, accounts:
     """Customers without an OMC dealer code and not on an excluded account
     (SQL ``NOT IN``: a NULL in the list excludes everyone)."""
     c = customer.where(F.col("custom_omc_dealer_code").isNull())
-    return not_in_subquery(c, "name", excluded_parties(party_account, accounts), "customer_code")
+    return not_in_subquery(c, "name", excluded_parties(party_account, accounts), "customer_code", key=True)
 
 
 def invoice_day_totals(sales_invoice: DataFrame) -> DataFrame:
-    """Invoices reduced to one row per customer and posting date: the
-    submitted invoices' outstanding and count, and the day's latest invoice
-    (by posting time, then name) with its shipping address."""
-    submitted_ = F.col("docstatus") == 1
-    return sales_invoice.groupBy("customer", "posting_date").agg(
-        F.sum(F.when(submitted_, F.col("outstanding_amount"))).alias("day_outstanding"),
-        F.count_if(submitted_).alias("day_submitted"),
-        F.max(F.struct("posting_time", "name", "shipping_address_name")).alias("day_latest"))
+    """Submitted invoices reduced to one row per customer and posting date:
+    their outstanding and count (hash aggregation, partial before the shuffle)."""
+    return sales_invoice.where(F.col("docstatus") == 1).groupBy("customer", "posting_date").agg(
+        F.sum("outstanding_amount").alias("day_outstanding"), F.count(F.lit(1)).alias("day_submitted"))
 
 
 def customer_invoice_sums(sales_invoice: DataFrame, customers: DataFrame, as_of: DateLike,
                           terms_col: str = "payment_terms_days", carry: Sequence[str] = ("account_manager",)) -> DataFrame:
     """Per eligible customer with a submitted invoice: total outstanding,
     overdue (posted on or before ``as_of - terms``), falling due tomorrow,
-    falling due within 1..7 days, and the shipping address of its latest
-    invoice of any state (``latest_address``).
+    falling due within 1..7 days.
 
     ``customers`` carries ``name``, ``terms_col`` and the ``carry`` columns
     (passed through per customer).  Invoices are first reduced per customer
     and day, so the join with customers sees at most one row per
-    customer-day however many invoices a customer has, and the invoice table
-    is read once for both the sums and the latest invoice.
+    customer-day however many invoices a customer has.
     """
     from ..functions.numeric import due_cutoff
 
@@ -230,22 +223,12 @@ def customer_invoice_sums(sales_invoice: DataFrame, customers: DataFrame, as_of:
     c = customers.select(F.col("name").alias("customer_id"), terms_col, *carry)
     j = days.join(c, F.col("customer") == F.col("customer_id"))
     pd, out, terms = F.col("posting_date"), F.col("day_outstanding"), F.col(terms_col)
-    sub = F.col("day_submitted") > 0
     cut0, cut1, cut7 = due_cutoff(a, terms, 0), due_cutoff(a, terms, 1), due_cutoff(a, terms, 7)
-
-    def gross(cond: Column) -> Column:
-        return F.sum(F.when(sub, F.when(cond, out).otherwise(F.lit(0))))
-
-    g = j.groupBy("customer_id", *carry).agg(
-        F.sum("day_submitted").alias("__submitted"),
+    return j.groupBy("customer_id", *carry).agg(
         F.sum(out).alias("outstanding_amount"),
-        gross(pd <= cut0).alias("overdue_gross"),
-        gross(pd == cut1).alias("due_tomorrow_gross"),
-        gross(pd.between(cut1, cut7)).alias("due_week_gross"),
-        F.max(F.struct(pd.alias("posting_date"), F.col("day_latest").alias("latest"))).alias("__latest"))
-    return g.where(F.col("__submitted") > 0).select(
-        "customer_id", *carry, "outstanding_amount", "overdue_gross", "due_tomorrow_gross", "due_week_gross",
-        F.col("__latest.latest.shipping_address_name").alias("latest_address"))
+        _sum_when(pd <= cut0, out).alias("overdue_gross"),
+        _sum_when(pd == cut1, out).alias("due_tomorrow_gross"),
+        _sum_when(pd.between(cut1, cut7), out).alias("due_week_gross"))
 
 
 def customers_per_manager(customer: DataFrame) -> DataFrame:
@@ -333,7 +316,7 @@ def funnel_metrics(lead: DataFrame, opportunity: DataFrame, customer: DataFrame,
     g = rows.groupingSets([["lead_owner"], ["account_manager"]], "lead_owner", "account_manager").agg(
         F.grouping_id().alias("__gid"),
         F.count_if(open_).alias("__open"),
-        F.countDistinct(F.when(open_, name)).alias("open_leads"),
+        F.count(F.when(open_, name)).alias("open_leads"),
         F.count(F.when(open_ & (hwc == hot), name)).alias("hot_leads"),
         F.count(F.when(open_ & (hwc == warm), name)).alias("warm_leads"),
         F.count(F.when(open_ & (hwc == cold), name)).alias("cold_leads"),

@@ -56,12 +56,3 @@ def open_recent_todos(todo: DataFrame, as_of: DateLike, months: int = 2) -> Data
 
 def product_line(df: DataFrame, line: str, column: str = "transaction_type") -> DataFrame:
     return df.where(F.col(column) == F.lit(line))
-
-
-def any_bucket(cols: Sequence[str], empty: str = "-") -> Column:
-    """``c1 != '-' OR c2 != '-' ...`` (NULL labels do not count)."""
-    out = None
-    for c in cols:
-        t = F.col(c) != F.lit(empty)
-        out = t if out is None else (out | t)
-    return out

@@ -34,42 +34,28 @@ def semi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str)
     return left.join(r, F.col(left_key) == F.col("__semi_k"), "left_semi")
 
 
-def left_join_small_to_large(small: DataFrame, large: DataFrame, small_key: Column, large_key: Column) -> DataFrame:
-    """``small LEFT JOIN large`` for a small preserved side and a large,
-    possibly skewed other side.
-
-    In a left outer join adaptive execution can neither broadcast the
-    preserved side nor split skew on the other one, so a hot key of ``large``
-    would land in one task.  Written instead as the inner join (either side
-    may be broadcast or split) plus the ``small`` rows without a match, found
-    against the distinct keys of ``large``.  Same rows as the left join.
-    """
-    inner = small.join(large, small_key == large_key, "inner")
-    keys = large.select(large_key.alias("__lj_k")).where(F.col("__lj_k").isNotNull()).distinct()
-    unmatched = small.join(keys, small_key == F.col("__lj_k"), "left_anti")
-    return inner.unionByName(unmatched, allowMissingColumns=True)
-
-
-def not_in_subquery(df: DataFrame, column: str, values: DataFrame, value_column: str) -> DataFrame:
+def not_in_subquery(df: DataFrame, column: str, values: DataFrame, value_column: str, key: bool = False) -> DataFrame:
     """``df.column NOT IN (SELECT value_column FROM values)`` with SQL semantics.
 
     The row stays when the list is empty; otherwise only when ``column`` is not
-    NULL, the list holds no NULL and no list value equals it.  The two list
-    facts (size, NULL count) come from one scalar subquery and appear only in
-    predicates that name no column of ``df``, so the optimizer cannot copy
-    them through later joins; membership is an ordinary anti join against the
-    distinct list values, so the list may be of any size (no broadcast-only
-    null-aware join is needed).
+    NULL, the list holds no NULL and no list value equals it.  Membership is an
+    ordinary anti join against the distinct list values, so the list may be of
+    any size.  Whether the list holds a NULL is one look with an ``IS NULL``
+    filter that reaches its scan; whether it is empty matters only for rows
+    whose own value is NULL and is asked by one row.  ``key``: the column is a
+    key without NULLs, which saves the second look.  Both looks are scalar
+    subqueries in predicates that name no column of ``df``, so the optimizer
+    cannot copy them through later joins.
     """
     v = values.select(F.col(value_column).alias("__nin_v"))
-    facts = v.select(F.struct(F.count(F.lit(1)).alias("n"),
-                              F.count_if(F.col("__nin_v").isNull()).alias("nulls")).alias("s")).scalar()
+    is_null = F.col("__nin_v").isNull()
+    nulls = v.where(is_null).agg(F.count(F.lit(1))).scalar()
     c = F.col(column)
-    listed = v.where(F.col("__nin_v").isNotNull()).distinct()
-    present = (df.where(c.isNotNull()).join(listed, c == F.col("__nin_v"), "left_anti")
-               .where(facts.getField("nulls") == 0))
-    absent = df.where(c.isNull()).where(facts.getField("n") == 0)
-    return present.unionByName(absent)
+    present = df.where(c.isNotNull()).join(v.where(~is_null).distinct(), c == F.col("__nin_v"), "left_anti").where(nulls == 0)
+    if key:
+        return present
+    some = v.limit(1).agg(F.count(F.lit(1))).scalar()
+    return present.unionByName(df.where(c.isNull()).where(some == 0))
 
 
 def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Sequence[tuple]) -> DataFrame:
@@ -77,14 +63,11 @@ def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Se
 
     A disjunctive condition has no equi-join key and plans as a nested-loop
     join.  Instead the work is done once on the distinct key tuples of
-    ``rows``: each tuple is exploded into its distinct non-NULL keys, matched
-    against all targets in one equi-join (the targets are stacked into one
-    directory), the matches of each target are gathered per tuple and
-    expanded into their product, and the result is joined back to ``rows``
-    once (NULL-safe).  A row gets one output row per combination of matching
-    target rows, a target without a match contributing one NULL, exactly as
-    the chained OR joins do.  The per-tuple lists hold the target rows named
-    by one of the tuple's keys (one per target when names are keys).
+    ``rows``: for each target the tuple's distinct non-NULL keys are matched in
+    one equi-join, and the matches are left-joined back to the tuples, so a
+    tuple without a match carries one NULL row and one with several has a row
+    for each combination, exactly as the chained OR joins do.  Nothing is
+    gathered in lists.  The tuples are joined back to ``rows`` once (NULL-safe).
 
     ``targets``: ``(df, key_column, columns, prefix)``; target columns come
     out as ``{prefix}{column}``; ``key_cols`` of ``rows`` may be NULL.
@@ -92,25 +75,16 @@ def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Se
     keys = list(key_cols)
     tup = [f"__dj{i}" for i in range(len(keys))]
     tuples = rows.select(*[F.col(k).alias(t) for k, t in zip(keys, tup)]).distinct()
-    exploded = tuples.select(*tup, F.explode(F.array_distinct(F.array(*tup))).alias("__dj_k")).where(
-        F.col("__dj_k").isNotNull())
-    directory = None
+    out = tuples
     for i, (tdf, tkey, tcols, prefix) in enumerate(targets):
-        part = tdf.select(F.col(tkey).alias("__dj_k"), F.lit(i).alias("__dj_t"),
-                          *[F.col(c).alias(prefix + c) for c in tcols])
-        directory = part if directory is None else directory.unionByName(part, allowMissingColumns=True)
-    matched = exploded.join(directory, "__dj_k")
-    lists = []
-    for i, (_, _, tcols, prefix) in enumerate(targets):
-        item = F.struct(*[F.col(prefix + c).alias(prefix + c) for c in tcols])
-        lists.append(F.collect_list(F.when(F.col("__dj_t") == i, item)).alias(f"__dj_l{i}"))
-    per_tuple = matched.groupBy(*tup).agg(*lists)
-    for i, (_, _, tcols, prefix) in enumerate(targets):
-        per_tuple = per_tuple.select("*", F.explode_outer(f"__dj_l{i}").alias(f"__dj_e{i}")).select(
-            *[c for c in per_tuple.columns if c != f"__dj_l{i}"],
-            *[F.col(f"__dj_e{i}").getField(prefix + c).alias(prefix + c) for c in tcols])
-    cond = [F.col(k).eqNullSafe(per_tuple[t]) for k, t in zip(keys, tup)]
-    return rows.join(per_tuple, cond, "left").drop(*tup)
+        own = [f"__dj{i}_{k}" for k in range(len(keys))]
+        asked = tuples.select(*[F.col(t).alias(o) for t, o in zip(tup, own)],
+                              F.explode(F.array_distinct(F.array(*tup))).alias("__dj_k")).where(F.col("__dj_k").isNotNull())
+        target = tdf.select(F.col(tkey).alias("__dj_t"), *[F.col(c).alias(prefix + c) for c in tcols])
+        found = asked.join(target, F.col("__dj_k") == F.col("__dj_t")).drop("__dj_k", "__dj_t")
+        out = out.join(found, [F.col(t).eqNullSafe(F.col(o)) for t, o in zip(tup, own)], "left").drop(*own)
+    cond = [F.col(k).eqNullSafe(out[t]) for k, t in zip(keys, tup)]
+    return rows.join(out, cond, "left").drop(*tup)
 
 
 def disjunctive_left_join(rows: DataFrame, key_cols: Sequence[str], target: DataFrame, target_key: str,
@@ -122,8 +96,3 @@ def disjunctive_left_join(rows: DataFrame, key_cols: Sequence[str], target: Data
 def ci_key(c: Column | str) -> Column:
     """Case-insensitive join key (``LOWER(x)``)."""
     return F.lower(F.col(c) if isinstance(c, str) else c)
-
-
-def lookup(df: DataFrame, dim: DataFrame, on: Column | str | Sequence[str], how: str = "left") -> DataFrame:
-    """Attach dimension columns (a left join by default)."""
-    return df.join(dim, on, how)

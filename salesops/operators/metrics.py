@@ -81,11 +81,6 @@ def receivable_pools(customer_sums: DataFrame, ledger: DataFrame, adjustments: D
     )
 
 
-def ageing_buckets(gross: dict[str, Column]) -> dict[str, Column]:
-    """Round and floor each gross bucket (overdue now, due tomorrow, due this week)."""
-    return {k: overdue_amount(v) for k, v in gross.items()}
-
-
 # -- targets and attainment -------------------------------------------------
 
 def crore_target(target: Column, unit_price: int) -> Column:

@@ -16,12 +16,19 @@ The same numbers come from one aggregation per child.  For child x let
 A developer survives when any child hits.  If some *other* child hits, every
 row of x meets a surviving partner, so the result is ``all_v``; otherwise only
 x's own hits survive and the result is ``match_v``.
+
+A row whose value condition fails only adds 0 to ``all_v``.  So each child is
+read within the date span that holds its filter and its condition (pushed to
+the scan), and whether it has any other row, which turns a negative maximum
+into 0, is asked only for developers whose maximum is negative or NULL, from
+the two columns key and date.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,49 +36,60 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Child:
-    """One achievement table: its filter branch, its value condition and the
-    values (name -> Column, each evaluated as ``CASE WHEN cond THEN v ELSE 0``)."""
+    """One achievement table: its filter branch, its value condition, the
+    values (name -> Column, each evaluated as ``CASE WHEN cond THEN v ELSE 0``)
+    and a span: a predicate on the date that every row of branch or condition
+    satisfies (None: read all rows)."""
 
     name: str
     df: DataFrame
     pred: Column
     cond: Column
     values: Mapping[str, Column]
+    span: Column | None = None
 
 
 def child_stats(child: Child, key: str = "bd") -> DataFrame:
     """Per key: ``hit``, and ``all``/``match`` maxima of every value."""
-    aggs = [F.max(F.coalesce(child.pred, F.lit(False)).cast("int")).alias(f"{child.name}_hit")]
+    n = child.name
+    near = child.df if child.span is None else child.df.where(child.span)
+    inside = F.coalesce(child.cond, F.lit(False))
+    aggs = [F.max(F.coalesce(child.pred, F.lit(False)).cast("int")).alias(f"{n}_hit"), F.count_if(inside).alias("__in")]
     for vname, v in child.values.items():
-        val = F.when(child.cond, v).otherwise(F.lit(0))
-        aggs.append(F.max(val).alias(f"{child.name}_all_{vname}"))
-        aggs.append(F.max(F.when(child.pred, val)).alias(f"{child.name}_match_{vname}"))
-    out = child.df.groupBy(key).agg(*aggs)
-    return out.withColumn(f"{child.name}_present", F.lit(True))
+        aggs.append(F.max(F.when(inside, v)).alias(f"{n}_in_{vname}"))
+        aggs.append(F.max(F.when(child.pred, F.when(inside, v).otherwise(F.lit(0)))).alias(f"{n}_match_{vname}"))
+    stats = near.groupBy(key).agg(*aggs)
+    # the 0 of other rows shows where the values inside are negative or all NULL
+    asks = reduce(Column.__or__, [F.coalesce(F.col(f"{n}_in_{v}"), F.lit(-1)) < 0 for v in child.values])
+    asked = stats.where((F.col("__in") > 0) & asks).select(F.col(key).alias("__star_k"))
+    other = child.df.where(~inside).select(F.col(key).alias("__star_o"))
+    other = other.join(asked, F.col("__star_o") == F.col("__star_k"), "left_semi").distinct()
+    stats = stats.join(other, F.col(key) == F.col("__star_o"), "left")
+    alone = F.col("__star_o").isNull() & (F.col("__in") > 0)
+    cols = [F.col(key), F.col(f"{n}_hit")]
+    for vname in child.values:
+        top = F.col(f"{n}_in_{vname}")
+        cols.append(F.when(alone, top).otherwise(F.greatest(top, F.lit(0))).alias(f"{n}_all_{vname}"))
+        cols.append(F.col(f"{n}_match_{vname}"))
+    return stats.select(*cols)
 
 
 def star_max(keys: DataFrame, children: Sequence[Child], key: str = "bd") -> DataFrame:
     """``keys`` (one row per key) with, per child value, the dashboard's MAX.
 
-    Keys with no hit in any child are dropped.  Output columns are
-    ``{child}_{value}`` plus ``key``.
+    Keys with no hit in any child are dropped.  Output columns are those of
+    ``keys`` plus ``{child}_{value}``.
     """
     out = keys
     for ch in children:
         out = out.join(child_stats(ch, key), key, "left")
-    hit = {ch.name: (F.col(f"{ch.name}_hit") == 1) for ch in children}
-    any_hit = None
-    for h in hit.values():
-        any_hit = h if any_hit is None else (any_hit | h)
-    cols = [F.col(key)]
+    hit = {ch.name: F.coalesce(F.col(f"{ch.name}_hit") == 1, F.lit(False)) for ch in children}
+    any_hit = reduce(Column.__or__, hit.values())
+    cols = [F.col(c) for c in keys.columns]
     for ch in children:
-        others = [hit[o.name] for o in children if o.name != ch.name]
-        other_hit = others[0]
-        for o in others[1:]:
-            other_hit = other_hit | o
-        present = F.col(f"{ch.name}_present").isNotNull()
+        other_hit = reduce(Column.__or__, [h for n, h in hit.items() if n != ch.name])
         for vname in ch.values:
-            all_v = F.when(present, F.col(f"{ch.name}_all_{vname}")).otherwise(F.lit(0))
-            cols.append(F.when(F.coalesce(other_hit, F.lit(False)), all_v)
+            all_v = F.when(F.col(f"{ch.name}_hit").isNull(), F.lit(0)).otherwise(F.col(f"{ch.name}_all_{vname}"))
+            cols.append(F.when(other_hit, all_v)
                         .otherwise(F.col(f"{ch.name}_match_{vname}")).alias(f"{ch.name}_{vname}"))
-    return out.where(F.coalesce(any_hit, F.lit(False))).select(*cols)
+    return out.where(any_hit).select(*cols)

@@ -32,6 +32,29 @@ def row_number_in(df: DataFrame, keys: Sequence[str], order: Order, name: str =
     return df.withColumn(name, F.row_number().over(w))
 
 
+def row_number_of_all(df: DataFrame, first: str, rest: Order, name: str = "rn") -> DataFrame:
+    """Add ``row_number()`` over the whole input, ordered by ``first`` descending
+    (NULLs last) and then ``rest``, without putting it into one task: rows are
+    ranked among those of equal ``first``, and the counts of the greater values
+    (one row per value) set the ranks off."""
+    counts = df.groupBy(F.col(first).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    ahead = Window.orderBy(F.col("__of").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("__of", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
+    ranked = row_number_in(df, [first], rest, name)
+    out = ranked.join(before, ranked[first].eqNullSafe(before["__of"]))
+    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__of", "__before")
+
+
+def row_number_in_split_null(df: DataFrame, key: str, first: str, rest: Order, name: str = "rn") -> DataFrame:
+    """``row_number()`` per ``key``, ordered by ``first`` descending and then
+    ``rest``, where many rows may have no key: they form one group, as in SQL,
+    which is ranked in parts."""
+    order = [F.col(first).desc_nulls_last(), *rest]
+    keyed = row_number_in(df.where(F.col(key).isNotNull()), [key], order, name)
+    keyed = keyed.withColumn(name, F.col(name).cast("bigint"))
+    return keyed.unionByName(row_number_of_all(df.where(F.col(key).isNull()), first, rest, name).select(*keyed.columns))
+
+
 def pick_one(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:
     """One row per ``keys``: the first under ``order``."""
     tmp = "__pick_rn"

@@ -20,7 +20,7 @@ from ..functions.dates import as_date, last_days, same_month, same_quarter, same
 from ..functions.numeric import flag_yn, format_amount, payment_terms_days, per_lakh, times
 from ..operators import aggregates as A
 from ..operators.filters import open_recent_todos, visible_to
-from ..operators.joins import ci_key, disjunctive_left_joins, left_join_small_to_large
+from ..operators.joins import ci_key, disjunctive_left_joins
 from ..operators.metrics import (appointment_type, collection_targets, day_buckets, manager_metrics, net_outstanding,
                                  net_overdue, overdue_amount, receivable_pools, todo_label, zero_if_no_overdue)
 from ..operators.output import Field, as_report, category_rank, unpivot_categories, with_total_row
@@ -211,14 +211,16 @@ def customer_debt(tables, config: Config, inputs: dict[str, DataFrame] | None =
     j = (r["customer_sums"].select(
         "customer_id", "customer_name", F.col("payment_type").alias("customer_payment_type"),
         F.col("account_manager").alias("bd"), F.col("payment_terms_days").alias("payment_terms"),
-        "outstanding_amount", "overdue_gross", "due_tomorrow_gross", "due_week_gross", "latest_address")
+        "outstanding_amount", "overdue_gross", "due_tomorrow_gross", "due_week_gross")
          .join(r["ledger"].where(F.col("total_gl_amount") > 0), F.col("customer_id") == F.col("party")).drop("party")
          .join(r["adjustments"], F.col("customer_id") == F.col("party"), "left").drop("party")
          .join(r["unallocated"], F.col("customer_id") == F.col("party"), "left").drop("party"))
     ccl = credit_limits(t["customer_credit_limit"])
     j = j.join(ccl, F.col("customer_id") == F.col("__ccl"), "left").drop("__ccl")
-    addr = t["address"].select(F.col("name").alias("__addr"), F.col("city").alias("last_delivery_city"))
-    j = j.join(addr, F.col("latest_address") == F.col("__addr"), "left").drop("__addr", "latest_address")
+    # the latest invoice of any state: a narrow branch of its own, reduced to one
+    # row per customer before the shuffle (partial WindowGroupLimit)
+    city = last_delivery_city(t["sales_invoice"], t["address"])
+    j = j.join(city, F.col("customer_id") == F.col("customer"), "left").drop("customer")
     gl, jv, pe = F.col("total_gl_amount"), F.col("total_jv_amount"), F.col("total_unallocated_amount")
     n = net_outstanding(gl, F.col("outstanding_amount"), jv, pe)
     overdue = overdue_amount(F.col("overdue_gross"))
@@ -238,9 +240,9 @@ def report_debtors(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     overdue, amounts falling due tomorrow and this week, credit terms."""
     t = tables
     debt = customer_debt(t, config).where(F.col("customer_payment_type") == POSTPAID)
-    sp = visible_to(plan_bd_spine(t), user).select("bd", "zonal_head", "zonal_head_sales_person")
-    j = sp.join(debt, "bd")
-    j = j.join(teams(t["sales_person"], config.excluded_sales_persons), F.col("bd") == F.col("custom_user"), "left")
+    # teams go on the small spine first, so the debt is joined once and a bd with
+    # a large share of the customers can be split
+    j = visible_spine(t, user, config.excluded_sales_persons).join(debt, "bd")
     out = j.select(F.col("custom_team").alias("Team"), F.col("team_user_name").alias("Team_Username"),
                    "zonal_head_sales_person", "zonal_head", "customer_id", "customer_name", "customer_payment_type",
                    "credit_limit", "payment_terms", "last_delivery_city", "allowed_credit_breach", "ledger",
@@ -262,6 +264,8 @@ def dashboard_children(tables, as_of, unit_price: int) -> list[Child]:
     da, wa, ma, qa = (t["daily_achievement"], t["weekly_achievement"], t["monthly_achievement"],
                       t["quaterly_achievement"])
     yday = F.col("date") == F.date_sub(a, 1)
+    sunday = F.date_sub(a, F.dayofweek(a) - 1)
+    span = F.col("date").between
 
     def vals(target, orders, deliveries):
         return {"target": F.col(target), "target_price": times(target, unit_price), "Orders": F.col(orders),
@@ -269,12 +273,15 @@ def dashboard_children(tables, as_of, unit_price: int) -> list[Child]:
 
     return [
         Child("w", wa, last_days("date", a, 7), same_week("date", p),
-              vals("weekly_target", "daily_achievement_sales_order", "weekly_achievement")),
-        Child("d", da, yday, yday, vals("daily_target", "daily_achievement_sales_order", "daily_achievement")),
+              vals("weekly_target", "daily_achievement_sales_order", "weekly_achievement"),
+              span(F.least(sunday, F.date_sub(a, 7)), F.date_add(sunday, 6))),
+        Child("d", da, yday, yday, vals("daily_target", "daily_achievement_sales_order", "daily_achievement"), yday),
         Child("m", ma, same_month("date", p), same_month("date", p),
-              vals("monthly_target", "daily_achievement_sales_order", "monthly_achievement")),
+              vals("monthly_target", "daily_achievement_sales_order", "monthly_achievement"),
+              span(F.trunc(a, "month"), F.last_day(a))),
         Child("q", qa, same_quarter("date", p), same_quarter("date", p),
-              vals("quaterly_target", "quaterly_achievement_sales_order", "quaterly_achievement")),
+              vals("quaterly_target", "quaterly_achievement_sales_order", "quaterly_achievement"),
+              span(F.trunc(a, "quarter"), F.last_day(F.add_months(F.trunc(a, "quarter"), 2)))),
     ]
 
 
@@ -288,8 +295,7 @@ def dashboard_wide(tables, user=None, config: Config = DEFAULT) -> DataFrame:
                              [F.col("plan_date").desc_nulls_last(), F.col("plan").desc_nulls_last(),
                               F.col("custom_team").asc_nulls_first()]).select(
         "bd", "custom_team", "zonal_head_sales_person", "bd_sales_person")
-    stats = star_max(labels.select("bd"), dashboard_children(t, config.as_of, config.unit_price))
-    return labels.join(stats, "bd")
+    return star_max(labels, dashboard_children(t, config.as_of, config.unit_price))
 
 
 def _dashboard_cell(category: str, measure: str) -> str:
@@ -321,11 +327,17 @@ APPOINTMENT_COLUMNS = ["Team", "BD", "Zonal_head", "Todo_ID", "Appointment_type"
                        "Today", "Tomorrow", "Week", "Count_Status_Open"]
 
 
-def todo_rows(tables, as_of) -> DataFrame:
+def todo_rows(tables, as_of, shown_days_only: bool = False) -> DataFrame:
     """Open recent todos with their first event participant and the customer /
-    lead / opportunity their reference (or that participant) points to."""
+    lead / opportunity their reference (or that participant) points to;
+    ``shown_days_only`` keeps the days that can fall in a bucket."""
     t = tables
     td = open_recent_todos(t["todo"], as_of).select("name", "owner", "date", "reference_type", "reference_name")
+    if shown_days_only:
+        a = as_date(as_of)
+        sunday = F.date_sub(a, F.dayofweek(a) - 1)
+        td = td.where(F.col("date").between(F.least(sunday, F.date_sub(a, 1)),
+                                            F.greatest(F.date_add(sunday, 6), F.date_add(a, 1))))
     ep = t["event_participants"].where(F.col("idx") == 1).select(
         F.col("parent").alias("ep_parent"), F.col("reference_docname").alias("ep_reference_docname"))
     rows = td.join(ep, td["reference_name"] == ep["ep_parent"], "left")
@@ -338,7 +350,7 @@ def todo_rows(tables, as_of) -> DataFrame:
 
 def todo_buckets(tables, as_of) -> DataFrame:
     """Todos with a label in at least one of Yesterday / Today / Tomorrow / Week."""
-    rows = todo_rows(tables, as_of)
+    rows = todo_rows(tables, as_of, shown_days_only=True)
     b = day_buckets(F.col("date"), as_of, todo_label())
     out = rows.select(F.col("name").alias("Todo_ID"), "owner", "reference_type", "reference_name",
                       *[c.alias(n) for n, c in b.items()])
@@ -351,9 +363,8 @@ def report_appointment(tables, user=None, config: Config = DEFAULT) -> DataFrame
     todos = todo_buckets(t, as_of)
     counts = A.open_todo_count(t["todo"], as_of)
     sp = visible_spine(t, user, config.excluded_sales_persons)
-    # spine LEFT JOIN todos, written so a bd owning a large share of todos
-    # can be split or the spine broadcast (see left_join_small_to_large)
-    j = left_join_small_to_large(sp, todos, ci_key(sp["bd"]), ci_key(todos["owner"])).drop("owner")
+    # the todos of the shown days only, a week or so: they stream through the join
+    j = sp.join(todos, ci_key(sp["bd"]) == ci_key(todos["owner"]), "left").drop("owner")
     j = j.join(counts, j["bd"] == counts["owner"], "left")
     out = j.select(F.col("custom_team").alias("Team"), F.col("team_user_name").alias("BD"),
                    F.col("zonal_head_sales_person").alias("Zonal_head"), "Todo_ID",

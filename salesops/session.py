@@ -7,9 +7,6 @@ already configured (e.g. ``spark.checkpoint.dir`` from spark-defaults) alone.
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import SparkSession
 
 LOCAL_CONF = {
@@ -29,33 +26,19 @@ LOCAL_CONF = {
 
 
 def local_session(cores: int | str = 8, app: str = "salesops", **conf) -> SparkSession:
+    """A local session; pass ``spark.checkpoint.dir`` to give it a scratch folder."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     for k, v in {**LOCAL_CONF, **conf}.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder, setting a scratch one only when the
-    session names none (tests on one machine)."""
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if current:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
-    path = tempfile.mkdtemp(prefix="salesops-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
-
-
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder under the shared checkpoint location for written tables."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    path = os.path.join(base, name)
-    return path
+    """A folder under the shared checkpoint location for written tables; the
+    session must name that location, as only the cluster knows what is shared."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{base.rstrip('/')}/{name}"

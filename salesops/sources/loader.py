@@ -7,14 +7,15 @@ Catalyst prunes each scan to the columns it uses.
 Sources:
 * ``read_tables``   parquet/orc/... files, one folder or file per table, read
                     with the explicit schema of ``schemas.SCHEMAS``.
-* ``read_jdbc``     a live site database, ``tab<DocType>`` tables, read in
-                    parallel slices when a numeric partition column is given.
+* ``read_jdbc``     a live site database, ``tab<DocType>`` tables, fact tables
+                    in parallel slices.
 * ``fixture_tables`` tables derived from the driver's TPC-H-style files.
 Sink: ``write_tables`` writes any ``Tables`` to a folder (parquet by default).
 """
 
 from __future__ import annotations
 
+import datetime as _dt
 import os
 from collections.abc import Callable, Iterator, Mapping
 
@@ -83,23 +84,56 @@ def read_tables(spark: SparkSession, path: str, fmt: str = "parquet",
     return Tables({n: build(n) for n in (names or tuple(SCHEMAS))})
 
 
+# Tables that grow with the business: never read over one connection.
+FACT_TABLES = ("sales_invoice", "payment_entry", "gl_entry", "journal_entry", "journal_entry_account", "sales_order",
+               "opportunity", "lead", "customer", "todo", "event_participants", "daily_achievement",
+               "weekly_achievement", "monthly_achievement", "quaterly_achievement")
+
+
+def creation_slices(start: _dt.date, end: _dt.date, slices: int, column: str = "creation") -> list[str]:
+    """Predicates that cut a table by its creation time into ``slices`` parts;
+    the first takes all before ``start`` and NULL, the last all after ``end``."""
+    step = max((end - start).days // max(slices, 1), 1)
+    cuts = [start + _dt.timedelta(days=step * i) for i in range(1, max(slices, 1))]
+    if not cuts:
+        return ["1 = 1"]
+    inner = [f"`{column}` >= '{a}' AND `{column}` < '{b}'" for a, b in zip(cuts[:-1], cuts[1:])]
+    return [f"`{column}` < '{cuts[0]}' OR `{column}` IS NULL", *inner, f"`{column}` >= '{cuts[-1]}'"]
+
+
+def jdbc_plan(name: str, partitions: Mapping[str, tuple[str, int, int, int]],
+              created: tuple[_dt.date, _dt.date, int] | None) -> tuple[str, object]:
+    """How ``read_jdbc`` reads a table: ("range", bounds), ("slices",
+    predicates) or ("whole", None); a fact table without bounds or slices is
+    refused."""
+    if name in partitions:
+        return "range", partitions[name]
+    if name not in FACT_TABLES:
+        return "whole", None
+    if created is None:
+        raise ValueError(f"{name} is a fact table: give its partitions, or the span of creation dates to slice by")
+    return "slices", creation_slices(*created)
+
+
 def read_jdbc(spark: SparkSession, url: str, properties: dict[str, str],
               partitions: Mapping[str, tuple[str, int, int, int]] | None = None,
-              names: tuple[str, ...] | None = None) -> Tables:
+              names: tuple[str, ...] | None = None,
+              created: tuple[_dt.date, _dt.date, int] | None = None) -> Tables:
     """Tables of a live site database (``tab<DocType>``).
 
-    ``partitions`` maps a table to ``(column, lower, upper, num_partitions)``
-    so large fact tables are read by many tasks instead of one connection.
+    ``partitions`` maps a table to ``(column, lower, upper, num_partitions)``;
+    the other fact tables are read in slices by ``creation``, over ``created`` =
+    (first day, last day, slices).  Small tables come over one connection.
     """
-    partitions = partitions or {}
-
     def build(name: str) -> Callable[[], DataFrame]:
         def load() -> DataFrame:
-            reader = spark.read.format("jdbc").option("url", url).option("dbtable", f"`tab{DOCTYPES[name]}`")
-            for k, v in properties.items():
-                reader = reader.option(k, v)
-            if name in partitions:
-                col, lo, hi, n = partitions[name]
+            how, what = jdbc_plan(name, partitions or {}, created)
+            table = f"`tab{DOCTYPES[name]}`"
+            if how == "slices":
+                return conform(spark.read.jdbc(url, table, predicates=what, properties=properties), SCHEMAS[name])
+            reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**properties)
+            if how == "range":
+                col, lo, hi, n = what
                 reader = (reader.option("partitionColumn", col).option("lowerBound", lo)
                           .option("upperBound", hi).option("numPartitions", n))
             return conform(reader.load(), SCHEMAS[name])

@@ -9,9 +9,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from salesops.session import local_session
-    s = local_session(4, app="salesops-tests", **{"spark.sql.shuffle.partitions": "4"})
+    s = local_session(4, app="salesops-tests", **{"spark.sql.shuffle.partitions": "4",
+                                                  "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield s
 
 

@@ -3,9 +3,13 @@
 import pytest
 
 import __spark_entry__ as E
+from salesops.config import DASHBOARD_CATEGORIES, REPORT_FIELDS
+from salesops.operators.output import Field, columns_of, with_total_row
 from salesops.plans import reports as R
+from salesops.plans.catalog import QUERIES
 from salesops.plans.compare import compare
-from salesops.plans.params import CONFIG
+from salesops.plans.oracles import ORACLES
+from salesops.plans.params import CONFIG, TODO_CONFIG
 
 from .conftest import SF_SMALL
 
@@ -20,8 +24,48 @@ def test_report_matches_oracle(spark, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
-    assert len(E.queries()) >= 90
+    assert set(QUERIES) == set(ORACLES) and len(QUERIES) >= 95
+    assert set(QUERIES) <= set(E.queries()) and set(ORACLES) <= set(E.oracle_sql())
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("report_total_row")))
+def test_total_row_matches_oracle(spark, name):
+    res = compare(E.queries()[name](spark, SF_SMALL), E.oracle_sql()[name], SF_SMALL)
+    assert res["schema_match"] and res["value_match"], res
+
+
+def test_total_row_keeps_equal_rows(spark):
+    df = spark.createDataFrame([("a", 1, 10.0), ("a", 1, 10.0), ("b", 2, None)], "team string, n int, pct double")
+    fields = [Field("team", "Team"), Field("n", "N", "Int"), Field("pct", "P", "Percent")]
+    got = sorted(map(tuple, with_total_row(df, fields).collect()), key=str)
+    assert got == sorted([("a", 1, 10.0, False), ("a", 1, 10.0, False), ("b", 2, None, False), ("Total", 4, 20 / 3, True)], key=str)
+
+
+def test_rows_come_in_report_order(spark, fixtures):
+    none_first = lambda v: (v is not None, v or "")
+    rows = R.report_appointment(fixtures, None, TODO_CONFIG).collect()
+    keys = [(none_first(r["Team"]), none_first(r["BD"])) for r in rows]
+    assert keys == sorted(keys) and len(set(keys)) > 3
+    rows = R.report_funnel(fixtures, None, CONFIG).collect()
+    keys = [(none_first(r["Team"]), none_first(r["Team_Username"])) for r in rows]
+    assert keys == sorted(keys) and len(set(keys)) > 3
+    rows = R.report_dashboard(fixtures, None, CONFIG).collect()
+    rank = {c: i for i, c in enumerate(DASHBOARD_CATEGORIES)}
+    keys = [(none_first(r["custom_team"]), none_first(r["zonal_head_sales_person"]), none_first(r["bd_sales_person"]), rank[r["Category"]]) for r in rows]
+    assert keys == sorted(keys) and len(set(keys)) > 9
+    days = [r["days_since_last_onboarding"] for r in R.report_zero_order(fixtures, None, CONFIG).collect()]
+    shown = [d for d in days if d is not None]
+    assert shown == sorted(shown, reverse=True) and days[: len(shown)] == shown and len(set(shown)) > 1
+
+
+def test_config_switches(spark, fixtures):
+    base = {r["team_username"]: r for r in R.report_collection(fixtures, None, CONFIG).collect()}
+    fixed = {r["team_username"]: r for r in R.report_collection(fixtures, None, CONFIG.with_(fix_lwd_att=True)).collect()}
+    for bd, r in base.items():
+        if r["lwd_att"]:
+            assert float(fixed[bd]["lwd_att"]) > float(r["lwd_att"])
+    own = R.report_collection(fixtures, None, CONFIG.with_(per_customer_pools=True)).collect()
+    assert sum(r["net_outstanding_amount"] or 0 for r in own) >= sum(r["net_outstanding_amount"] or 0 for r in base.values())
 
 
 def test_entry_runs(spark):
@@ -36,9 +80,10 @@ def test_visibility_filters_rows(spark, fixtures):
     assert 0 < bh1 < all_rows and nobody == 0
 
 
-def test_report_columns_labelled(spark, fixtures):
-    from salesops.operators.output import as_report, columns_of
-    from salesops.plans.operator_queries import COLLECTION_FIELDS
-    rep = as_report(R.report_collection(fixtures, None, CONFIG), COLLECTION_FIELDS, keep_others=False)
-    cols = columns_of(rep)
-    assert cols[2] == {"fieldname": "net_outstanding_amount", "label": "Outstanding (Rs) Lacs", "fieldtype": "Currency"}
+@pytest.mark.parametrize("name", list(R.REPORTS))
+def test_report_columns_labelled(spark, fixtures, name):
+    config = TODO_CONFIG if name == "appointment" else CONFIG
+    for total in (False, True):
+        cols = columns_of(R.report(name, fixtures, None, config, total=total))
+        want = [dict(zip(("fieldname", "label", "fieldtype"), f)) for f in REPORT_FIELDS[name]]
+        assert cols[: len(want)] == want

@@ -38,7 +38,8 @@ def skewed_dir(tmp_path_factory):
 
 @pytest.mark.parametrize("name", ["report_collection", "report_debtors", "report_funnel", "report_zero_order",
                                   "report_dashboard", "report_appointment", "ledger_balance",
-                                  "latest_invoice_per_customer", "todo_or_join"])
+                                  "latest_invoice_per_customer", "todo_or_join",
+                                  "journal_adjustments", "invoice_rank_in_order"])
 def test_skewed_matches_oracle(spark, skewed_dir, name):
     res = compare(E.queries()[name](spark, skewed_dir), E.oracle_sql()[name], skewed_dir)
     assert res["schema_match"] and res["value_match"], res
