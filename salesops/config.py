@@ -188,6 +188,8 @@ class Config:
     # Quirk switches; defaults reproduce the reports as specified.
     fix_lwd_att: bool = False
     per_customer_pools: bool = False
+    # Compare user ids without regard to case, as a case-insensitive database does.
+    ignore_case: bool = False
 
     def with_(self, **kw) -> "Config":
         return replace(self, **kw)

@@ -67,4 +67,10 @@ def _report_appointment(t):
     return R.report_appointment(t, None, TODO_CONFIG)
 
 
+@register("report_appointment_ignore_case")
+def _report_appointment_ignore_case(t):
+    """R1 with user ids compared without regard to case."""
+    return R.report_appointment(t, None, TODO_CONFIG.with_(ignore_case=True))
+
+
 from . import operator_queries  # noqa: E402,F401  (registers the operator queries)

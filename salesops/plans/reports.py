@@ -26,10 +26,16 @@ from ..operators.metrics import (appointment_type, collection_targets, day_bucke
 from ..operators.output import Field, as_report, category_rank, unpivot_categories, with_total_row
 from ..operators.star import Child, star_max
 from ..operators.windows import latest_per_group, one_row_per_key, pick_one
+from ..sources.loader import fold_users
 
 DEFAULT = Config()
 
 
+def cased(tables, config: Config):
+    """The tables as the configuration compares user ids (``user`` is then given in lower case)."""
+    return fold_users(tables) if config.ignore_case else tables
+
+
 # -- spine ------------------------------------------------------------------
 
 def latest_plans(sales_target: DataFrame) -> DataFrame:
@@ -87,7 +93,7 @@ FUNNEL_COLUMNS = (["Team", "Team_Username", "BD", "zonal_head_sales_person", "zo
 def report_funnel(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     """Per bd: open leads by heat, opportunities by stage, onboarding recency,
     zero-order customers."""
-    t, line, a = tables, config.product_line, as_date(config.as_of)
+    t, line, a = cased(tables, config), config.product_line, as_date(config.as_of)
     fm = A.funnel_metrics(t["lead"], t["opportunity"], t["customer"], t["sales_order"], line)
     co = A.customer_onboarding(t["customer"], line, a).drop("last_onboarding_date")
     j = visible_spine(t, user)
@@ -104,7 +110,7 @@ def report_funnel(tables, user=None, config: Config = DEFAULT) -> DataFrame:
 def report_zero_order(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     """Per bd, one onboarded customer of the product line with opportunities and
     no sales order (the longest-onboarded one), primary contact not excluded."""
-    t, a = tables, as_date(config.as_of)
+    t, a = cased(tables, config), as_date(config.as_of)
     zo = A.zero_order_customers(t["lead"], t["opportunity"], t["customer"], t["sales_order"],
                                 config.product_line, a, excluded_contacts=config.excluded_contacts)
     zo = zo.select("bd", "customer_id", "customer_name", "payment_type", "days_since_last_onboarding")
@@ -159,7 +165,7 @@ def manager_receivables(tables, config: Config, inputs: dict[str, DataFrame] | N
 def report_collection(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     """Per bd: net outstanding and overdue (lakh), and collections against the
     day / week-to-date / month-to-date targets (crore) with attainment."""
-    t, a = tables, as_date(config.as_of)
+    t, a = cased(tables, config), as_date(config.as_of)
     r = receivable_inputs(t, config)
     mgr = manager_metrics(r["party_totals"], r["customer_sums"], r["ledger"], r["adjustments"], t["customer"],
                           config.per_customer_pools)
@@ -238,7 +244,7 @@ def customer_debt(tables, config: Config, inputs: dict[str, DataFrame] | None =
 def report_debtors(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     """Per postpaid customer of a visible bd: ledger, net outstanding, net
     overdue, amounts falling due tomorrow and this week, credit terms."""
-    t = tables
+    t = cased(tables, config)
     debt = customer_debt(t, config).where(F.col("customer_payment_type") == POSTPAID)
     # teams go on the small spine first, so the debt is joined once and a bd with
     # a large share of the customers can be split
@@ -309,6 +315,7 @@ def report_dashboard(tables, user=None, config: Config = DEFAULT, formatted: boo
     """Per bd x {Orders, Deliveries, Collection}: day / week / month / quarter
     target and actual.  Numbers come as decimals (``LWD_Target`` ...) and, with
     ``formatted``, also as text with thousands separators (``LWD_Target_text``)."""
+    tables = cased(tables, config)
     wide = dashboard_wide(tables, user, config)
     long = unpivot_categories(wide, ["bd", "custom_team", "zonal_head_sales_person", "bd_sales_person"],
                               DASHBOARD_CATEGORIES, DASHBOARD_MEASURES, _dashboard_cell)
@@ -359,7 +366,7 @@ def todo_buckets(tables, as_of) -> DataFrame:
 
 def report_appointment(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     """Per bd: its open todos in the day buckets, and its open-todo count."""
-    t, as_of = tables, config.as_of
+    t, as_of = cased(tables, config), config.as_of
     todos = todo_buckets(t, as_of)
     counts = A.open_todo_count(t["todo"], as_of)
     sp = visible_spine(t, user, config.excluded_sales_persons)

@@ -63,6 +63,24 @@ class Tables(Mapping):
         return out
 
 
+# Columns that hold user ids, by table.
+USER_COLUMNS: dict[str, tuple[str, ...]] = {
+    "sales_target": ("business_head",), "business_developer": ("bd", "zonal_head"), "sales_person": ("custom_user",),
+    "customer": ("account_manager",), "lead": ("lead_owner",), "todo": ("owner",),
+    "daily_achievement": ("bd",), "weekly_achievement": ("bd",), "monthly_achievement": ("bd",),
+    "quaterly_achievement": ("bd",), "zonal": ("zonal_head",),
+}
+
+
+def fold_users(tables: Mapping[str, DataFrame]) -> Tables:
+    """The tables with user ids in lower case, so that joins, groups and the
+    visibility rule take ids that differ in case for one."""
+    def build(name: str) -> Callable[[], DataFrame]:
+        return lambda: tables[name].withColumns({c: F.lower(c) for c in USER_COLUMNS.get(name, ())})
+
+    return Tables({n: build(n) for n in tables})
+
+
 def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Project ``df`` onto ``schema``: cast present columns, add missing ones as NULL."""
     have = set(df.columns)

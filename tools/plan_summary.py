@@ -15,6 +15,7 @@ import collections
 import os
 import re
 import sys
+import tempfile
 import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -54,7 +55,8 @@ def main() -> None:
     no_bc = "--no-broadcast" in args
     args = [a for a in args if a != "--no-broadcast"]
     sf_dir = args[0] if args else "/root/testdata/sf0.01"
-    spark = local_session(**{"spark.sql.maxMetadataStringLength": "1000"})
+    spark = local_session(**{"spark.sql.maxMetadataStringLength": "1000",
+                              "spark.checkpoint.dir": tempfile.mkdtemp(prefix="salesops-plans-")})
     path = scratch_dir(spark, f"plans-{uuid.uuid4().hex[:12]}")
     write_tables(fixture_tables(spark, sf_dir), path)
     tables = read_tables(spark, path)
