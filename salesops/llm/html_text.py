@@ -48,18 +48,24 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 DROPPED = frozenset("nav header footer aside form script style noscript template iframe button select option textarea title svg canvas object embed dialog menu noembed noframes math audio video head".split())
 DROPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar navigation menu sidebar aside header masthead footer comment comments disqus reply replies respond cookie cookies consent notice alert popup modal newsletter subscribe signup share sharing social related recommended breadcrumb breadcrumbs pagination pager toolbar widget login search skip".split())
 CONTENT = frozenset(("article", "main"))
+COMMENTS = frozenset("comment comments reply replies respond".split())
+TELLING = frozenset("has have with no without is".split())
 IMPLIED_END = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|noembed|noframes|xmp)\b(?P<ra>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<at>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S | re.I)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
+_HIDDEN = re.compile(r"(?<![-\w])hidden(?![-\w])|display\s*:\s*none", re.I)
 
 
-def _furniture(attributes: str) -> bool:
+def _furniture(attributes: str, names: frozenset[str] = DROPPED_NAMES) -> bool:
+    """The element is hidden, or its class, id or role begins or ends with one of the names (``has-sidebar`` and the like only tell of others)."""
+    if names is DROPPED_NAMES and _HIDDEN.search(attributes):
+        return True
     for m in _NAMES.finditer(attributes):
         for name in (m[1] or m[2] or m[3] or "").lower().split():
             parts = _PART.findall(name)
-            if parts and (parts[0] in DROPPED_NAMES or parts[-1] in DROPPED_NAMES):
+            if parts and parts[0] not in TELLING and (parts[0] in names or parts[-1] in names):
                 return True
     return False
 
@@ -70,20 +76,20 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool, str]]:
     The kind of a tag is its name with ``<`` or ``</``; that of a text names the
     element that holds it, past inline ones, with its class.  Tags have an empty text."""
     out: list[tuple[str, str, bool, bool, str]] = []
-    stack: list[tuple[str, str, bool]] = []  # element, kind of its words, dropped
+    stack: list[tuple[str, str, int]] = []  # element, kind of its words, dropped
     at = 0
 
     def text(piece: str) -> None:
         if piece and not piece.isspace():
-            kind, dropped = (stack[-1][1], stack[-1][2]) if stack else ("body", False)
+            kind, dropped = (stack[-1][1], bool(stack[-1][2])) if stack else ("body", False)
             out.append((kind, piece, dropped, False, ""))
         elif piece:
-            out.append(("", piece, stack[-1][2] if stack else False, False, ""))
+            out.append(("", piece, bool(stack and stack[-1][2]), False, ""))
 
     def close(k: int) -> None:
         while len(stack) > k:
             name, _, dropped = stack.pop()
-            out.append((f"</{name}", "", dropped, name not in INLINE, f"/{name}" if name in CONTENT else ""))
+            out.append((f"</{name}", "", bool(dropped), name not in INLINE, f"/{name}" if name in CONTENT else ""))
 
     for m in _TOKEN.finditer(page):
         text(page[at : m.start()])
@@ -117,11 +123,15 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool, str]]:
                     break
                 if stack[k][0] not in INLINE:
                     break
-        above = stack[-1] if stack else ("", "body", False)
-        dropped = above[2] or name in DROPPED or (name not in ("html", "body", *CONTENT) and _furniture(m["at"]))
+        above = stack[-1] if stack else ("", "body", 0)
+        # 2: left out by its element, 1: by its names, which an article or main element inside overrules.
+        if name in CONTENT:
+            dropped = 2 if above[2] == 2 or _furniture(m["at"], COMMENTS) else 0
+        else:
+            dropped = 2 if name in DROPPED else above[2] or int(name not in ("html", "body") and _furniture(m["at"]))
         named = _NAMES.search(m["at"]) if name not in INLINE else None
         kind = above[1] if name in INLINE else f"{name}.{(named[1] or named[2] or named[3] or '').lower()}"[:60] if named else name
-        out.append((f"<{name}", "", dropped, name not in INLINE, name if name in CONTENT else ""))
+        out.append((f"<{name}", "", bool(dropped), name not in INLINE, name if name in CONTENT else ""))
         if not m["at"].rstrip().endswith("/") or name in ("p", "div", "article", "main", "section", "span", "a"):
             stack.append((name, kind, dropped))
     text(page[at:])

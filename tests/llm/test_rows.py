@@ -185,6 +185,18 @@ def test_main_text_of_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_furniture_inside_and_around_the_article():
+    nav, text = "<nav><a>Home</a></nav>", "Words of the article go on for a while here and end now."
+    for page in (
+        f"<body class='has-sidebar'>{nav}<div class='wrap sidebar'><article><p>{text}</p></article></div></body>",
+        f"<body>{nav}<main><p>{text}</p><div class='cookie-notice'>We use cookies, click here</div></main></body>",
+        f"<body>{nav}<article><p>{text}</p><section class='comments'><article class='comment'><p>Nice one, I liked this a lot, thank you.</p></article></section></article></body>",
+        f"<body><header><h2>Site name</h2></header><div class='content with-menu'><p>{text}</p><p hidden>unseen words</p></div><footer>foot</footer></body>",
+        f"<body><p>{text}</p><form><label>Your mail</label><textarea>Type here</textarea></form><aside>More to read</aside></body>",
+    ):
+        assert html_text.main_text(page, {}) == text
+
+
 def test_region_is_the_best_run():
     rng = random.Random(1)
     for _ in range(50):
