@@ -20,8 +20,8 @@ x's own hits survive and the result is ``match_v``.
 A row whose value condition fails only adds 0 to ``all_v``.  So each child is
 read within the date span that holds its filter and its condition (pushed to
 the scan), and whether it has any other row, which turns a negative maximum
-into 0, is asked only for developers whose maximum is negative or NULL, from
-the two columns key and date.
+into 0, is asked of the two columns key and date, reduced to distinct keys
+before the shuffle.
 """
 
 from __future__ import annotations
@@ -59,11 +59,8 @@ def child_stats(child: Child, key: str = "bd") -> DataFrame:
         aggs.append(F.max(F.when(inside, v)).alias(f"{n}_in_{vname}"))
         aggs.append(F.max(F.when(child.pred, F.when(inside, v).otherwise(F.lit(0)))).alias(f"{n}_match_{vname}"))
     stats = near.groupBy(key).agg(*aggs)
-    # the 0 of other rows shows where the values inside are negative or all NULL
-    asks = reduce(Column.__or__, [F.coalesce(F.col(f"{n}_in_{v}"), F.lit(-1)) < 0 for v in child.values])
-    asked = stats.where((F.col("__in") > 0) & asks).select(F.col(key).alias("__star_k"))
-    other = child.df.where(~inside).select(F.col(key).alias("__star_o"))
-    other = other.join(asked, F.col("__star_o") == F.col("__star_k"), "left_semi").distinct()
+    # keys with a row outside the condition: its 0 shows where the values inside are negative or all NULL
+    other = child.df.where(~inside).select(F.col(key).alias("__star_o")).distinct()
     stats = stats.join(other, F.col(key) == F.col("__star_o"), "left")
     alone = F.col("__star_o").isNull() & (F.col("__in") > 0)
     cols = [F.col(key), F.col(f"{n}_hit")]
