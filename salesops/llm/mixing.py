@@ -35,6 +35,8 @@ BUDGET = 1.5
 CAP = 2
 NEWTON_STEPS, TOLERANCE = 12, 1e-7
 SHIFTS, NARROWINGS = 64, 3
+#: Most sources whose values are broadcast; beyond it they are joined by shuffle.
+BROADCAST_SOURCES = 100_000
 
 
 def sized(docs: DataFrame) -> DataFrame:
@@ -80,10 +82,16 @@ def _rate(multiplier: Column) -> Column:
     return F.when(F.col("fill") >= 1, float(CAP)).when(F.col("fill") <= 0, 0.0).otherwise(CAP / (1 + F.exp(-x)))
 
 
+def _per_source(df: DataFrame, small: DataFrame, n: int) -> DataFrame:
+    """Joins one row per source (column ``of``), ``n`` rows in all."""
+    small = F.broadcast(small) if n <= BROADCAST_SOURCES else small
+    return df.join(small, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
 def _with(df: DataFrame, values: dict, name: str) -> DataFrame:
-    """Adds a per-source value; one row per source is broadcast."""
+    """Adds a per-source value."""
     small = df.sparkSession.createDataFrame(list(values.items()) or [(None, 0.0)], f"of string, {name} double")
-    return df.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    return _per_source(df, small, len(values))
 
 
 def multipliers(counted: DataFrame, goals: dict[str | None, float], steps: int = NEWTON_STEPS) -> dict[str | None, float]:
@@ -110,7 +118,7 @@ def mix(docs: DataFrame) -> DataFrame:
     told = targets(rows)
     facts = {r["source"]: r for r in told.collect()}
     goals = {s: r["target"] for s, r in facts.items()}
-    rows = rows.join(F.broadcast(told.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    rows = _per_source(rows, told.withColumnRenamed("source", "of"), len(facts))
     rows = rows.withColumn("fill", F.when(F.col("source_size") > 0, F.col("target") / (CAP * F.col("source_size"))).otherwise(0.0))
     counted = stored(rows.groupBy("source", "size", "fill", "mean").agg(F.count("*").alias("n")))
     rated = stored(_with(rows, multipliers(counted, goals), "multiplier").withColumn("rate", _rate(F.col("multiplier"))).drop("multiplier", "fill", "mean"))
@@ -136,7 +144,7 @@ def mix(docs: DataFrame) -> DataFrame:
     best = more.groupBy("source").agg(F.min(who).alias("best")).select(F.col("source").alias("of"), F.col("best.doc_id").alias("of_id"), F.col("best.key").alias("of_key"))
     hit = F.col("source").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
     best = taken.sparkSession.createDataFrame(best.collect(), best.schema)  # at most one row per source
-    fixed = taken.join(F.broadcast(best), hit, "left").withColumn("copies", F.least(F.lit(CAP), F.col("copies") + F.col("of_key").isNotNull().cast("long")))
+    fixed = taken.join(F.broadcast(best) if len(facts) <= BROADCAST_SOURCES else best, hit, "left").withColumn("copies", F.least(F.lit(CAP), F.col("copies") + F.col("of_key").isNotNull().cast("long")))
     return fixed.select("doc_id", "source", "key", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

@@ -23,6 +23,7 @@ their own.  An empty table gives no pieces.
 from __future__ import annotations
 
 import base64
+import os
 from collections import Counter
 from functools import cache
 from itertools import chain
@@ -68,6 +69,7 @@ class Encoder:
     """Ids of texts; one per Python worker."""
 
     def __init__(self, path: str, ranks: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads
         import public_tokenizers
         import tiktoken
         from tokenizers import Tokenizer
