@@ -151,7 +151,7 @@ def _labelled(page: str, cut: list[tuple[str, str, bool, bool, str]]) -> tuple[i
 
 
 def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
-    """Weight of each kind of word and tag, from at most ``sample`` labelled pages drawn by a hash of their html."""
+    """Weight of each kind of word and tag, from ``sample`` labelled pages drawn by a hash of page_id and html (rows alike in both are drawn together)."""
 
     def run(batches):
         for batch in batches:
@@ -169,7 +169,12 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
             yield pa.RecordBatch.from_pydict({"kind": pa.array(list(counts), pa.string()), "inside": pa.array([c[0] for c in counts.values()], pa.int64()), "outside": pa.array([c[1] for c in counts.values()], pa.int64())})
 
     marked = F.lower("html").rlike("<(article|main)\\b")
-    drawn = pages.select(F.col("html").cast("string").alias("html")).where(marked).withColumn("draw", F.xxhash64("html")).orderBy("draw").limit(sample).select("html")
+    own = pages.select(F.col("html").cast("string").alias("html"), F.xxhash64(F.lit(47), F.col("page_id").cast("long"), F.col("html").cast("string")).alias("draw")).where(marked)
+    # The sample's largest draw is found among the draws alone; pages are then read by it where they lie.
+    last = own.select("draw").distinct().orderBy("draw").limit(sample).agg(F.max("draw")).first()[0]
+    if last is None:
+        return {}
+    drawn = own.where(F.col("draw") <= last).select("html")
     counted = map_arrow(drawn, run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     weights = {}
     for r in counted.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(KEPT_KINDS).collect():
