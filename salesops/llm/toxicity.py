@@ -4,7 +4,8 @@
    text) mod 4 is not 2, drawn by a hash, as many toxic as clean ones at most.
 2. Terms are lower-case words and word beginnings of four to six characters
    (insults come inflected).  Grouped counts over the sample give each term's
-   log-likelihood ratio with the label; the ``TERMS`` strongest make the space.
+   log-likelihood ratio with the label; the ``TERMS`` strongest make the space,
+   as far as they pass what one of all tested terms would reach by chance.
 3. Document frequencies of these terms are counted over all documents.
 4. Examples become unit TF-IDF vectors in blocks of ``BLOCK``, with postings by
    term and block and the largest weight of each term in each block.  A query
@@ -40,8 +41,8 @@ from salesops.llm.text import chunks
 
 #: Most labelled rows of each class that are learnt from, terms, examples of each class in the index, rows the curve is fitted to.
 SAMPLE, TERMS, EXAMPLES, CURVE_ROWS = 10_000, 768, 2048, 4096
-#: Least log-likelihood ratio of a term (p < 0.001), and least documents.
-LEAST_RATIO, LEAST_DOCS = 12.0, 3
+#: Terms expected to pass the ratio test by chance alone, and least documents of a term.
+CHANCE_TERMS, LEAST_DOCS = 1.0, 3
 BLOCK, NEIGHBOURS = 64, 15
 PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
@@ -93,6 +94,14 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
 
+def least_ratio(tested: int) -> float:
+    """Log-likelihood ratio that ``CHANCE_TERMS`` of ``tested`` unrelated terms exceed (upper tail of chi squared, one degree of freedom)."""
+    x = 4.0
+    for _ in range(30):
+        x = max(4.0, 2 * math.log(max(tested, 2) / CHANCE_TERMS) - math.log(math.pi * x / 2))
+    return x
+
+
 def choose_terms(rows: DataFrame, most: int = TERMS) -> list[str]:
     """The terms of highest log-likelihood ratio with the label."""
 
@@ -110,14 +119,15 @@ def choose_terms(rows: DataFrame, most: int = TERMS) -> list[str]:
     if not n[0] or not n[1]:
         return []
     both = map_arrow(rows.select("text", "toxic"), run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    both = both.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS)
+    both = stored(both.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS))
+    least = least_ratio(both.count())
     share = (F.col("clean") + F.col("toxic")) / float(n[0] + n[1])
 
     def part(k: Column, total: int) -> Column:
         own = lambda c, p: F.when(c > 0, c * F.log(c / float(total) / p)).otherwise(0.0)
         return own(k, share) + own(total - k, 1 - share)
 
-    ratio = both.withColumn("ratio", 2 * (part(F.col("clean"), n[0]) + part(F.col("toxic"), n[1]))).where(F.col("ratio") >= LEAST_RATIO)
+    ratio = both.withColumn("ratio", 2 * (part(F.col("clean"), n[0]) + part(F.col("toxic"), n[1]))).where(F.col("ratio") >= least)
     return [r["term"] for r in ratio.orderBy(F.desc("ratio"), "term").limit(most).select("term").collect()]
 
 
