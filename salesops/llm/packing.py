@@ -43,7 +43,7 @@ SEQUENCE = 2048
 END_ID = 1
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Units whose ids a worker keeps; beyond it the table starts anew.
-KEPT_UNITS = 1 << 20
+KEPT_UNITS = 1 << 19
 
 #: Most counts (length and task) that are broadcast; beyond it they are joined by shuffle.
 BROADCAST_COUNTS = 200_000

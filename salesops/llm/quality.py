@@ -198,15 +198,18 @@ def site_rates(scored: DataFrame, base: float) -> DataFrame:
 
 
 def posteriors(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
-    """One row per row of ``docs``: doc_id, evidence, site_rate, probability, kept; ``whole`` adds all its columns as the struct ``row``."""
+    """One row per row of ``docs``: doc_id, evidence, site_rate, probability, kept; ``whole`` adds text and the struct ``rest`` of its other columns."""
     model = train(docs, labels)
     base = model[3] if model else 6.0
     rows = _texts(docs)
     sites = stored(site_rates(evidence(rows.select("text", "source", "lang"), model, ["source", "lang"]), base))
     small = sites.count() <= BROADCAST_SITES
+    carry = []
     if whole:
-        rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).select("row", *(F.col(f"row.{c}").cast(t).alias(c) for c, t in (("doc_id", "long"), ("text", "string"), ("source", "string"), ("lang", "string"))))
-    scored = evidence(rows, model, ["doc_id", "source", "lang"] + ["row"] * whole)
+        rest = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("rest")
+        rows = docs.select(rest, F.col("text").cast("string").alias("text")).select("rest", "text", *(F.col(f"rest.{c}").cast(t).alias(c) for c, t in (("doc_id", "long"), ("source", "string"), ("lang", "string"))))
+        carry = ["rest", "text"]
+    scored = evidence(rows, model, ["doc_id", "source", "lang", *carry])
     at = sites.select(F.col("source").alias("of"), F.col("lang").alias("in"), F.col("rate").alias("site_rate"))
     scored = scored.join(F.broadcast(at) if small else at, F.col("source").eqNullSafe(F.col("of")) & F.col("lang").eqNullSafe(F.col("in"))).drop("of", "in")
     chance = F.when(F.col("evidence").isNull(), 0.0).otherwise(_chance(F.col("evidence") + _odds(F.col("site_rate"))))
@@ -215,4 +218,5 @@ def posteriors(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataF
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with their columns."""
-    return posteriors(docs, labels, whole=True).where("kept").select("row.*")
+    kept = posteriors(docs, labels, whole=True).where("kept")
+    return kept.select(*(F.col("text") if c == "text" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))

@@ -34,6 +34,8 @@ from salesops.llm.tasks import map_arrow
 from salesops.llm.text import U64, Words, chunks, mix, powers, rolling, words
 
 WINDOW = 50
+#: Bytes of text in which a window keeps its smallest document only.
+SLICE_BYTES = 4 << 20
 _BASES = (0x2545F4914F6CDD1D, 0x5851F42D4C957F2D)
 
 
@@ -102,7 +104,7 @@ def _windows(marked: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", SLICE_BYTES):
                 w = words(part.column("text"))
                 at = _inside(w, window)
                 if not len(at):

@@ -25,8 +25,8 @@ _BASES = (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 _POWERS: dict[tuple[int, int], np.ndarray] = {}
 
-#: Bytes of text handled at once inside a task.
-CHUNK_BYTES = 4 << 20
+#: Bytes of text handled at once inside a task: arrays of eight bytes for each of them are held at a time.
+CHUNK_BYTES = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
