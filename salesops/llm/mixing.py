@@ -2,12 +2,14 @@
 
 Sources share a budget of words by weight, none above a cap.  Inside a source
 every document gets a rate, a mean number of copies between 0 and ``CAP``.  The
-rates minimise the entropy distance from even taking under the source's word
-constraint; the convex dual has one multiplier per source, and its solution
-tilts the rates exponentially: rate = CAP / (1 + exp(-multiplier * size / mean
-size - start)), start = log(fill / (1 - fill)) of the source's fill, its target
-over CAP times its words.  Newton steps for all sources run at once: a step is one grouped sum
-over (source, size) counts.
+rates minimise the entropy distance from one copy of each document, the sum of
+rate * log(rate) + (CAP - rate) * log((CAP - rate) / (CAP - 1)), under the
+source's word constraint; the convex dual has one multiplier per source, and its
+solution tilts the rates exponentially: rate = CAP / (1 + (CAP - 1) *
+exp(-multiplier * size / mean size)).  The multiplier is 0 only where the target
+is the source's own words.  Newton steps on the log odds of the words taken run
+for all sources at once, kept inside the bracket that the steps before left: a
+step is one grouped sum over (source, size) counts.
 
 Whole copies come from the rates by a phase in [0, 1) hashed from the row:
 copies = floor(rate + phase + shift).  The shift of each source is found by
@@ -33,6 +35,7 @@ from salesops.llm.graph import stored
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
 CAP = 2
+#: Newton steps before halvings of the bracket take over, and the part of a target that words may miss it by.
 NEWTON_STEPS, TOLERANCE = 12, 1e-7
 SHIFTS, NARROWINGS = 64, 3
 #: Most sources whose values are broadcast; beyond it they are joined by shuffle.
@@ -78,8 +81,8 @@ def targets(rows: DataFrame) -> DataFrame:
 
 def _rate(multiplier: Column) -> Column:
     """Tilted rate of a row that carries fill, mean and size; a source at its cap takes all of it."""
-    x = F.log(F.col("fill") / (1 - F.col("fill"))) + multiplier * F.col("size") / F.col("mean")
-    return F.when(F.col("fill") >= 1, float(CAP)).when(F.col("fill") <= 0, 0.0).otherwise(CAP / (1 + F.exp(-x)))
+    x = multiplier * F.col("size") / F.col("mean")
+    return F.when(F.col("fill") >= 1, float(CAP)).when(F.col("fill") <= 0, 0.0).otherwise(CAP / (1 + (CAP - 1) * F.exp(-x)))
 
 
 def _per_source(df: DataFrame, small: DataFrame, n: int) -> DataFrame:
@@ -94,22 +97,39 @@ def _with(df: DataFrame, values: dict, name: str) -> DataFrame:
     return _per_source(df, small, len(values))
 
 
+def _next(value: float, low: float, high: float, goal: float, top: float, words: float, slope: float, newton: bool) -> float:
+    """A Newton step on the log odds of the words taken, or where that leaves the bracket its middle (twice as far where it is open)."""
+    if newton and slope > 0 and 0 < words < top:
+        step = (math.log(goal / (top - goal)) - math.log(words / (top - words))) * words * (top - words) / (slope * top)
+        if low < value + step < high:
+            return value + step
+    if math.isinf(low):
+        return min(2 * high, high - 1)
+    if math.isinf(high):
+        return max(2 * low, low + 1)
+    return (low + high) / 2
+
+
 def multipliers(counted: DataFrame, goals: dict[str | None, float], steps: int = NEWTON_STEPS) -> dict[str | None, float]:
-    """Solves the dual by damped Newton steps; counted: source, size, n, fill, mean."""
-    value = dict.fromkeys(goals, 0.0)
-    for _ in range(steps):
-        r = _rate(F.col("multiplier"))
-        slope = r * (1 - r / CAP) * F.col("size") / F.col("mean")
-        seen = _with(counted, value, "multiplier").groupBy("source").agg(F.sum(F.col("n") * F.col("size") * r).alias("words"), F.sum(F.col("n") * F.col("size") * slope).alias("slope")).collect()
-        off = 0.0
-        for s in seen:
-            gap = goals[s["source"]] - s["words"]
-            if s["slope"] > 0 and abs(gap) > TOLERANCE * max(goals[s["source"]], 1.0):
-                value[s["source"]] += max(-1.0, min(1.0, gap / s["slope"]))
-                off = max(off, abs(gap))
+    """Solves the dual; counted: source, size, n, fill, mean."""
+    value, bracket = dict.fromkeys(goals, 0.0), dict.fromkeys(goals, (-math.inf, math.inf))
+    open_, done = counted.where("fill > 0 and fill < 1"), 0
+    r, words = _rate(F.col("multiplier")), F.col("n") * F.col("size")
+    sums = (F.sum(words * r).alias("words"), F.sum(words * r * (1 - r / CAP) * F.col("size") / F.col("mean")).alias("slope"), (CAP * F.sum(words)).alias("top"))
+    while True:
+        off = False
+        for s in _with(open_, value, "multiplier").groupBy("source").agg(*sums).collect():
+            name, goal = s["source"], goals[s["source"]]
+            if abs(goal - s["words"]) <= TOLERANCE * max(goal, 1.0):
+                continue
+            low, high = bracket[name] = (value[name], bracket[name][1]) if s["words"] < goal else (bracket[name][0], value[name])
+            new = _next(value[name], low, high, goal, s["top"], s["words"], s["slope"], done < steps)
+            # A bracket without a number between its ends is as near as numbers come.
+            if low < new < high:
+                value[name], off = new, True
         if not off:
-            break
-    return value
+            return value
+        done += 1
 
 
 def mix(docs: DataFrame) -> DataFrame:

@@ -76,6 +76,41 @@ def test_mix_comes_near_its_targets(spark):
     assert sum(len(words(r["text"])) for r in out.collect()) == sum(r["taken"] for r in got)
 
 
+def _dual(sizes, target):
+    """Rates of the entropy problem by bisection on its multiplier."""
+    sizes, low, high = np.array(sizes, float), -4000.0, 4000.0
+    with np.errstate(over="ignore"):
+        rates = lambda m: 2 / (1 + np.exp(-m * sizes / sizes.mean()))
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if (sizes * rates(mid)).sum() < target else (low, mid)
+        return rates((low + high) / 2)
+
+
+def test_rates_solve_the_dual(spark):
+    rng = random.Random(8)
+    # Targets by the shares: words of "a" at the cap, "b" above, "c" below its own words, "d" nearly none of them.
+    sizes = {"a": [1, 5, 0, 40], "b": [int(rng.paretovariate(0.8)) % 3000 + 1 for _ in range(150)], "c": [rng.randrange(1, 90) for _ in range(150)] + [0], "d": [1, 2, 3, 9000, 20000, 70000]}
+    rows, n = [], 0
+    for s, of in sizes.items():
+        for k in of:
+            rows.append((n, "w " * k, s))
+            n += 1
+    got = {}
+    for r in mixing.mix(frame(spark, rows)).collect():
+        got.setdefault(r["source"], {})[r["doc_id"]] = r
+    for s, of in sizes.items():
+        mine = [got[s][i] for i in sorted(got[s])]
+        target = mine[0]["target"]
+        rates = np.array([r["rate"] for r in mine])
+        assert [r["size"] for r in mine] == of and abs((rates * of).sum() - target) <= 1e-6 * target
+        if target >= 2 * sum(of):
+            assert (rates == 2).all()
+        else:
+            assert np.allclose(rates, _dual(of, target), atol=1e-5) and np.ptp(rates) > 0.05
+    assert got["a"][0]["target"] == 2 * sum(sizes["a"])
+
+
 def test_mix_of_no_rows(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
     assert mixing.mix(frame(spark, [(1, None), (2, "")])).select("taken").distinct().collect()[0][0] == 0
