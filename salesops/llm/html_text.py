@@ -9,10 +9,16 @@ element that holds it) lies inside the marked content and outside.  The log odds
 counts are the weights; kinds of words seen mostly outside turn negative.  Kinds
 that no labelled page has fall back on fixed values by element and class names.
 
-Text of elements that are no content wherever they stand (``DROPPED`` and
-``DROPPED_NAMES``: menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments of readers) scores slightly negative and is left out, also
-inside the region.
+Text of elements that are no content wherever they stand (``DROPPED``: menus,
+headers, footers, forms, scripts, styles; elements that are hidden) scores slightly
+negative and is left out, also inside the region.  Names (class, id, role) only
+decide beside the text: an element with a name made of ``DROPPED_NAMES`` alone
+(sidebars, notices, adverts, comments of readers) is left out if it holds less
+than half of the page's words; a name that only begins or ends so
+(``share-price``) makes kinds of words of its own, which score as learned and
+slightly negative where unknown.  An element that holds half of the words or
+more is judged by its words (one of comments like the latter names).  A page
+that has no other words is read without regard to names.
 
 Character references are decoded, white space inside a block becomes one space,
 blocks are trimmed and joined by one space.  Defined results: a null or empty
@@ -39,6 +45,8 @@ SAMPLE_PAGES, KEPT_KINDS = 2000, 5000
 WORD_RANGE, TAG_RANGE = (-4.0, 1.0), (-4.0, -0.05)
 #: Weights of kinds that no labelled page has.
 NEW_WORD, NEW_TAG = 0.8, -0.3
+#: Mark of kinds inside elements whose names speak against them, and the weight of new ones.
+CLUE, CLUE_WORD = "?", -0.4
 #: Weights inside elements that are left out: the region may pass over them, but has no gain from it.
 DROPPED_WORD, DROPPED_TAG = -0.02, -0.1
 
@@ -53,30 +61,43 @@ TELLING = frozenset("has have with no without is".split())
 IMPLIED_END = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|noembed|noframes|xmp)\b(?P<ra>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<at>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _PART = re.compile(r"[a-z]+")
-_HIDDEN = re.compile(r"(?<![-\w])hidden(?![-\w])|display\s*:\s*none", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 
-def _furniture(attributes: str, names: frozenset[str] = DROPPED_NAMES) -> bool:
-    """The element is hidden, or its class, id or role begins or ends with one of the names (``has-sidebar`` and the like only tell of others)."""
-    if names is DROPPED_NAMES and _HIDDEN.search(attributes):
-        return True
-    for m in _NAMES.finditer(attributes):
-        for name in (m[1] or m[2] or m[3] or "").lower().split():
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by lower-case attribute name, the first of each name."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _hidden(attributes: dict[str, str]) -> bool:
+    return "hidden" in attributes or bool(_NO_DISPLAY.search(attributes.get("style", "")))
+
+
+def _furniture(attributes: dict[str, str], names: frozenset[str] = DROPPED_NAMES) -> int:
+    """2: a class, id or role is made of the names alone; 1: one begins or ends with them (``has-sidebar`` and the like only tell of others)."""
+    level = 0
+    for key in ("class", "id", "role"):
+        for name in attributes.get(key, "").lower().split():
             parts = _PART.findall(name)
-            if parts and parts[0] not in TELLING and (parts[0] in names or parts[-1] in names):
-                return True
-    return False
+            if parts and TELLING.isdisjoint(parts):
+                level = max(level, 2 if names.issuperset(parts) else int(parts[0] in names or parts[-1] in names))
+    return level
 
 
-def tokens(page: str) -> list[tuple[str, str, bool, bool, str]]:
+def tokens(page: str, by_name: bool = True) -> list[tuple[str, str, bool, bool, str]]:
     """Tags and texts in page order: (kind, text, dropped, breaks a block, content element opened or closed).
 
     The kind of a tag is its name with ``<`` or ``</``; that of a text names the
     element that holds it, past inline ones, with its class.  Tags have an empty text."""
     out: list[tuple[str, str, bool, bool, str]] = []
-    stack: list[tuple[str, str, int]] = []  # element, kind of its words, dropped
+    stack: list[tuple[str, str, bool, int]] = []  # element, kind of its words, left out by an element, place in out
+    told: dict[int, int] = {}  # place -> what is known of the element opened there: the constants below
+    ends: dict[int, int] = {}
     at = 0
 
     def text(piece: str) -> None:
@@ -88,7 +109,8 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool, str]]:
 
     def close(k: int) -> None:
         while len(stack) > k:
-            name, _, dropped = stack.pop()
+            name, _, dropped, place = stack.pop()
+            ends[place] = len(out)
             out.append((f"</{name}", "", bool(dropped), name not in INLINE, f"/{name}" if name in CONTENT else ""))
 
     for m in _TOKEN.finditer(page):
@@ -116,27 +138,61 @@ def tokens(page: str) -> list[tuple[str, str, bool, bool, str]]:
             continue
         if name not in INLINE:
             # A block ends an open paragraph; some elements end their like.
-            ends = IMPLIED_END.get(name, frozenset()) | {"p"}
+            implied = IMPLIED_END.get(name, frozenset()) | {"p"}
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in ends:
+                if stack[k][0] in implied:
                     close(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
-        above = stack[-1] if stack else ("", "body", 0)
-        # 2: left out by its element, 1: by its names, which an article or main element inside overrules.
+        above = stack[-1] if stack else ("", "body", False, 0)
+        dropped = above[2] or name in DROPPED
+        attributes = _attributes(m["at"]) if m["at"] else {}
         if name in CONTENT:
-            dropped = 2 if above[2] == 2 or _furniture(m["at"], COMMENTS) else 0
-        else:
-            dropped = 2 if name in DROPPED else above[2] or int(name not in ("html", "body") and _furniture(m["at"]))
-        named = _NAMES.search(m["at"]) if name not in INLINE else None
-        kind = above[1] if name in INLINE else f"{name}.{(named[1] or named[2] or named[3] or '').lower()}"[:60] if named else name
-        out.append((f"<{name}", "", bool(dropped), name not in INLINE, name if name in CONTENT else ""))
+            told[len(out)] = (COMMENT if _furniture(attributes, COMMENTS) else OWN) if by_name else OWN
+        elif attributes and name not in ("html", "body"):
+            level = _furniture(attributes) if by_name else 0
+            if _hidden(attributes):
+                told[len(out)] = HIDDEN
+            elif level:
+                told[len(out)] = COMMENT if level == 2 and _furniture(attributes, COMMENTS) == 2 else WHOLE if level == 2 else PART
+        named = [v for k, v in attributes.items() if k in ("class", "id", "role")] if name not in INLINE else []
+        kind = above[1] if name in INLINE else f"{name}.{named[0].lower()}"[:60] if named else name
         if not m["at"].rstrip().endswith("/") or name in ("p", "div", "article", "main", "section", "span", "a"):
-            stack.append((name, kind, dropped))
+            stack.append((name, kind, dropped, len(out)))
+        out.append((f"<{name}", "", dropped, name not in INLINE, name if name in CONTENT else ""))
     text(page[at:])
     close(0)
-    return out
+    return _judged(out, told, ends) if told else out
+
+
+#: What is known of an element: content, hidden, named as furniture alone, as comments, in part.
+OWN, HIDDEN, WHOLE, COMMENT, PART = range(5)
+
+
+def _judged(out: list[tuple[str, str, bool, bool, str]], told: dict[int, int], ends: dict[int, int]) -> list[tuple[str, str, bool, bool, str]]:
+    """Leaves out what is hidden or named as furniture and holds less than half of the words, and marks the kinds of what is in doubt."""
+    held = [0]
+    for _, piece, dropped, _, _ in out:
+        held.append(held[-1] + (0 if dropped or not piece else len(piece.split())))
+    judged, open_ = [], [(len(out), 0)]  # end of an element; 0: read, 1: in doubt, 2: left out, 3: left out with what is content inside
+    for i, (kind, piece, dropped, breaks, content) in enumerate(out):
+        while i > open_[-1][0]:
+            open_.pop()
+        what, end = told.get(i), ends.get(i)
+        if what is not None and end is not None:
+            much = 2 * (held[end] - held[i]) >= held[-1]
+            above = open_[-1][1]
+            if what == OWN:
+                level = above if above == 3 else 0
+            elif what == COMMENT:
+                level = max(above, 1 if much else 3 if content else 2)
+            else:
+                level = max(above, 2 if what == HIDDEN else 0 if much else 2 if what == WHOLE else 1)
+            open_.append((end, level))
+        level = open_[-1][1]
+        judged.append((CLUE + kind if level == 1 and piece and kind else kind, piece, dropped or level > 1, breaks, content))
+    return judged
 
 
 def _labelled(page: str, cut: list[tuple[str, str, bool, bool, str]]) -> tuple[int, int] | None:
@@ -190,7 +246,7 @@ def region(cut: list[tuple[str, str, bool, bool, str]], weights: dict[str, float
         if piece:
             if not kind:
                 continue
-            total += (DROPPED_WORD if dropped else weights.get(f"w {kind}", NEW_WORD)) * len(piece.split())
+            total += (DROPPED_WORD if dropped else weights.get(f"w {kind}", CLUE_WORD if kind[0] == CLUE else NEW_WORD)) * len(piece.split())
         elif content:
             total += TAG_RANGE[0]
         else:
@@ -206,7 +262,10 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     """Text of the page's main region."""
     if not page:
         return ""
-    cut = tokens(page)
+    return _read(tokens(page), weights) or _read(tokens(page, by_name=False), weights)
+
+
+def _read(cut: list[tuple[str, str, bool, bool, str]], weights: dict[str, float]) -> str:
     begin, end = region(cut, weights)
     blocks, own = [], []
     for _, piece, dropped, breaks, _ in cut[begin:end]:

@@ -232,6 +232,21 @@ def test_furniture_inside_and_around_the_article():
         assert html_text.main_text(page, {}) == text
 
 
+def test_names_and_styles_do_not_hide_the_text():
+    nav, text = "<nav><a>Home</a></nav>", "Words of the article go on for a while here and end now."
+    body = f"<p>{text}</p><p>More of it.</p>"
+    for wrap in ("style='overflow:hidden'", "style='overflow: hidden; color:red'", "title='The hidden story'", "data-x='a hidden b'", "class='layout-with-sidebar'", "class='right-sidebar'", "class='share-price'", "id='search-results'", "class='social-policy'", "class='sidebar'", "data-id='menu'", "id='comment'"):
+        assert html_text.main_text(f"<body>{nav}<div {wrap}>{body}</div><footer>foot</footer></body>", {}) == f"{text} More of it."
+    # Among other text such an element is read where the text goes on behind it, and links are never hidden by their targets.
+    for part in ("<div class='share-price'>It fell</div>", "<p><a href='/hidden/gems'>It fell</a></p>", "<div style='float:left;overflow:hidden'>It fell</div>"):
+        assert html_text.main_text(f"<body>{nav}<div><p>{text}</p>{part}<p>{text}</p></div></body>", {}) == f"{text} It fell {text}"
+    for part in ("<div hidden>It fell</div>", "<div hidden='hidden'>It fell</div>", "<div style='color:red;display : none'>It fell</div>", "<div class='ad-banner'>It fell</div>", "<div id='comments'>It fell</div>"):
+        assert html_text.main_text(f"<body>{nav}<div><p>{text}</p>{part}<p>{text}</p></div></body>", {}) == f"{text} {text}"
+    # Comments longer than the text, and names that only end so, behind it.
+    assert html_text.main_text(f"<body>{nav}<p>{text}</p><div class='comments'>{'I liked this a lot. ' * 9}</div></body>", {}) == text
+    assert html_text.main_text(f"<body>{nav}<p>{text}</p><div class='site-footer'>All rights reserved</div></body>", {}) == text
+
+
 def test_region_is_the_best_run():
     rng = random.Random(1)
     for _ in range(50):
