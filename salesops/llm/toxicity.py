@@ -3,21 +3,22 @@
 1. Labels come from a bounded sample of labelled rows whose crc32(doc_id as
    text) mod 4 is not 2, drawn by a hash, as many toxic as clean ones at most.
 2. Terms are lower-case words and word beginnings of four to six characters
-   (insults come inflected).  Grouped counts over the sample give each term's
-   log-likelihood ratio with the label; the ``TERMS`` strongest make the space,
-   as far as they pass what one of all tested terms would reach by chance.
-3. Document frequencies of these terms are counted over all documents.
-4. Examples become unit TF-IDF vectors in blocks of ``BLOCK``, with postings by
-   term and block and the largest weight of each term in each block.  A query
-   visits blocks by falling bound (its weights times the block maxima) and
-   stops when a bound is below its k-th cosine: the neighbours are exact.
+   (insults come inflected).  All terms of the sampled labelled rows make the
+   space, whatever their label and however rare; a term that none of them has is
+   not in it.
+3. Document frequencies of these terms are counted over all documents; their
+   inverse alone weighs the terms.
+4. Examples become unit TF-IDF vectors in blocks of ``BLOCK``, kept as postings
+   (term, block, example, weight) with the largest weight of each term in each block.  A query
+   visits blocks by falling bound (its weights times the block maxima), ``AT_ONCE``
+   at a time, and stops when a bound is below its k-th cosine: the neighbours are exact.
 5. Neighbours vote by closeness, 1 / (0.05 + 1 - cosine), with a clean prior
    for what the votes lack; a monotone curve fitted to sampled rows that are not
    in the index turns votes into probabilities.  The neighbours are returned as evidence.
 
 Rows are read whole; doc_id, lang, source and labels are never inputs of a
 score (doc_id only decides which labels may be learnt from).  Defined results:
-null and empty texts and texts without a term have no neighbours and take the
+null and empty texts and texts without a term of the space have no neighbours and take the
 curve's value at no votes.  Rows with a null doc_id are scored and not held
 out.  Labels that are null are ignored; a doc_id labelled twice counts as toxic
 if one of its labels is.  Without labelled rows every score is 0.
@@ -39,11 +40,9 @@ from salesops.llm.graph import stored
 from salesops.llm.tasks import map_arrow
 from salesops.llm.text import chunks
 
-#: Most labelled rows of each class that are learnt from, terms, examples of each class in the index, rows the curve is fitted to.
-SAMPLE, TERMS, EXAMPLES, CURVE_ROWS = 10_000, 768, 2048, 4096
-#: Terms expected to pass the ratio test by chance alone, and least documents of a term.
-CHANCE_TERMS, LEAST_DOCS = 1.0, 3
-BLOCK, NEIGHBOURS = 64, 15
+#: Most labelled rows of each class that are learnt from, examples of each class in the index, rows the curve is fitted to.
+SAMPLE, EXAMPLES, CURVE_ROWS = 10_000, 2048, 4096
+BLOCK, AT_ONCE, NEIGHBOURS = 64, 8, 15
 PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
 #: Words a worker remembers the terms of.
@@ -94,41 +93,18 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
 
-def least_ratio(tested: int) -> float:
-    """Log-likelihood ratio that ``CHANCE_TERMS`` of ``tested`` unrelated terms exceed (upper tail of chi squared, one degree of freedom)."""
-    x = 4.0
-    for _ in range(30):
-        x = max(4.0, 2 * math.log(max(tested, 2) / CHANCE_TERMS) - math.log(math.pi * x / 2))
-    return x
-
-
-def choose_terms(rows: DataFrame, most: int = TERMS) -> list[str]:
-    """The terms of highest log-likelihood ratio with the label."""
+def all_terms(rows: DataFrame) -> list[str]:
+    """Every term of the sampled labelled rows, in order; none without rows of both classes."""
 
     def run(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                seen = (Counter(), Counter())
-                for text, toxic in zip(part.column("text").to_pylist(), part.column("toxic").to_pylist(), strict=True):
-                    seen[toxic].update({t for w in set(_WORD.findall(text.lower())) for t in terms_of(w)})
-                names = list(seen[0].keys() | seen[1].keys())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([s[t] for t in names], pa.int64()) for s in seen)], names=["term", "clean", "toxic"])
-
-    counts = rows.groupBy("toxic").count().collect()
-    n = {0: 0, 1: 0} | {r["toxic"]: r["count"] for r in counts}
-    if not n[0] or not n[1]:
-        return []
-    both = map_arrow(rows.select("text", "toxic"), run, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    both = stored(both.where(F.col("clean") + F.col("toxic") >= LEAST_DOCS))
-    least = least_ratio(both.count())
-    share = (F.col("clean") + F.col("toxic")) / float(n[0] + n[1])
+                names = {t for text in part.column("text").to_pylist() for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}
+                yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string())], names=["term"])
 
-    def part(k: Column, total: int) -> Column:
-        own = lambda c, p: F.when(c > 0, c * F.log(c / float(total) / p)).otherwise(0.0)
-        return own(k, share) + own(total - k, 1 - share)
-
-    ratio = both.withColumn("ratio", 2 * (part(F.col("clean"), n[0]) + part(F.col("toxic"), n[1]))).where(F.col("ratio") >= least)
-    return [r["term"] for r in ratio.orderBy(F.desc("ratio"), "term").limit(most).select("term").collect()]
+    if rows.select("toxic").distinct().count() < 2:
+        return []
+    return sorted(map_arrow(rows.select("text"), run, "term string").distinct().toArrow().column("term").to_pylist())
 
 
 def document_frequencies(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
@@ -137,61 +113,100 @@ def document_frequencies(docs: DataFrame, names: list[str]) -> tuple[np.ndarray,
     def run(batches):
         count = Terms(names)
         for batch in batches:
-            seen, n = np.zeros(len(names) + 1, np.int64), 0
-            for text in batch.column("text").to_pylist():
-                n += 1
-                seen[list(count(text or ""))] += 1
-            seen[-1] = n
+            seen = np.zeros(len(names) + 1, np.int64)
+            for part in chunks(batch, "text"):
+                for text in part.column("text").to_pylist():
+                    seen[list(count(text or ""))] += 1
+            seen[-1] = batch.num_rows
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["term", "n"])
 
-    rows = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(names) + 1)
-    for r in rows:
-        out[r["term"]] = r["n"]
+    out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
+def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of the ranges first..last-1 in turn, and the lengths of the ranges."""
+    n = last - first
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum())), n
+
+
+class Postings:
+    """Weights of examples by term and block, and the largest of each term and block (a pair)."""
+
+    def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, terms: int, examples: int):
+        order = np.lexsort((example, term))
+        term, self.example, self.weight = term[order], example[order], weight[order]
+        block = self.example // BLOCK
+        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
+        self.pair = np.append(new, len(term))
+        self.block = block[new]
+        self.top = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.first = np.searchsorted(term[new], np.arange(terms + 1))
+        self.examples, self.blocks = examples, -(-examples // BLOCK)
+
+
 @dataclass
 class Index:
-    """Examples by block: ``weight[block]`` terms x slots, ``top`` terms x blocks."""
+    """Examples by block.  ``weight`` may be given as blocks of terms x slots; ``top`` holds the pairs' maxima."""
 
     names: list[str]
     idf: np.ndarray
-    weight: list[np.ndarray]
+    weight: Postings | list[np.ndarray]
     top: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
     prior: float
     curve: tuple[list[float], list[float]] = ((0.0, 1.0), (0.0, 1.0))
 
-    def vector(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit TF-IDF weights of a text."""
-        at = np.array(sorted(found), np.int64)
+    def __post_init__(self):
+        if isinstance(self.weight, list):
+            dense = np.hstack(self.weight) if self.weight else np.zeros((len(self.idf), 0))
+            term, example = np.nonzero(dense)
+            self.weight = Postings(term, example, dense[term, example], *dense.shape)
+            self.top = self.weight.top
+
+    def vector(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and unit TF-IDF weights of a text with these terms."""
         if not len(at):
-            return at, np.zeros(0)
-        w = (1 + np.log([found[i] for i in at.tolist()])) * self.idf[at]
+            return np.zeros(0, np.int64), np.zeros(0)
+        order = np.argsort(at)
+        at = np.asarray(at, np.int64)[order]
+        w = (1 + np.log(np.asarray(counts, float)[order])) * self.idf[at]
         norm = math.sqrt(float((w * w).sum()))
         return (at, w / norm) if norm > 0 else (at[:0], w[:0])
 
+    def of(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
+        return self.vector(np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found)))
+
     def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of the k examples of highest positive cosine, ties to the smaller position; exact."""
         cosine, place, last = np.zeros(0), np.zeros(0, np.int64), 0.0
-        if not len(at):
+        p = self.weight
+        if not len(at) or not len(p.block):
             return place, cosine
-        bound = w @ self.top[at]
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(cosine) == k and bound[b] < last - 1e-9):
+        pairs, n = _ranges(p.first[at], p.first[at + 1])
+        mine, block = np.repeat(w, n), p.block[pairs]
+        bound = np.bincount(block, mine * self.top[pairs], p.blocks)
+        order = np.argsort(-bound, kind="stable")
+        for low in range(0, len(order), AT_ONCE):
+            if bound[order[low]] <= 0 or (len(cosine) == k and bound[order[low]] < last - 1e-9):
                 break
-            here = w @ self.weight[b][at]
+            now = np.zeros(p.blocks, bool)
+            now[order[low : low + AT_ONCE]] = True
+            now = now[block]
+            posts, n = _ranges(p.pair[pairs[now]], p.pair[pairs[now] + 1])
+            here = np.bincount(p.example[posts], np.repeat(mine[now], n) * p.weight[posts], p.examples)
             good = np.flatnonzero(here > (last - 1e-12 if len(cosine) == k else 0))
             if not len(good):
                 continue
-            cosine = np.append(cosine, here[good])
-            place = np.append(place, good + b * BLOCK)
-            order = np.lexsort((place, -np.round(cosine, 12)))[:k]
-            cosine, place = cosine[order], place[order]
-            last = float(cosine[-1])
+            cosine, place = np.append(cosine, here[good]), np.append(place, good)
+            best = np.lexsort((place, -np.round(cosine, 12)))[:k]
+            cosine, place = cosine[best], place[best]
+            if len(cosine) == k:
+                last = float(cosine[-1])
         return place, cosine
 
     def votes(self, place: np.ndarray, cosine: np.ndarray) -> float:
@@ -224,7 +239,7 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
 def build(docs: DataFrame, labels: DataFrame) -> Index:
     """Fits the index and its curve."""
     rows = stored(labelled(docs, labels))
-    names = choose_terms(rows)
+    names = all_terms(rows)
     df, n = document_frequencies(docs, names) if names else (np.zeros(0), 0)
     idf = np.log((n + 1.0) / (df + 1.0)) + 1e-6
 
@@ -236,29 +251,31 @@ def build(docs: DataFrame, labels: DataFrame) -> Index:
 
     vectors = map_arrow(rows.select("doc_id", "text", "toxic", "fold", "draw"), run, "doc_id long, toxic int, fold int, draw long, terms array<int>, counts array<int>")
     told = stored(vectors)
-    take = lambda where, most: told.where(where).orderBy("draw", "doc_id").limit(most).collect()
+
+    def take(where: str, most: int) -> list[tuple]:
+        """doc_id, toxic, terms and counts of the first rows."""
+        t = told.where(where).orderBy("draw", "doc_id").limit(most).select("doc_id", "toxic", "terms", "counts").toArrow()
+        return [(i, y, a.values.to_numpy(), c.values.to_numpy()) for i, y, a, c in zip(t["doc_id"].to_pylist(), t["toxic"].to_pylist(), t["terms"], t["counts"], strict=True)]
+
     own = [r for v in (0, 1) for r in take(f"toxic = {v} and fold <> 3 and size(terms) > 0", EXAMPLES)]
     rates = {r["toxic"]: r["n"] for r in labels.where("toxic is not null").where(~held_out()).groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     prior = rates.get(1, 0) / max(sum(rates.values()), 1)
-    index = Index(names, idf, [], np.zeros((len(names), 0)), np.zeros(0, np.int64), np.zeros(0), prior)
+    index = Index(names, idf, [], np.zeros(0), np.zeros(0, np.int64), np.zeros(0), prior)
     if not own:
         index.curve = ([0.0, 1.0], [prior, prior])
         return index
     # Like examples lie together, so that a block's largest weights are close to its members'.
-    vectors_ = [index.vector(Counter(dict(zip(r["terms"], r["counts"], strict=True)))) for r in own]
-    order = sorted(range(len(own)), key=lambda i: (own[i]["toxic"], int(vectors_[i][0][np.argmax(vectors_[i][1])]) if len(vectors_[i][0]) else -1, own[i]["doc_id"]))
-    for low in range(0, len(order), BLOCK):
-        weight = np.zeros((len(names), BLOCK))
-        for slot, i in enumerate(order[low : low + BLOCK]):
-            weight[vectors_[i][0], slot] = vectors_[i][1]
-        index.weight.append(weight)
-    index.top = np.stack([w.max(axis=1) for w in index.weight], axis=1)
-    index.ids = np.array([own[i]["doc_id"] for i in order], np.int64)
-    index.toxic = np.append([own[i]["toxic"] for i in order], np.zeros(-len(order) % BLOCK)).astype(float)
+    vectors_ = [index.vector(r[2], r[3]) for r in own]
+    order = sorted(range(len(own)), key=lambda i: (own[i][1], int(vectors_[i][0][np.argmax(vectors_[i][1])]) if len(vectors_[i][0]) else -1, own[i][0]))
+    lengths = [len(vectors_[i][0]) for i in order]
+    index.weight = Postings(np.concatenate([vectors_[i][0] for i in order]), np.repeat(np.arange(len(order)), lengths), np.concatenate([vectors_[i][1] for i in order]), len(names), len(order))
+    index.top = index.weight.top
+    index.ids = np.array([own[i][0] for i in order], np.int64)
+    index.toxic = np.array([own[i][1] for i in order], float)
     fit = [r for v in (0, 1) for r in take(f"toxic = {v} and fold = 3", CURVE_ROWS)]
-    if len({r["toxic"] for r in fit}) == 2:
-        vote = np.array([index.votes(*index.nearest(*index.vector(Counter(dict(zip(r["terms"], r["counts"], strict=True)))))) for r in fit])
-        mark = np.array([r["toxic"] for r in fit], float)
+    if len({r[1] for r in fit}) == 2:
+        vote = np.array([index.votes(*index.nearest(*index.vector(r[2], r[3]))) for r in fit])
+        mark = np.array([r[1] for r in fit], float)
         if mark.mean() > 0 and prior > 0:
             # Both classes are cut at the same number of rows; clean rows count as often as they stand for.
             stand = np.where(mark == 1, 1.0, max(1.0, (1 - prior) / prior * mark.sum() / (1 - mark).sum()))
@@ -280,7 +297,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
             for part in chunks(batch, "text"):
                 scores, near, marks = [], [], []
                 for text in part.column("text").to_pylist():
-                    place, cosine = index.nearest(*index.vector(count(text or "")))
+                    place, cosine = index.nearest(*index.of(count(text or "")))
                     scores.append(index.score(index.votes(place, cosine)))
                     near.append(index.ids[place].tolist())
                     marks.append(index.toxic[place].astype(int).tolist())

@@ -288,6 +288,17 @@ def test_toxicity_finds_held_out_rows(spark):
     assert toxicity.score(docs.limit(0), marks).count() == 0
 
 
+def test_copies_of_examples_without_telling_terms_are_found(spark):
+    rng = random.Random(12)
+    # No term is in three texts, so none tells the label by its count.
+    rows = [(i, " ".join(f"{chr(97 + k)}q{i}z{rng.randrange(9)}" for k in range(12))) for i in range(48)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(48)]
+    known = [i for i in range(48) if zlib.crc32(str(i).encode()) % 4 in (0, 1)]
+    docs = frame(spark, rows + [(1000 + i, rows[i][1]) for i in known])
+    got = {r["doc_id"]: r for r in toxicity.score(docs, spark.createDataFrame(labels, LABELS)).collect()}
+    assert len(known) > 10 and all(got[1000 + i]["neighbours"][:1] == [i] and got[1000 + i]["neighbours_toxic"][:1] == [int(i % 3 == 0)] for i in known)
+
+
 def test_block_bounds_leave_neighbours_exact():
     rng = np.random.default_rng(4)
     dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.15)
