@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesops.llm import embedding_dedup, html_text, mixing, near_dup, packing, quality, sharding, substring_dedup, topk, toxicity
+from salesops.llm import embedding_dedup, fill_middle, html_text, lexical_search, mixing, near_dup, packing, quality, sharding, substring_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.number(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fill_middle.restored(fill_middle.transform(_table(spark, sf_dir, "documents")))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_toxicity,
     op2_embedding_near_dedup,
@@ -68,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op8_substring_dedup,
     op9_mixing,
     op10_packing,
+    op11_fill_in_middle,
+    op13_ranked_search,
 )}
 
 ORACLES: dict[str, str] = {
@@ -123,4 +134,42 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(text, '')) AS kept_sha256
         FROM words LEFT JOIN kept USING (doc_id)
     """,
+    "op11_fill_in_middle": r"""
+        WITH cut AS (
+            SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS unit,
+                   list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), i, 8))::BIGINT) AS h
+            FROM documents),
+        placed AS (
+            SELECT *, len(unit) AS n, least(h[1] % (len(unit) + 1), h[2] % (len(unit) + 1)) AS a, greatest(h[1] % (len(unit) + 1), h[2] % (len(unit) + 1)) AS b,
+                   CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain'
+                        WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+            FROM cut),
+        pieces AS (
+            SELECT *, coalesce(array_to_string(unit[1:a], ''), '') AS prefix, coalesce(array_to_string(unit[a + 1:b], ''), '') AS middle, coalesce(array_to_string(unit[b + 1:n], ''), '') AS suffix
+            FROM placed)
+        SELECT doc_id, n::BIGINT AS n, form,
+               CASE WHEN form <> 'plain' THEN length(prefix) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END::BIGINT AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                                ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256
+        FROM pieces
+    """,
+    "op13_ranked_search": r"""
+        WITH low AS (
+            SELECT 0 AS kind, doc_id AS id, row_number() OVER () AS row, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+            UNION ALL
+            SELECT 1, item_id, 0, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+        term AS (
+            SELECT kind, id, row, unnest(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM low),
+        held AS (SELECT id AS doc_id, row, t, count(*) AS tf FROM term WHERE kind = 0 GROUP BY ALL),
+        doc AS (SELECT row, sum(tf)::BIGINT AS n FROM held GROUP BY row),
+        whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS terms FROM doc),
+        weight AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM held, whole GROUP BY t, docs),
+        scored AS (
+            SELECT i.id AS item_id, h.doc_id, h.row, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * docs) // terms)))))::BIGINT AS score
+            FROM (SELECT DISTINCT id, t FROM term WHERE kind = 1) i JOIN held h USING (t) JOIN weight USING (t) JOIN doc USING (row), whole
+            GROUP BY i.id, h.doc_id, h.row),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+        SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
 }

@@ -81,8 +81,8 @@ class Words:
         return mix(value + (self.end - self.start).astype(U64) * _GOLDEN)
 
 
-def words(texts: pa.Array) -> Words:
-    """Words of a string array."""
+def words(texts: pa.Array, between: np.ndarray = _SPACE) -> Words:
+    """Words of a string array; ``between`` marks the bytes that part them."""
     texts = texts.cast(pa.large_string()) if not pa.types.is_large_string(texts.type) else texts
     if texts.null_count:
         texts = pc.fill_null(texts, "")
@@ -93,7 +93,7 @@ def words(texts: pa.Array) -> Words:
     size = int(offs[-1]) - base
     raw = np.frombuffer(data, np.uint8, size, base) if data is not None and size else np.zeros(0, np.uint8)
     offs = offs - base
-    full = ~_SPACE[raw]
+    full = ~between[raw]
     cut = np.zeros(size + 1, bool)
     cut[offs] = True
     before = np.empty(size, bool)
