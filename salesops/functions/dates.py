@@ -7,8 +7,8 @@ easy to get wrong on Spark are spelled out here:
   0..53 (week 1 starts on the year's first Sunday).  Spark's ``weekofyear`` is
   ISO and differs on about half of all days, so it is never used.
 * "same week/month/quarter as as_of" tests compare the period number *and*
-  the year.  When ``as_of`` is a Python date they are written as a closed date
-  range, which parquet statistics can prune and which stays inside codegen.
+  the year.  They are written as a closed date range, which parquet statistics
+  can prune and which stays inside codegen, for a given day and for today.
 * ``WEEKDAY`` numbers Monday 0, ``DAYOFWEEK`` numbers Sunday 1; Spark's
   ``weekday``/``dayofweek`` number the same way.
 """
@@ -54,43 +54,28 @@ def sunday_week(d: DateLike) -> Column:
 
 # -- period bounds ----------------------------------------------------------
 
-def week_bounds(as_of: _dt.date) -> tuple[_dt.date, _dt.date]:
-    """Days with the same Sunday-week number and year as ``as_of``."""
-    sunday = as_of - _dt.timedelta(days=as_of.isoweekday() % 7)
-    lo = max(sunday, _dt.date(as_of.year, 1, 1))
-    hi = min(sunday + _dt.timedelta(days=6), _dt.date(as_of.year, 12, 31))
-    return lo, hi
-
-
-def month_bounds(as_of: _dt.date) -> tuple[_dt.date, _dt.date]:
-    lo = as_of.replace(day=1)
-    nxt = (lo.replace(day=28) + _dt.timedelta(days=4)).replace(day=1)
-    return lo, nxt - _dt.timedelta(days=1)
-
-
-def quarter_bounds(as_of: _dt.date) -> tuple[_dt.date, _dt.date]:
-    first_month = 3 * ((as_of.month - 1) // 3) + 1
-    lo = _dt.date(as_of.year, first_month, 1)
-    hi = month_bounds(_dt.date(as_of.year, first_month + 2, 1))[1]
-    return lo, hi
-
-
-_BOUNDS = {"week": week_bounds, "month": month_bounds, "quarter": quarter_bounds}
-_NUMBER = {"week": sunday_week, "month": lambda c: F.month(as_date(c)), "quarter": lambda c: F.quarter(as_date(c))}
+def period_bounds(as_of: DateLike, unit: str) -> tuple[Column, Column]:
+    """First and last day with the same week / month / quarter number and year as
+    ``as_of``.  They are constants wherever ``as_of`` is one, the current date
+    included, so the optimizer folds them and a range on them reaches the scan."""
+    a = as_date(as_of)
+    if unit == "month":
+        return F.trunc(a, "month"), F.last_day(a)
+    if unit == "quarter":
+        first = F.trunc(a, "quarter")
+        return first, F.last_day(F.add_months(first, 2))
+    if unit != "week":
+        raise ValueError(f"no period {unit!r}")
+    sunday, new_year = F.date_sub(a, F.dayofweek(a) - 1), F.trunc(a, "year")
+    return F.greatest(sunday, new_year), F.least(F.date_add(sunday, 6), F.date_sub(F.add_months(new_year, 12), 1))
 
 
 def same_period(d: DateLike, as_of: DateLike, unit: str) -> Column:
-    """``UNIT(d) = UNIT(as_of) AND YEAR(d) = YEAR(as_of)`` for week/month/quarter.
-
-    With a Python ``as_of`` this is a range predicate on ``d``; otherwise the
-    literal number-and-year comparison.
-    """
+    """``UNIT(d) = UNIT(as_of) AND YEAR(d) = YEAR(as_of)`` for week/month/quarter,
+    as a range predicate on ``d``."""
+    low, high = period_bounds(as_of, unit)
     d = as_date(d)
-    if isinstance(as_of, _dt.date):
-        lo, hi = _BOUNDS[unit](as_of if not isinstance(as_of, _dt.datetime) else as_of.date())
-        return (d >= F.lit(lo)) & (d <= F.lit(hi))
-    a = as_date(as_of)
-    return (_NUMBER[unit](d) == _NUMBER[unit](a)) & (F.year(d) == F.year(a))
+    return (d >= low) & (d <= high)
 
 
 def same_week(d: DateLike, as_of: DateLike) -> Column:

@@ -38,24 +38,51 @@ def not_in_subquery(df: DataFrame, column: str, values: DataFrame, value_column:
     """``df.column NOT IN (SELECT value_column FROM values)`` with SQL semantics.
 
     The row stays when the list is empty; otherwise only when ``column`` is not
-    NULL, the list holds no NULL and no list value equals it.  Membership is an
-    ordinary anti join against the distinct list values, so the list may be of
-    any size.  Whether the list holds a NULL is one look with an ``IS NULL``
-    filter that reaches its scan; whether it is empty matters only for rows
-    whose own value is NULL and is asked by one row.  ``key``: the column is a
-    key without NULLs, which saves the second look.  Both looks are scalar
-    subqueries in predicates that name no column of ``df``, so the optimizer
-    cannot copy them through later joins.
+    NULL, the list holds no NULL and no list value equals it.  One left join
+    with the distinct list values marks the members, so the list may be of any
+    size and ``df`` is read once, and one three-valued predicate decides.  Whether
+    the list holds a NULL is one look with an ``IS NULL`` filter that reaches its
+    scan; whether it is empty matters only for rows whose own value is NULL and
+    is asked by one row.  ``key``: the column is a key without NULLs, which saves
+    the second look.  The predicate holds the marker, so the optimizer cannot
+    copy the looks through later joins.
     """
     v = values.select(F.col(value_column).alias("__nin_v"))
     is_null = F.col("__nin_v").isNull()
     nulls = v.where(is_null).agg(F.count(F.lit(1))).scalar()
+    members = v.where(~is_null).distinct().withColumn("__nin_hit", F.lit(True))
     c = F.col(column)
-    present = df.where(c.isNotNull()).join(v.where(~is_null).distinct(), c == F.col("__nin_v"), "left_anti").where(nulls == 0)
-    if key:
-        return present
-    some = v.limit(1).agg(F.count(F.lit(1))).scalar()
-    return present.unionByName(df.where(c.isNull()).where(some == 0))
+    marked = df.join(members, c == F.col("__nin_v"), "left")
+    stays = F.col("__nin_hit").isNull() & (nulls == 0)
+    if not key:
+        some = v.limit(1).agg(F.count(F.lit(1))).scalar()
+        stays = stays & (c.isNotNull() | (some == 0))
+    return marked.where(stays).drop("__nin_v", "__nin_hit")
+
+
+def left_join_split(left: DataFrame, right: DataFrame, left_key: Column, right_key: Column, parts: int = 64) -> DataFrame:
+    """``left LEFT JOIN right ON left_key = right_key`` for a small ``left`` and a
+    ``right`` in which one key may hold a large share of the rows.
+
+    Adaptive execution splits only the streamed side of a left join, so a hot
+    right-hand key would be one task.  Here each right-hand key is dealt into
+    ``parts`` by a hash of the row, and every left row meets all of them (it is
+    repeated ``parts`` times, which costs little for a small side).  Left rows
+    without a partner are found by the distinct keys of the right side and kept
+    once.  The dealt rows are shuffled once: the keys are taken from the same
+    exchange, which is why their aggregation asks for all columns.
+    Columns of the two sides must differ.
+    """
+    key = "__ls_key"
+    dealt = right.withColumn(key, right_key).where(F.col(key).isNotNull())
+    dealt = dealt.withColumn("__ls_part", F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int")).repartition(key, "__ls_part")
+    keyed = left.withColumn("__ls_left", left_key)
+    spread = keyed.withColumn("__ls_of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = spread.join(dealt, (F.col("__ls_left") == F.col(key)) & (F.col("__ls_of") == F.col("__ls_part")))
+    keys = dealt.groupBy(key).agg(F.max(F.xxhash64(*right.columns, "__ls_part"))).select(key)
+    alone = keyed.join(keys, F.col("__ls_left") == F.col(key), "left_anti")
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
+    return met.select(*left.columns, *right.columns).unionByName(alone.select(*left.columns, *none))
 
 
 def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Sequence[tuple]) -> DataFrame:
@@ -63,11 +90,14 @@ def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Se
 
     A disjunctive condition has no equi-join key and plans as a nested-loop
     join.  Instead the work is done once on the distinct key tuples of
-    ``rows``: for each target the tuple's distinct non-NULL keys are matched in
-    one equi-join, and the matches are left-joined back to the tuples, so a
-    tuple without a match carries one NULL row and one with several has a row
-    for each combination, exactly as the chained OR joins do.  Nothing is
-    gathered in lists.  The tuples are joined back to ``rows`` once (NULL-safe).
+    ``rows``.  The targets form one directory, a union with a struct column per
+    target; the tuples' distinct non-NULL keys meet it in one equi-join.  The
+    matches of a tuple are gathered per target and spread again with
+    ``explode_outer``: a tuple without a match carries one NULL, one with several
+    has a row for each combination, exactly as the chained OR joins do (what
+    is gathered is less than what these joins return for the tuple).  The tuples are joined
+    back to ``rows`` once (NULL-safe), so ``rows`` is computed twice however
+    many targets there are.
 
     ``targets``: ``(df, key_column, columns, prefix)``; target columns come
     out as ``{prefix}{column}``; ``key_cols`` of ``rows`` may be NULL.
@@ -75,14 +105,17 @@ def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Se
     keys = list(key_cols)
     tup = [f"__dj{i}" for i in range(len(keys))]
     tuples = rows.select(*[F.col(k).alias(t) for k, t in zip(keys, tup)]).distinct()
-    out = tuples
-    for i, (tdf, tkey, tcols, prefix) in enumerate(targets):
-        own = [f"__dj{i}_{k}" for k in range(len(keys))]
-        asked = tuples.select(*[F.col(t).alias(o) for t, o in zip(tup, own)],
-                              F.explode(F.array_distinct(F.array(*tup))).alias("__dj_k")).where(F.col("__dj_k").isNotNull())
-        target = tdf.select(F.col(tkey).alias("__dj_t"), *[F.col(c).alias(prefix + c) for c in tcols])
-        found = asked.join(target, F.col("__dj_k") == F.col("__dj_t")).drop("__dj_k", "__dj_t")
-        out = out.join(found, [F.col(t).eqNullSafe(F.col(o)) for t, o in zip(tup, own)], "left").drop(*own)
+    directory = None
+    for i, (tdf, tkey, tcols, _) in enumerate(targets):
+        own = tdf.select(F.col(tkey).alias("__dj_t"), F.struct(*tcols).alias(f"__dj_m{i}"))
+        directory = own if directory is None else directory.unionByName(own, allowMissingColumns=True)
+    asked = tuples.select(*tup, F.explode_outer(F.array_distinct(F.array(*tup))).alias("__dj_k"))
+    found = asked.join(directory, F.col("__dj_k") == F.col("__dj_t"), "left")
+    lists = [F.collect_list(f"__dj_m{i}").alias(f"__dj_m{i}") for i in range(len(targets))]
+    out = found.groupBy(*tup).agg(*lists)
+    for i, (_, _, tcols, prefix) in enumerate(targets):
+        out = out.withColumn(f"__dj_m{i}", F.explode_outer(f"__dj_m{i}"))
+        out = out.withColumns({prefix + c: F.col(f"__dj_m{i}")[c] for c in tcols}).drop(f"__dj_m{i}")
     cond = [F.col(k).eqNullSafe(out[t]) for k, t in zip(keys, tup)]
     return rows.join(out, cond, "left").drop(*tup)
 

@@ -38,7 +38,7 @@ def columns_of(df: DataFrame) -> list[dict]:
 
 
 def with_total_row(df: DataFrame, fields: Sequence[Field], label_column: str | None = None,
-                   flag: str = "is_total") -> DataFrame:
+                   flag: str = "is_total", order: Sequence[Column | str] = ()) -> DataFrame:
     """Append the total row a report viewer adds: numeric field types summed
     (NULL counts 0), ``Percent`` averaged over all rows, the label column set
     to ``Total`` when it is text, other columns empty; ``flag`` marks it.
@@ -46,7 +46,8 @@ def with_total_row(df: DataFrame, fields: Sequence[Field], label_column: str | N
     One aggregation over ``GROUPING SETS ((all columns), ())``: the detail set
     returns each distinct report row with its number, which is expanded again,
     so equal rows stay as many as they were; the empty set is the total.  The
-    report is computed once.
+    report is computed once.  The aggregation loses the rows' order, so ``order``
+    states it anew; the total comes last.
     """
     types = {f.name: f.fieldtype for f in fields}
     label_column = label_column or fields[0].name
@@ -68,7 +69,8 @@ def with_total_row(df: DataFrame, fields: Sequence[Field], label_column: str | N
             out.append(F.when(total, F.lit("Total")).otherwise(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
-    return g.select(*out, total.alias(flag))
+    rows = g.select(*out, total.alias(flag))
+    return rows.orderBy(flag, *order) if order else rows
 
 
 def category_rank(category: Column, order: Sequence[str]) -> Column:

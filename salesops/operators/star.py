@@ -19,9 +19,10 @@ x's own hits survive and the result is ``match_v``.
 
 A row whose value condition fails only adds 0 to ``all_v``.  So each child is
 read within the date span that holds its filter and its condition (pushed to
-the scan), and whether it has any other row, which turns a negative maximum
-into 0, is asked of the two columns key and date, reduced to distinct keys
-before the shuffle.
+the scan).  Whether it has any other row matters only for keys whose maximum
+inside is negative or NULL and of which the span shows no other row; that is asked
+of the two columns key and date, for these keys alone: their lowest and highest
+bound the scan, a semi join picks them, and without any nothing is read.
 """
 
 from __future__ import annotations
@@ -34,6 +35,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Above every key.
+_HIGHEST = "\U0010ffff"
+
+
 @dataclass(frozen=True)
 class Child:
     """One achievement table: its filter branch, its value condition, the
@@ -54,15 +59,25 @@ def child_stats(child: Child, key: str = "bd") -> DataFrame:
     n = child.name
     near = child.df if child.span is None else child.df.where(child.span)
     inside = F.coalesce(child.cond, F.lit(False))
-    aggs = [F.max(F.coalesce(child.pred, F.lit(False)).cast("int")).alias(f"{n}_hit"), F.count_if(inside).alias("__in")]
+    aggs = [F.max(F.coalesce(child.pred, F.lit(False)).cast("int")).alias(f"{n}_hit"), F.count_if(inside).alias("__in"),
+            F.count_if(~inside).alias("__out")]
     for vname, v in child.values.items():
         aggs.append(F.max(F.when(inside, v)).alias(f"{n}_in_{vname}"))
         aggs.append(F.max(F.when(child.pred, F.when(inside, v).otherwise(F.lit(0)))).alias(f"{n}_match_{vname}"))
     stats = near.groupBy(key).agg(*aggs)
-    # keys with a row outside the condition: its 0 shows where the values inside are negative or all NULL
-    other = child.df.where(~inside).select(F.col(key).alias("__star_o")).distinct()
-    stats = stats.join(other, F.col(key) == F.col("__star_o"), "left")
-    alone = F.col("__star_o").isNull() & (F.col("__in") > 0)
+    if child.span is None:
+        alone = F.col("__out") == 0
+    else:
+        # the 0 of a row outside the condition shows where a maximum inside is negative or NULL
+        low = reduce(Column.__or__, [F.coalesce(F.col(f"{n}_in_{v}") < 0, F.lit(True)) for v in child.values])
+        asked = stats.where(low & (F.col("__in") > 0) & (F.col("__out") == 0)).select(F.col(key).alias("__star_k"))
+        least = asked.agg(F.coalesce(F.min("__star_k"), F.lit(_HIGHEST))).scalar()
+        most = asked.agg(F.coalesce(F.max("__star_k"), F.lit(""))).scalar()
+        outside = child.df.where(~inside & F.col(key).between(least, most))
+        other = outside.join(asked, F.col(key) == F.col("__star_k"), "left_semi").select(F.col(key).alias("__star_o")).distinct()
+        stats = stats.join(other, F.col(key) == F.col("__star_o"), "left")
+        alone = F.col("__star_o").isNull() & (F.col("__out") == 0)
+    alone = alone & (F.col("__in") > 0)
     cols = [F.col(key), F.col(f"{n}_hit")]
     for vname in child.values:
         top = F.col(f"{n}_in_{vname}")

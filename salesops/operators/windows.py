@@ -32,27 +32,44 @@ def row_number_in(df: DataFrame, keys: Sequence[str], order: Order, name: str =
     return df.withColumn(name, F.row_number().over(w))
 
 
-def row_number_of_all(df: DataFrame, first: str, rest: Order, name: str = "rn") -> DataFrame:
-    """Add ``row_number()`` over the whole input, ordered by ``first`` descending
-    (NULLs last) and then ``rest``, without putting it into one task: rows are
-    ranked among those of equal ``first``, and the counts of the greater values
-    (one row per value) set the ranks off."""
-    counts = df.groupBy(F.col(first).alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
-    ahead = Window.orderBy(F.col("__of").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("__of", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__before"))
-    ranked = row_number_in(df, [first], rest, name)
-    out = ranked.join(before, ranked[first].eqNullSafe(before["__of"]))
-    return out.withColumn(name, F.col(name) + F.col("__before")).drop("__of", "__before")
-
-
-def row_number_in_split_null(df: DataFrame, key: str, first: str, rest: Order, name: str = "rn") -> DataFrame:
-    """``row_number()`` per ``key``, ordered by ``first`` descending and then
-    ``rest``, where many rows may have no key: they form one group, as in SQL,
-    which is ranked in parts."""
-    order = [F.col(first).desc_nulls_last(), *rest]
-    keyed = row_number_in(df.where(F.col(key).isNotNull()), [key], order, name)
-    keyed = keyed.withColumn(name, F.col(name).cast("bigint"))
-    return keyed.unionByName(row_number_of_all(df.where(F.col(key).isNull()), first, rest, name).select(*keyed.columns))
+def row_number_by_levels(df: DataFrame, key: str, levels: Sequence[str], rest: Order, name: str = "rn") -> DataFrame:
+    """``row_number()`` per ``key``, ordered by the ``levels`` descending (NULLs
+    last) and then ``rest``, without putting a key into one task.
+
+    Rows are ranked among those alike in key and all levels.  From the last level
+    to the first, the counts of the greater values (one row per value) set the
+    ranks off, so a key is spread over its values of all levels together.
+    NULL keys form one group, as in SQL.
+    """
+    ranked = row_number_in(df, [key, *levels], rest, name).withColumn(name, F.col(name).cast("bigint"))
+    counts = df.groupBy(key, *levels).agg(F.count(F.lit(1)).alias("__n"))
+    offset = None
+    for depth in range(len(levels), 0, -1):
+        group, own = [key, *levels[:depth - 1]], levels[depth - 1]
+        at = counts.groupBy(*group, own).agg(F.sum("__n").alias("__n"))
+        ahead = Window.partitionBy(*group).orderBy(F.col(own).desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+        at = at.select(*group, own, F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias(f"__o{depth}"))
+        offset = at if offset is None else _null_safe(offset, at, [*group, own])
+    ahead = sum((F.col(f"__o{d}") for d in range(1, len(levels) + 1)), F.lit(0))
+    return _null_safe(ranked, offset, [key, *levels]).withColumn(name, F.col(name) + ahead).select(*df.columns, name)
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Joins on ``keys``, NULL equal to NULL; the keys come from the left."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    cond = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+
+
+def row_number_split(df: DataFrame, key: str, levels: Sequence[str], rest: Order, name: str = "rn",
+                     hot_rows: int = 1_000_000) -> DataFrame:
+    """``row_number()`` per ``key`` (NULL a key of its own), ordered by the
+    ``levels`` descending and then ``rest``; keys of more than ``hot_rows`` rows
+    are ranked level by level, the others in one window."""
+    hot = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows).select(key)
+    plain = row_number_in(_null_safe(df, hot, [key], "left_anti"), [key], [*[F.col(c).desc_nulls_last() for c in levels], *rest], name)
+    split = row_number_by_levels(_null_safe(df, hot, [key], "left_semi"), key, levels, rest, name)
+    return plain.withColumn(name, F.col(name).cast("bigint")).unionByName(split)
 
 
 def pick_one(df: DataFrame, keys: Sequence[str], order: Order) -> DataFrame:

@@ -21,7 +21,7 @@ from ..operators.filters import (exclude_values, on_or_after, open_recent_todos,
 from ..operators.joins import anti_join, ci_key, not_in_subquery
 from ..operators.output import category_rank
 from ..operators.star import star_max
-from ..operators.windows import one_row_per_key, pick_one, row_number_in_split_null
+from ..operators.windows import one_row_per_key, pick_one, row_number_split
 from ..sources.schemas import SCHEMAS
 from . import reports as R
 from .catalog import register
@@ -510,10 +510,11 @@ def latest_invoice_per_customer(t):
 
 @register("invoice_rank_in_order")
 def invoice_rank_in_order(t):
-    """Row number of each invoice within its sales order."""
+    """Row number of each invoice within its sales order; large orders (and the
+    invoices without one) are ranked by day and time."""
     si = t["sales_invoice"].select("name", "sales_order", "posting_date", "posting_time")
-    rest = [F.col("posting_time").desc_nulls_last(), F.col("name").desc_nulls_last()]
-    return row_number_in_split_null(si, "sales_order", "posting_date", rest).select("name", "sales_order", "rn")
+    ranked = row_number_split(si, "sales_order", ["posting_date", "posting_time"], [F.col("name").desc_nulls_last()], hot_rows=1000)
+    return ranked.select("name", "sales_order", "rn")
 
 
 # -- sort and set operations --------------------------------------------------------

@@ -20,7 +20,7 @@ from ..functions.dates import as_date, last_days, same_month, same_quarter, same
 from ..functions.numeric import flag_yn, format_amount, payment_terms_days, per_lakh, times
 from ..operators import aggregates as A
 from ..operators.filters import open_recent_todos, visible_to
-from ..operators.joins import ci_key, disjunctive_left_joins
+from ..operators.joins import ci_key, disjunctive_left_joins, left_join_split
 from ..operators.metrics import (appointment_type, collection_targets, day_buckets, manager_metrics, net_outstanding,
                                  net_overdue, overdue_amount, receivable_pools, todo_label, zero_if_no_overdue)
 from ..operators.output import Field, as_report, category_rank, unpivot_categories, with_total_row
@@ -102,7 +102,7 @@ def report_funnel(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     j = per_bd(j)
     out = j.select(F.col("custom_team").alias("Team"), F.col("team_user_name").alias("Team_Username"),
                    F.col("bd_sales_person").alias("BD"), *FUNNEL_COLUMNS[3:])
-    return out.distinct().orderBy(F.col("Team").asc_nulls_first(), F.col("Team_Username").asc_nulls_first())
+    return out.distinct().orderBy(*order_of("funnel"))
 
 
 # -- R6 zero order ----------------------------------------------------------
@@ -124,7 +124,7 @@ def report_zero_order(tables, user=None, config: Config = DEFAULT) -> DataFrame:
     out = j.select(F.col("custom_team").alias("team"), F.col("team_user_name").alias("team_username"),
                    "zonal_head_sales_person", "zonal_head", "customer_id", "customer_name", "payment_type",
                    "days_since_last_onboarding")
-    return out.distinct().orderBy(F.col("days_since_last_onboarding").desc_nulls_last())
+    return out.distinct().orderBy(*order_of("zero_order"))
 
 
 # -- receivables shared by R3 and R4 ------------------------------------------
@@ -324,8 +324,7 @@ def report_dashboard(tables, user=None, config: Config = DEFAULT, formatted: boo
     if formatted:
         cols += [format_amount(F.col(m)).alias(f"{m}_text") for m in DASHBOARD_MEASURES]
     out = long.select(*cols)
-    return out.orderBy("custom_team", "zonal_head_sales_person", "bd_sales_person",
-                       category_rank(F.col("Category"), DASHBOARD_CATEGORIES))
+    return out.orderBy(*order_of("dashboard"))
 
 
 # -- R1 appointment ---------------------------------------------------------
@@ -370,15 +369,27 @@ def report_appointment(tables, user=None, config: Config = DEFAULT) -> DataFrame
     todos = todo_buckets(t, as_of)
     counts = A.open_todo_count(t["todo"], as_of)
     sp = visible_spine(t, user, config.excluded_sales_persons)
-    # the todos of the shown days only, a week or so: they stream through the join
-    j = sp.join(todos, ci_key(sp["bd"]) == ci_key(todos["owner"]), "left").drop("owner")
+    # an owner may have a large share of the shown todos; the spine is small
+    j = left_join_split(sp, todos, ci_key("bd"), ci_key("owner")).drop("owner")
     j = j.join(counts, j["bd"] == counts["owner"], "left")
     out = j.select(F.col("custom_team").alias("Team"), F.col("team_user_name").alias("BD"),
                    F.col("zonal_head_sales_person").alias("Zonal_head"), "Todo_ID",
                    appointment_type(F.col("reference_type")).alias("Appointment_type"),
                    F.col("reference_type").alias("Reference_Type"), "Yesterday", "Today", "Tomorrow", "Week",
                    F.coalesce(F.col("Count_Status_Open"), F.lit(0)).alias("Count_Status_Open"))
-    return out.distinct().orderBy(F.col("Team").asc_nulls_first(), F.col("BD").asc_nulls_first())
+    return out.distinct().orderBy(*order_of("appointment"))
+
+
+def order_of(name: str) -> list:
+    """Sort of a report's rows; none for the collection and debtors reports."""
+    first = lambda *names: [F.col(c).asc_nulls_first() for c in names]
+    return {
+        "appointment": first("Team", "BD"),
+        "dashboard": [*first("custom_team", "zonal_head_sales_person", "bd_sales_person"),
+                      category_rank(F.col("Category"), DASHBOARD_CATEGORIES)],
+        "funnel": first("Team", "Team_Username"),
+        "zero_order": [F.col("days_since_last_onboarding").desc_nulls_last()],
+    }.get(name, [])
 
 
 def fields_of(name: str) -> list[Field]:
@@ -387,8 +398,8 @@ def fields_of(name: str) -> list[Field]:
 
 
 def with_totals(name: str, rows: DataFrame) -> DataFrame:
-    """A report's rows and its total row."""
-    return with_total_row(rows, fields_of(name))
+    """A report's rows in their order and its total row, last."""
+    return with_total_row(rows, fields_of(name), order=order_of(name))
 
 
 def report(name: str, tables, user=None, config: Config = DEFAULT, total: bool = False) -> DataFrame:

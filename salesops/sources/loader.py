@@ -105,7 +105,8 @@ def read_tables(spark: SparkSession, path: str, fmt: str = "parquet",
 # Tables that grow with the business: never read over one connection.
 FACT_TABLES = ("sales_invoice", "payment_entry", "gl_entry", "journal_entry", "journal_entry_account", "sales_order",
                "opportunity", "lead", "customer", "todo", "event_participants", "daily_achievement",
-               "weekly_achievement", "monthly_achievement", "quaterly_achievement")
+               "weekly_achievement", "monthly_achievement", "quaterly_achievement", "address", "customer_credit_limit",
+               "party_account")
 
 
 def creation_slices(start: _dt.date, end: _dt.date, slices: int, column: str = "creation") -> list[str]:
