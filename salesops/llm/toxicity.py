@@ -2,34 +2,39 @@
 
 1. Labels come from a bounded sample of labelled rows whose crc32(doc_id as
    text) mod 4 is not 2, drawn by a hash, as many toxic as clean ones at most.
-2. Terms are lower-case words and word beginnings of four to six characters
-   (insults come inflected).  All terms of the sampled labelled rows make the
-   space, whatever their label and however rare; a term that none of them has is
-   not in it.
-3. Document frequencies of these terms are counted over all documents; their
-   inverse alone weighs the terms.
-4. Examples become unit TF-IDF vectors in blocks of ``BLOCK``, kept as postings
-   (term, block, example, weight) with the largest weight of each term in each block.  A query
-   visits blocks by falling bound (its weights times the block maxima), ``AT_ONCE``
-   at a time, and stops when a bound is below its k-th cosine: the neighbours are exact.
-5. Neighbours vote by closeness, 1 / (0.05 + 1 - cosine), with a clean prior
-   for what the votes lack; a monotone curve fitted to sampled rows that are not
+2. A word has one term: its first ``LETTERS`` characters in lower case (insults come
+   inflected), dealt by a hash into ``BUCKETS`` buckets.  So every term of every
+   text is in the space, whether a labelled row has it or not, and the table
+   of document frequencies, counted over all documents, has a fixed size.
+3. A text's weight for a term is its count times the inverse document frequency, to
+   the powers ``COUNT_POWER`` and ``IDF_POWER`` (chosen on the rows the curve is fitted
+   to); vectors have length one over all their terms.
+4. Examples lie in blocks of ``BLOCK`` alike ones.  The index keeps postings (term,
+   example, weight) and, for common terms (in one of ``COMMON`` examples), the largest
+   weight of each block.  Texts are taken in batches.  Postings of the rarer terms, which
+   carry most of the weight, are added up first; the block maxima then bound
+   what the common ones can still add.  The most promising blocks of each text are
+   finished, by matrix products, and then every block whose bound reaches the text's
+   k-th cosine: the neighbours are exact.
+5. Neighbours vote by closeness, 1 / (0.05 + 1 - cosine), with the labels' share of
+   toxic rows as a prior for what the votes lack; a monotone curve fitted to sampled rows that are not
    in the index turns votes into probabilities.  The neighbours are returned as evidence.
 
 Rows are read whole; doc_id, lang, source and labels are never inputs of a
 score (doc_id only decides which labels may be learnt from).  Defined results:
-null and empty texts and texts without a term of the space have no neighbours and take the
+null and empty texts and texts without a term of an example have no neighbours and take the
 curve's value at no votes.  Rows with a null doc_id are scored and not held
 out.  Labels that are null are ignored; a doc_id labelled twice counts as toxic
-if one of its labels is.  Without labelled rows every score is 0.
+if one of its labels is.  Without labelled rows every score is 0.  Extra columns are
+ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import zlib
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -40,46 +45,49 @@ from salesops.llm.graph import stored
 from salesops.llm.tasks import map_arrow
 from salesops.llm.text import chunks
 
-#: Most labelled rows of each class that are learnt from, examples of each class in the index, rows the curve is fitted to.
+#: Most labelled rows of each class that are learnt from, examples of each class in the index, rows of each class the curve is fitted to.
 SAMPLE, EXAMPLES, CURVE_ROWS = 10_000, 2048, 4096
-BLOCK, AT_ONCE, NEIGHBOURS = 64, 8, 15
+LETTERS, BUCKETS, COUNT_POWER, IDF_POWER = 4, 1 << 20, 1.25, 2.0
+BLOCK, COMMON, AT_ONCE, NEIGHBOURS = 32, 8, 4, 15
 PRIOR_VOTES = 1.0
 THRESHOLD = 0.3
-#: Words a worker remembers the terms of.
-KEPT_WORDS = 400_000
+#: Terms a worker remembers the bucket of, and characters from which a text's words are not held in a list.
+KEPT_TERMS, LONG = 400_000, 1 << 22
 
-_WORD = re.compile(r"\w+")
-_BEGINNINGS = (4, 5, 6)
+_BEGINNING = re.compile(rf"(\w{{1,{LETTERS}}})\w*")
 
 
 def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def terms_of(word: str) -> tuple[str, ...]:
-    """A word's terms: itself and its beginnings, marked by a trailing star."""
-    return (word, *(f"{word[:n]}*" for n in _BEGINNINGS if len(word) > n))
+class _Known(dict):
+    """Buckets of terms, found once."""
+
+    def __missing__(self, term: str) -> int:
+        self[term] = bucket = zlib.crc32(term.encode("utf-8", "surrogatepass")) % BUCKETS
+        return bucket
 
 
 class Terms:
-    """Counts the terms of a fixed list in texts."""
+    """Counts the terms of texts."""
 
-    def __init__(self, names: list[str]):
-        self.at = {t: i for i, t in enumerate(names)}
-        self.known: dict[str, tuple[int, ...]] = {}
+    def __init__(self):
+        self.known = _Known()
 
-    def __call__(self, text: str) -> Counter:
-        if len(self.known) > KEPT_WORDS:
+    def __call__(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row, term and count of every term of every text, by row and term."""
+        if len(self.known) > KEPT_TERMS:
             self.known.clear()
-        found: Counter = Counter()
-        known, at = self.known, self.at
-        for w in _WORD.findall(text.lower()):
-            ids = known.get(w)
-            if ids is None:
-                ids = known[w] = tuple(at[t] for t in terms_of(w) if t in at)
-            if ids:
-                found.update(ids)
-        return found
+        known, keys, counts = self.known, [], []
+        for row, text in enumerate(texts):
+            low = (text or "").lower()
+            found = Counter(_BEGINNING.findall(low)) if len(low) < LONG else Counter(m[1] for m in _BEGINNING.finditer(low))
+            keys.append(np.fromiter(map(known.__getitem__, found), np.int64, len(found)) + row * BUCKETS)
+            counts.append(np.fromiter(found.values(), np.int64, len(found)))
+        key = np.concatenate([np.zeros(0, np.int64), *keys])
+        key, back = np.unique(key, return_inverse=True)
+        return key // BUCKETS, key % BUCKETS, np.bincount(back, np.concatenate([np.zeros(0, np.int64), *counts]), len(key))
 
 
 def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -93,40 +101,38 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(chosen), "doc_id")
 
 
-def all_terms(rows: DataFrame) -> list[str]:
-    """Every term of the sampled labelled rows, in order; none without rows of both classes."""
-
-    def run(batches):
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                names = {t for text in part.column("text").to_pylist() for w in set(_WORD.findall(text.lower())) for t in terms_of(w)}
-                yield pa.RecordBatch.from_arrays([pa.array(list(names), pa.string())], names=["term"])
-
-    if rows.select("toxic").distinct().count() < 2:
-        return []
-    return sorted(map_arrow(rows.select("text"), run, "term string").distinct().toArrow().column("term").to_pylist())
-
-
-def document_frequencies(docs: DataFrame, names: list[str]) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     """Documents that hold each term, over all documents, and the number of documents."""
 
     def run(batches):
-        count = Terms(names)
+        count = Terms()
         for batch in batches:
-            seen = np.zeros(len(names) + 1, np.int64)
+            seen = np.zeros(BUCKETS + 1, np.int64)
             for part in chunks(batch, "text"):
-                for text in part.column("text").to_pylist():
-                    seen[list(count(text or ""))] += 1
+                seen[:-1] += np.bincount(count(part.column("text").to_pylist())[1], minlength=BUCKETS)
             seen[-1] = batch.num_rows
             some = np.flatnonzero(seen)
             yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(seen[some])], names=["term", "n"])
 
+    # At most one row per bucket.
     rows = map_arrow(docs.select(F.col("text").cast("string").alias("text")), run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(len(names) + 1)
+    out = np.zeros(BUCKETS + 1)
     out[rows.column("term").to_numpy()] = rows.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
+def idf_of(df: np.ndarray, documents: int) -> np.ndarray:
+    return np.log((documents + 1.0) / (df + 1.0)) + 1e-6
+
+
+def vectors(counted: tuple[np.ndarray, np.ndarray, np.ndarray], idf: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, term and weight of the texts' vectors of length one."""
+    row, term, count = counted
+    w = count**COUNT_POWER * idf[term] ** IDF_POWER
+    norm = np.sqrt(np.bincount(row, w * w, rows))
+    return row, term, w / np.where(norm > 0, norm, 1)[row]
+
+
 def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All numbers of the ranges first..last-1 in turn, and the lengths of the ranges."""
     n = last - first
@@ -134,88 +140,84 @@ def _ranges(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Postings:
-    """Weights of examples by term and block, and the largest of each term and block (a pair)."""
+    """Weights of examples by term; common terms as a matrix (examples x terms) with the largest weights by block."""
 
-    def __init__(self, term: np.ndarray, example: np.ndarray, weight: np.ndarray, terms: int, examples: int):
+    def __init__(self, example: np.ndarray, term: np.ndarray, weight: np.ndarray, examples: int):
         order = np.lexsort((example, term))
-        term, self.example, self.weight = term[order], example[order], weight[order]
-        block = self.example // BLOCK
-        new = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1]))) if len(term) else np.zeros(0, np.int64)
-        self.pair = np.append(new, len(term))
-        self.block = block[new]
-        self.top = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.first = np.searchsorted(term[new], np.arange(terms + 1))
+        example, term, weight = example[order], term[order], weight[order]
         self.examples, self.blocks = examples, -(-examples // BLOCK)
+        self.terms, first, many = np.unique(term, return_index=True, return_counts=True)
+        common = many * COMMON > max(examples, BLOCK)
+        self.place = np.where(common, np.cumsum(common) - 1, -1)
+        own = self.place[np.searchsorted(self.terms, term)] if len(term) else np.zeros(0, np.int64)
+        self.matrix = np.zeros((self.blocks * BLOCK, int(common.sum())))
+        self.matrix[example[own >= 0], own[own >= 0]] = weight[own >= 0]
+        self.top = self.matrix.reshape(self.blocks, BLOCK, -1).max(axis=1) if self.blocks else self.matrix
+        self.example, self.weight = example, weight
+        self.first, self.last = first, np.where(common, first, first + many)
+
+    def nearest(self, row: np.ndarray, term: np.ndarray, w: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Positions and cosines of each text's k examples of highest positive cosine, ties to the smaller position, -1 and 0 where there are fewer; and the number of (text, block) pairs finished."""
+        place, cosine = np.full((rows, k), -1, np.int64), np.zeros((rows, k))
+        if not self.examples or not rows:
+            return place, cosine, 0
+        at = np.minimum(np.searchsorted(self.terms, term), len(self.terms) - 1)
+        here = self.terms[at] == term
+        row, at, w = row[here], at[here], w[here]
+        posting, n = _ranges(self.first[at], self.last[at])
+        wide = self.blocks * BLOCK
+        sums = np.bincount(np.repeat(row, n) * wide + self.example[posting], np.repeat(w, n) * self.weight[posting], rows * wide).astype(float).reshape(rows, self.blocks, BLOCK)
+        common = self.place[at] >= 0
+        query = np.zeros((rows, self.matrix.shape[1]))
+        query[row[common], self.place[at[common]]] = w[common]
+        bound = sums.max(axis=2) + query @ self.top.T
+        done = np.zeros(bound.shape, bool)
+
+        def finish(todo: np.ndarray) -> None:
+            for b in np.flatnonzero(todo.any(axis=0)).tolist():
+                which = np.flatnonzero(todo[:, b])
+                sums[which, b] += query[which] @ self.matrix[b * BLOCK : (b + 1) * BLOCK].T
+            done[todo] = True
+
+        def kth(held: np.ndarray) -> np.ndarray:
+            n = held.shape[1]
+            return np.partition(held, n - k, axis=1)[:, n - k] if n > k else np.zeros(rows)
+
+        best = np.argsort(-bound, axis=1, kind="stable")[:, :AT_ONCE]
+        first = np.zeros(bound.shape, bool)
+        np.put_along_axis(first, best, True, axis=1)
+        finish(first)
+        least = kth(np.take_along_axis(sums, best[:, :, None], axis=1).reshape(rows, -1))
+        finish((bound >= least[:, None] - 1e-9) & (bound > 0) & ~done)
+        sums[~done] = 0
+        held = sums.reshape(rows, wide)
+        last = kth(held)
+        for i in range(rows):
+            good = np.flatnonzero(held[i] > max(last[i] - 1e-12, 0))
+            best = good[np.lexsort((good, -np.round(held[i, good], 12)))[:k]]
+            place[i, : len(best)], cosine[i, : len(best)] = best, held[i, best]
+        return place, cosine, int(done.sum())
 
 
 @dataclass
 class Index:
-    """Examples by block.  ``weight`` may be given as blocks of terms x slots; ``top`` holds the pairs' maxima."""
+    """Examples, the terms' inverse document frequencies, and the curve from votes to probabilities."""
 
-    names: list[str]
     idf: np.ndarray
-    weight: Postings | list[np.ndarray]
-    top: np.ndarray
+    postings: Postings
     ids: np.ndarray
     toxic: np.ndarray
     prior: float
     curve: tuple[list[float], list[float]] = ((0.0, 1.0), (0.0, 1.0))
 
-    def __post_init__(self):
-        if isinstance(self.weight, list):
-            dense = np.hstack(self.weight) if self.weight else np.zeros((len(self.idf), 0))
-            term, example = np.nonzero(dense)
-            self.weight = Postings(term, example, dense[term, example], *dense.shape)
-            self.top = self.weight.top
-
-    def vector(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and unit TF-IDF weights of a text with these terms."""
-        if not len(at):
-            return np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(at)
-        at = np.asarray(at, np.int64)[order]
-        w = (1 + np.log(np.asarray(counts, float)[order])) * self.idf[at]
-        norm = math.sqrt(float((w * w).sum()))
-        return (at, w / norm) if norm > 0 else (at[:0], w[:0])
-
-    def of(self, found: Counter) -> tuple[np.ndarray, np.ndarray]:
-        return self.vector(np.fromiter(found.keys(), np.int64, len(found)), np.fromiter(found.values(), np.int64, len(found)))
-
-    def nearest(self, at: np.ndarray, w: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and cosines of the k examples of highest positive cosine, ties to the smaller position; exact."""
-        cosine, place, last = np.zeros(0), np.zeros(0, np.int64), 0.0
-        p = self.weight
-        if not len(at) or not len(p.block):
-            return place, cosine
-        pairs, n = _ranges(p.first[at], p.first[at + 1])
-        mine, block = np.repeat(w, n), p.block[pairs]
-        bound = np.bincount(block, mine * self.top[pairs], p.blocks)
-        order = np.argsort(-bound, kind="stable")
-        for low in range(0, len(order), AT_ONCE):
-            if bound[order[low]] <= 0 or (len(cosine) == k and bound[order[low]] < last - 1e-9):
-                break
-            now = np.zeros(p.blocks, bool)
-            now[order[low : low + AT_ONCE]] = True
-            now = now[block]
-            posts, n = _ranges(p.pair[pairs[now]], p.pair[pairs[now] + 1])
-            here = np.bincount(p.example[posts], np.repeat(mine[now], n) * p.weight[posts], p.examples)
-            good = np.flatnonzero(here > (last - 1e-12 if len(cosine) == k else 0))
-            if not len(good):
-                continue
-            cosine, place = np.append(cosine, here[good]), np.append(place, good)
-            best = np.lexsort((place, -np.round(cosine, 12)))[:k]
-            cosine, place = cosine[best], place[best]
-            if len(cosine) == k:
-                last = float(cosine[-1])
-        return place, cosine
-
-    def votes(self, place: np.ndarray, cosine: np.ndarray) -> float:
-        """Share of closeness that votes toxic; the prior fills in for closeness that is missing."""
-        near = 1.0 / (0.05 + 1.0 - np.minimum(cosine, 1.0))
-        return float(((near * self.toxic[place]).sum() + PRIOR_VOTES * self.prior) / (near.sum() + PRIOR_VOTES))
+    def nearest(self, count: Terms, texts: list[str | None], k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray, int]:
+        return self.postings.nearest(*vectors(count(texts), self.idf, len(texts)), len(texts), k)
 
-    def score(self, vote: float) -> float:
-        return float(np.interp(vote, *self.curve))
+    def votes(self, place: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """Share of closeness that votes toxic; the prior fills in for closeness that is missing."""
+        near = np.where(place >= 0, 1.0 / (0.05 + 1.0 - np.minimum(cosine, 1.0)), 0.0)
+        marks = np.append(self.toxic, 0.0)[place]
+        return ((near * marks).sum(axis=1) + PRIOR_VOTES * self.prior) / (near.sum(axis=1) + PRIOR_VOTES)
 
 
 def monotone(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
@@ -236,72 +238,85 @@ def monotone(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
     return knots, values
 
 
-def build(docs: DataFrame, labels: DataFrame) -> Index:
-    """Fits the index and its curve."""
-    rows = stored(labelled(docs, labels))
-    names = all_terms(rows)
-    df, n = document_frequencies(docs, names) if names else (np.zeros(0), 0)
-    idf = np.log((n + 1.0) / (df + 1.0)) + 1e-6
+def _order(told: list[tuple]) -> list[int]:
+    """Examples so that alike ones lie together: by label, then by their weightiest terms."""
+    lead = [tuple(t[np.argsort(-w, kind="stable")[:3]].tolist()) for _, _, t, w in told]
+    return sorted(range(len(told)), key=lambda i: (told[i][1], lead[i], told[i][0]))
+
+
+def examples(rows: DataFrame, idf: np.ndarray) -> tuple[Postings, np.ndarray, np.ndarray]:
+    """Postings, doc_ids and labels of the rows (doc_id, text, toxic), which their number must bound."""
+    idf_ = rows.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches):
-        count = Terms(names)
+        count = Terms()
         for batch in batches:
-            found = [count(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("doc_id", "toxic", "fold", "draw")] + [pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))], names=["doc_id", "toxic", "fold", "draw", "terms", "counts"])
+            for part in chunks(batch, "text"):
+                row, term, w = vectors(count(part.column("text").to_pylist()), idf_.value, part.num_rows)
+                cut = pa.array(np.searchsorted(row, np.arange(part.num_rows + 1)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.ListArray.from_arrays(cut, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(cut, pa.array(w))], names=["doc_id", "toxic", "terms", "weights"])
 
-    vectors = map_arrow(rows.select("doc_id", "text", "toxic", "fold", "draw"), run, "doc_id long, toxic int, fold int, draw long, terms array<int>, counts array<int>")
-    told = stored(vectors)
+    t = map_arrow(rows.select("doc_id", "toxic", "text"), run, "doc_id long, toxic int, terms array<int>, weights array<double>").toArrow()
+    told = [(i, y, np.asarray(a.values), np.asarray(b.values)) for i, y, a, b in zip(t["doc_id"].to_pylist(), t["toxic"].to_pylist(), t["terms"], t["weights"], strict=True) if len(a.values)]
+    told = [told[i] for i in _order(told)]
+    at = np.repeat(np.arange(len(told)), [len(r[2]) for r in told])
+    none = [np.zeros(0)]
+    term, weight = np.concatenate(none + [r[2] for r in told]).astype(np.int64), np.concatenate(none + [r[3] for r in told])
+    return Postings(at, term, weight, len(told)), np.array([r[0] for r in told], np.int64), np.array([r[1] for r in told], float)
+
+
+def build(docs: DataFrame, labels: DataFrame) -> Index:
+    """Fits the index and its curve."""
+    rows = stored(labelled(docs, labels))
 
-    def take(where: str, most: int) -> list[tuple]:
-        """doc_id, toxic, terms and counts of the first rows."""
-        t = told.where(where).orderBy("draw", "doc_id").limit(most).select("doc_id", "toxic", "terms", "counts").toArrow()
-        return [(i, y, a.values.to_numpy(), c.values.to_numpy()) for i, y, a, c in zip(t["doc_id"].to_pylist(), t["toxic"].to_pylist(), t["terms"], t["counts"], strict=True)]
+    def take(where: str, most: int) -> DataFrame:
+        each = [rows.where(f"toxic = {v} and {where}").orderBy("draw", "doc_id", "text").limit(most) for v in (0, 1)]
+        return each[0].unionByName(each[1])
 
-    own = [r for v in (0, 1) for r in take(f"toxic = {v} and fold <> 3 and size(terms) > 0", EXAMPLES)]
+    counts = {(r["toxic"], r["own"]): r["n"] for r in rows.groupBy("toxic", (F.col("fold") != 3).alias("own")).agg(F.count("*").alias("n")).collect()}
     rates = {r["toxic"]: r["n"] for r in labels.where("toxic is not null").where(~held_out()).groupBy(F.col("toxic").cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     prior = rates.get(1, 0) / max(sum(rates.values()), 1)
-    index = Index(names, idf, [], np.zeros(0), np.zeros(0, np.int64), np.zeros(0), prior)
-    if not own:
-        index.curve = ([0.0, 1.0], [prior, prior])
+    if not (counts.get((0, True)) or counts.get((1, True))) or len({k[0] for k in counts}) < 2:
+        return Index(np.zeros(BUCKETS), Postings(*[np.zeros(0, np.int64)] * 2, np.zeros(0), 0), np.zeros(0, np.int64), np.zeros(0), prior, ([0.0, 1.0], [prior, prior]))
+    idf = idf_of(*document_frequencies(docs))
+    index = Index(idf, *examples(take("fold <> 3", EXAMPLES), idf), prior)
+    if not all(counts.get((v, False)) for v in (0, 1)):
         return index
-    # Like examples lie together, so that a block's largest weights are close to its members'.
-    vectors_ = [index.vector(r[2], r[3]) for r in own]
-    order = sorted(range(len(own)), key=lambda i: (own[i][1], int(vectors_[i][0][np.argmax(vectors_[i][1])]) if len(vectors_[i][0]) else -1, own[i][0]))
-    lengths = [len(vectors_[i][0]) for i in order]
-    index.weight = Postings(np.concatenate([vectors_[i][0] for i in order]), np.repeat(np.arange(len(order)), lengths), np.concatenate([vectors_[i][1] for i in order]), len(names), len(order))
-    index.top = index.weight.top
-    index.ids = np.array([own[i][0] for i in order], np.int64)
-    index.toxic = np.array([own[i][1] for i in order], float)
-    fit = [r for v in (0, 1) for r in take(f"toxic = {v} and fold = 3", CURVE_ROWS)]
-    if len({r[1] for r in fit}) == 2:
-        vote = np.array([index.votes(*index.nearest(*index.vector(r[2], r[3]))) for r in fit])
-        mark = np.array([r[1] for r in fit], float)
-        if mark.mean() > 0 and prior > 0:
-            # Both classes are cut at the same number of rows; clean rows count as often as they stand for.
-            stand = np.where(mark == 1, 1.0, max(1.0, (1 - prior) / prior * mark.sum() / (1 - mark).sum()))
-            times = np.maximum(1, np.round(stand)).astype(int)
-            vote, mark = np.repeat(vote, times), np.repeat(mark, times)
-        index.curve = monotone(vote, mark)
-    return index
+    index_ = docs.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches):
+        index, count = index_.value, Terms()
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                place, cosine, _ = index.nearest(count, part.column("text").to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array(index.votes(place, cosine)), part.column("toxic")], names=["vote", "toxic"])
+
+    told = map_arrow(take("fold = 3", CURVE_ROWS).select("text", "toxic"), run, "vote double, toxic int").toArrow()
+    vote, mark = told.column("vote").to_numpy(), told.column("toxic").to_numpy().astype(float)
+    if mark.mean() > 0 and prior > 0:
+        # Both classes are cut at the same number of rows; clean rows count as often as they stand for.
+        stand = np.where(mark == 1, 1.0, max(1.0, (1 - prior) / prior * mark.sum() / (1 - mark).sum()))
+        times = np.maximum(1, np.round(stand)).astype(int)
+        vote, mark = np.repeat(vote, times), np.repeat(mark, times)
+    order = np.lexsort((mark, vote))
+    return replace(index, curve=monotone(vote[order], mark[order]))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted, neighbours (doc_ids of labelled examples, nearest first) and their toxic marks."""
-    index = build(docs, labels)
-    index_ = docs.sparkSession.sparkContext.broadcast(index)
+    index_ = docs.sparkSession.sparkContext.broadcast(build(docs, labels))
 
     def run(batches):
-        index = index_.value
-        count = Terms(index.names)
+        index, count = index_.value, Terms()
         for batch in batches:
             for part in chunks(batch, "text"):
-                scores, near, marks = [], [], []
-                for text in part.column("text").to_pylist():
-                    place, cosine = index.nearest(*index.of(count(text or "")))
-                    scores.append(index.score(index.votes(place, cosine)))
-                    near.append(index.ids[place].tolist())
-                    marks.append(index.toxic[place].astype(int).tolist())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()), pa.array(near, pa.list_(pa.int64())), pa.array(marks, pa.list_(pa.int32()))], names=["doc_id", "held_out", "score", "predicted", "neighbours", "neighbours_toxic"])
+                place, cosine, _ = index.nearest(count, part.column("text").to_pylist())
+                scores = np.interp(index.votes(place, cosine), *index.curve)
+                cut = pa.array(np.append(0, np.cumsum((place >= 0).sum(axis=1))).astype(np.int32))
+                some = place[place >= 0]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("held_out"), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32)), pa.ListArray.from_arrays(cut, pa.array(index.ids[some])), pa.ListArray.from_arrays(cut, pa.array(index.toxic[some].astype(np.int32)))],
+                    names=["doc_id", "held_out", "score", "predicted", "neighbours", "neighbours_toxic"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).select("doc_id", held_out().alias("held_out"), "text")
     return map_arrow(rows, run, "doc_id long, held_out boolean, score double, predicted int, neighbours array<long>, neighbours_toxic array<int>")

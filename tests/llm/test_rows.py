@@ -1,6 +1,8 @@
 """Row operators: sharding, mixing, packing, quality, page text and toxicity."""
 
+import math
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -291,7 +293,7 @@ def test_toxicity_finds_held_out_rows(spark):
 def test_copies_of_examples_without_telling_terms_are_found(spark):
     rng = random.Random(12)
     # No term is in three texts, so none tells the label by its count.
-    rows = [(i, " ".join(f"{chr(97 + k)}q{i}z{rng.randrange(9)}" for k in range(12))) for i in range(48)]
+    rows = [(i, " ".join(f"{chr(97 + k)}{i:02d}{rng.randrange(9)}" for k in range(12))) for i in range(48)]
     labels = [(i, 1, int(i % 3 == 0)) for i in range(48)]
     known = [i for i in range(48) if zlib.crc32(str(i).encode()) % 4 in (0, 1)]
     docs = frame(spark, rows + [(1000 + i, rows[i][1]) for i in known])
@@ -299,23 +301,73 @@ def test_copies_of_examples_without_telling_terms_are_found(spark):
     assert len(known) > 10 and all(got[1000 + i]["neighbours"][:1] == [i] and got[1000 + i]["neighbours_toxic"][:1] == [int(i % 3 == 0)] for i in known)
 
 
-def test_block_bounds_leave_neighbours_exact():
+def _plain_scores(rows, labels):
+    """Scores by the definition: vectors over all terms of a text, all cosines, votes, the curve."""
+    fold = lambda i: zlib.crc32(str(i).encode()) % 4
+    count = lambda t: Counter(zlib.crc32(w[:4].encode()) % toxicity.BUCKETS for w in re.findall(r"\w+", (t or "").lower()))
+    df = Counter(t for _, text in rows for t in count(text))
+    idf = lambda t: math.log((len(rows) + 1) / (df[t] + 1)) + 1e-6
+
+    def vector(text):
+        v = {t: n**toxicity.COUNT_POWER * idf(t) ** toxicity.IDF_POWER for t, n in count(text).items()}
+        norm = math.sqrt(sum(x * x for x in v.values())) or 1
+        return {t: x / norm for t, x in v.items()}
+
+    mark = dict(labels)
+    own = [(i, vector(t)) for i, t in rows if i in mark and fold(i) in (0, 1) and t is not None]
+    prior = sum(y for i, y in labels if fold(i) != 2) / sum(fold(i) != 2 for i, _ in labels)
+
+    def vote(text):
+        v = vector(text)
+        near = sorted(((sum(x * e.get(t, 0) for t, x in v.items()), i) for i, e in own), reverse=True)
+        near = [(c, i) for c, i in near if c > 0][: toxicity.NEIGHBOURS]
+        weight = [1 / (0.05 + 1 - min(c, 1)) for c, _ in near]
+        return (sum(w * mark[i] for w, (_, i) in zip(weight, near, strict=True)) + prior) / (sum(weight) + 1)
+
+    fit = sorted((vote(t), mark[i]) for i, t in rows if i in mark and fold(i) == 3 and t is not None)
+    toxic = sum(y for _, y in fit)
+    times = [1 if y else max(1, round((1 - prior) / prior * toxic / (len(fit) - toxic))) for _, y in fit]
+    curve = toxicity.monotone(np.repeat([v for v, _ in fit], times), np.repeat([float(y) for _, y in fit], times))
+    return {i: (float(np.interp(vote(t), *curve)), vote(t)) for i, t in rows}
+
+
+def test_scores_match_the_plain_version(spark):
+    rng = random.Random(15)
+    rows, labels = [], []
+    for i in range(260):
+        w = prose(rng, rng.randrange(5, 60), 300) + [f"{rng.choice('abcd')}{rng.random()}x" for _ in range(rng.randrange(6))]
+        if i % 4 == 0:
+            w += rng.choices(["nasty", "Nastily", "vile,", "VILEST"], k=rng.randrange(1, 5))
+        rng.shuffle(w)
+        rows.append((i, " ".join(w)))
+        if i < 220:
+            labels.append((i, int(i % 4 == 0 or rng.random() < 0.05)))
+    rows += [(300, ""), (301, None), (302, "?!"), (303, "unknown zzyzx only")]
+    want = _plain_scores(rows, labels)
+    got = toxicity.score(frame(spark, rows), spark.createDataFrame([(i, 1, y) for i, y in labels], LABELS)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]][0], abs=1e-6), r["doc_id"]
+
+
+@pytest.mark.parametrize("examples", [0, 5, 31, 300])
+def test_block_bounds_leave_neighbours_exact(examples):
     rng = np.random.default_rng(4)
-    dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.15)
-    dense[dense.sum(axis=1) == 0, 0] = 1
-    dense /= np.linalg.norm(dense, axis=1)[:, None]
-    weight = [np.pad(dense[i : i + toxicity.BLOCK].T, ((0, 0), (0, max(0, toxicity.BLOCK - len(dense[i : i + toxicity.BLOCK]))))) for i in range(0, 300, toxicity.BLOCK)]
-    index = toxicity.Index([], np.ones(40), weight, np.stack([w.max(axis=1) for w in weight], axis=1), np.arange(300), np.zeros(320), 0.1)
-    for _ in range(50):
-        q = rng.random(40) * (rng.random(40) < 0.2)
-        if not q.any():
-            continue
-        q /= np.linalg.norm(q)
-        at = np.flatnonzero(q)
-        place, cosine = index.nearest(at, q[at])
-        all_ = dense @ q
-        order = [i for i in np.lexsort((np.arange(300), -np.round(all_, 12))) if all_[i] > 0][: toxicity.NEIGHBOURS]
-        assert place.tolist() == order and np.allclose(cosine, all_[order])
+    dense = rng.random((examples, 60)) * (rng.random((examples, 60)) < np.where(np.arange(60) < 20, 0.6, 0.05))
+    dense[2:4] = dense[:2]
+    dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-9)[:, None]
+    at, term = np.nonzero(dense)
+    index = toxicity.Postings(at, term * 3, dense[at, term], examples)
+    queries = rng.random((40, 60)) * (rng.random((40, 60)) < 0.2)
+    queries[0] = 0
+    row, term = np.nonzero(queries)
+    term, weight = np.append(term * 3, 500), np.append(queries[row, term], 9.0)
+    place, cosine, done = index.nearest(np.append(row, 39), term, weight, 40, toxicity.NEIGHBOURS)
+    assert done <= 40 * index.blocks
+    for q in range(40):
+        every = dense @ queries[q]
+        order = [i for i in np.lexsort((np.arange(examples), -np.round(every, 12))) if every[i] > 0][: toxicity.NEIGHBOURS]
+        assert place[q][place[q] >= 0].tolist() == order and np.allclose(cosine[q][: len(order)], every[order])
 
 
 def test_curve_rises():
