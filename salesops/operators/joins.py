@@ -74,12 +74,14 @@ def left_join_split(left: DataFrame, right: DataFrame, left_key: Column, right_k
     Columns of the two sides must differ.
     """
     key = "__ls_key"
-    dealt = right.withColumn(key, right_key).where(F.col(key).isNotNull())
-    dealt = dealt.withColumn("__ls_part", F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int")).repartition(key, "__ls_part")
+    part = F.pmod(F.xxhash64(*right.columns), F.lit(parts)).cast("int")
+    # both filters are stated, as the join would add its own below one of the two uses of the exchange
+    dealt = right.withColumn(key, right_key).withColumn("__ls_part", part).where(F.col(key).isNotNull() & F.col("__ls_part").isNotNull())
+    dealt = dealt.repartition(key, "__ls_part")
     keyed = left.withColumn("__ls_left", left_key)
     spread = keyed.withColumn("__ls_of", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     met = spread.join(dealt, (F.col("__ls_left") == F.col(key)) & (F.col("__ls_of") == F.col("__ls_part")))
-    keys = dealt.groupBy(key).agg(F.max(F.xxhash64(*right.columns, "__ls_part"))).select(key)
+    keys = dealt.groupBy(key).agg(F.max(F.xxhash64(*right.columns, "__ls_part")).alias("__ls_any")).where("__ls_any is not null").select(key)
     alone = keyed.join(keys, F.col("__ls_left") == F.col(key), "left_anti")
     none = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields]
     return met.select(*left.columns, *right.columns).unionByName(alone.select(*left.columns, *none))
@@ -90,14 +92,15 @@ def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Se
 
     A disjunctive condition has no equi-join key and plans as a nested-loop
     join.  Instead the work is done once on the distinct key tuples of
-    ``rows``.  The targets form one directory, a union with a struct column per
-    target; the tuples' distinct non-NULL keys meet it in one equi-join.  The
-    matches of a tuple are gathered per target and spread again with
-    ``explode_outer``: a tuple without a match carries one NULL, one with several
-    has a row for each combination, exactly as the chained OR joins do (what
-    is gathered is less than what these joins return for the tuple).  The tuples are joined
-    back to ``rows`` once (NULL-safe), so ``rows`` is computed twice however
-    many targets there are.
+    ``rows``: for each target the tuple's distinct non-NULL keys are matched in
+    one equi-join, and the matches are left-joined back to the tuples, so a
+    tuple without a match carries one NULL row and one with several has a row
+    for each combination, exactly as the chained OR joins do.  Nothing is
+    gathered in lists.  The tuples are joined back to ``rows`` once (NULL-safe).
+
+    All targets ask from the same shuffled tuples (an outer explode: a plain one
+    would push a filter of its own below the shuffle and so compute ``rows`` anew
+    for each target); ``rows`` is computed twice however many targets there are.
 
     ``targets``: ``(df, key_column, columns, prefix)``; target columns come
     out as ``{prefix}{column}``; ``key_cols`` of ``rows`` may be NULL.
@@ -105,17 +108,14 @@ def disjunctive_left_joins(rows: DataFrame, key_cols: Sequence[str], targets: Se
     keys = list(key_cols)
     tup = [f"__dj{i}" for i in range(len(keys))]
     tuples = rows.select(*[F.col(k).alias(t) for k, t in zip(keys, tup)]).distinct()
-    directory = None
-    for i, (tdf, tkey, tcols, _) in enumerate(targets):
-        own = tdf.select(F.col(tkey).alias("__dj_t"), F.struct(*tcols).alias(f"__dj_m{i}"))
-        directory = own if directory is None else directory.unionByName(own, allowMissingColumns=True)
-    asked = tuples.select(*tup, F.explode_outer(F.array_distinct(F.array(*tup))).alias("__dj_k"))
-    found = asked.join(directory, F.col("__dj_k") == F.col("__dj_t"), "left")
-    lists = [F.collect_list(f"__dj_m{i}").alias(f"__dj_m{i}") for i in range(len(targets))]
-    out = found.groupBy(*tup).agg(*lists)
-    for i, (_, _, tcols, prefix) in enumerate(targets):
-        out = out.withColumn(f"__dj_m{i}", F.explode_outer(f"__dj_m{i}"))
-        out = out.withColumns({prefix + c: F.col(f"__dj_m{i}")[c] for c in tcols}).drop(f"__dj_m{i}")
+    out = tuples
+    for i, (tdf, tkey, tcols, prefix) in enumerate(targets):
+        own = [f"__dj{i}_{k}" for k in range(len(keys))]
+        asked = tuples.select(*[F.col(t).alias(o) for t, o in zip(tup, own)],
+                              F.explode_outer(F.array_distinct(F.array(*tup))).alias("__dj_k")).where(F.col("__dj_k").isNotNull())
+        target = tdf.select(F.col(tkey).alias("__dj_t"), *[F.col(c).alias(prefix + c) for c in tcols])
+        found = asked.join(target, F.col("__dj_k") == F.col("__dj_t")).drop("__dj_k", "__dj_t")
+        out = out.join(found, [F.col(t).eqNullSafe(F.col(o)) for t, o in zip(tup, own)], "left").drop(*own)
     cond = [F.col(k).eqNullSafe(out[t]) for k, t in zip(keys, tup)]
     return rows.join(out, cond, "left").drop(*tup)
 

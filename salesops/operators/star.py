@@ -21,8 +21,9 @@ A row whose value condition fails only adds 0 to ``all_v``.  So each child is
 read within the date span that holds its filter and its condition (pushed to
 the scan).  Whether it has any other row matters only for keys whose maximum
 inside is negative or NULL and of which the span shows no other row; that is asked
-of the two columns key and date, for these keys alone: their lowest and highest
-bound the scan, a semi join picks them, and without any nothing is read.
+of the two columns key and date, for these keys alone: rows beyond their lowest
+and highest are dropped at the scan, a semi join picks the keys, and adaptive
+execution leaves the look out where no key needs it.
 """
 
 from __future__ import annotations

@@ -110,3 +110,83 @@ def test_funnel_scan_counts(spark, stored):
     for table, want in (("lead", 1), ("opportunity", 1), ("sales_order", 1), ("customer", 2)):
         scans = re.findall(rf"FileScan parquet [^\n]*/{table}\.parquet", plan)
         assert len(scans) == want, (table, len(scans))
+
+
+def _executed_plan(df) -> str:
+    """The plan as it ran, with reused exchanges."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def _scans(plan: str, table: str) -> list[str]:
+    return re.findall(rf"FileScan parquet [^\n]*/{table}\.parquet", plan)
+
+
+def _rows_read(df, table: str) -> list[int]:
+    """Rows each scan of a table gave, from the executed plan's metrics."""
+    df.collect()
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif "QueryStageExec" in name:
+            todo.append(node.plan())
+        elif name == "FileSourceScanExec" and f"/{table}." in node.toString():
+            found.append(int(node.metrics().apply("numOutputRows").value()))
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return found
+
+
+def test_or_join_scan_counts(spark, stored, long_plans):
+    """Todos: the key tuples, the rows, and in the report the open counts."""
+    plan = _executed_plan(R.report_appointment(stored, None, TODO_CONFIG))
+    assert len(_scans(plan, "todo")) <= 3 and len(_scans(plan, "event_participants")) <= 2
+    plan = _executed_plan(R.todo_rows(stored, TODO_CONFIG.as_of))
+    assert len(_scans(plan, "todo")) <= 2 and len(_scans(plan, "event_participants")) <= 2
+
+
+def test_not_in_reads_its_input_once(spark, stored, long_plans):
+    from salesops.operators.aggregates import excluded_parties
+    from salesops.operators.joins import not_in_subquery
+    si = stored["sales_invoice"].select("customer", "name")
+    out = not_in_subquery(si, "customer", excluded_parties(stored["party_account"], CONFIG.excluded_accounts), "customer_code")
+    assert _rows_read(out, "sales_invoice") == [stored["sales_invoice"].count()]
+    assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_periods_of_today_reach_the_scan(spark, stored, long_plans):
+    """Without a report date the current date is folded into the period's bounds."""
+    from salesops.config import Config
+    from salesops.functions.dates import same_period
+    assert Config().as_of is None
+    for unit in ("week", "month", "quarter"):
+        plan = stored["daily_achievement"].where(same_period("date", Config().as_of, unit))._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PushedFilters: \[[^\n]*GreaterThanOrEqual\(date,\d{4}-\d\d-\d\d\)[^\n]*LessThanOrEqual\(date,\d{4}", plan), plan
+
+
+def _star_files(spark, path, outside):
+    from salesops.operators.star import Child, child_stats
+    days = spark.range(2000).selectExpr("concat('bd', id % 50) bd", "date'2024-01-01' + cast(id % 400 as int) date", "cast(id % 90 as decimal(9,2)) v")
+    days.unionByName(spark.createDataFrame(outside, days.schema)).coalesce(1).write.mode("overwrite").parquet(f"{path}/days.parquet")
+    from pyspark.sql import functions as F
+    inside = F.col("date") == F.lit("2024-01-20").cast("date")
+    df = spark.read.parquet(f"{path}/days.parquet")
+    return child_stats(Child("d", df, inside, inside, {"v": F.col("v")}, inside))
+
+
+def test_star_looks_outside_for_needy_keys_only(spark, tmp_path, long_plans):
+    """Whether a key has another row is read only where its maximum inside is negative or NULL."""
+    import datetime as dt
+    from decimal import Decimal as D
+    none = _star_files(spark, tmp_path / "none", [])
+    # One key has the day, its maximum is not below 0: the look outside is dropped at run time.
+    assert _rows_read(none, "days") == [2000] and none.count() == 1
+    day = dt.date(2024, 1, 20)
+    some = _star_files(spark, tmp_path / "some", [("only", day, D("-3.00")), ("zz", day, D("-4.00")), ("zz", dt.date(2023, 1, 1), D("9.00")), ("zn", day, None)])
+    got = {r["bd"]: r["d_all_v"] for r in some.collect()}
+    assert got["only"] == -3 and got["zz"] == 0 and got["zn"] is None
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and plan.count("Subquery subquery") >= 2

@@ -41,6 +41,24 @@ def test_total_row_keeps_equal_rows(spark):
     assert got == sorted([("a", 1, 10.0, False), ("a", 1, 10.0, False), ("b", 2, None, False), ("Total", 4, 20 / 3, True)], key=str)
 
 
+@pytest.mark.parametrize("name", ["appointment", "dashboard", "funnel", "zero_order"])
+def test_total_row_keeps_the_order(spark, fixtures, name):
+    """With its total row a report has the same rows in the same order, and the total last."""
+    config = TODO_CONFIG if name == "appointment" else CONFIG
+    rows = R.report(name, fixtures, None, config, total=True).collect()
+    assert [r["is_total"] for r in rows] == [False] * (len(rows) - 1) + [True]
+    none_first = lambda v: (v is not None, v or "")
+    rank = {c: i for i, c in enumerate(DASHBOARD_CATEGORIES)}
+    key = {
+        "appointment": lambda r: (none_first(r["Team"]), none_first(r["BD"])),
+        "dashboard": lambda r: (*(none_first(r[c]) for c in ("custom_team", "zonal_head_sales_person", "bd_sales_person")), rank[r["Category"]]),
+        "funnel": lambda r: (none_first(r["Team"]), none_first(r["Team_Username"])),
+        "zero_order": lambda r: (r["days_since_last_onboarding"] is None, -(r["days_since_last_onboarding"] or 0)),
+    }[name]
+    keys = [key(r) for r in rows[:-1]]
+    assert keys == sorted(keys) and len(set(keys)) > 2
+
+
 def test_rows_come_in_report_order(spark, fixtures):
     none_first = lambda v: (v is not None, v or "")
     rows = R.report_appointment(fixtures, None, TODO_CONFIG).collect()

@@ -43,3 +43,59 @@ def skewed_dir(tmp_path_factory):
 def test_skewed_matches_oracle(spark, skewed_dir, name):
     res = compare(E.queries()[name](spark, skewed_dir), E.oracle_sql()[name], skewed_dir)
     assert res["schema_match"] and res["value_match"], res
+
+
+@pytest.fixture
+def many_partitions(spark):
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in held.items():
+        spark.conf.set(k, v)
+
+
+def _largest_share(df) -> float:
+    from pyspark.sql import functions as F
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_split_left_join_spreads_a_hot_key(spark, many_partitions):
+    """One owner holds a third of the right rows: the join's largest task has a small share of them; rows are those of a left join."""
+    from pyspark.sql import functions as F
+
+    from salesops.operators.joins import left_join_split
+    right = spark.range(9000).selectExpr("case when id % 3 = 0 then 'Hot' when id % 50 = 1 then null else concat('u', id % 400) end owner", "concat('t', id) todo")
+    left = spark.createDataFrame([("hot", 1), ("HOT", 2), ("u1", 3), ("u1", 3), ("nobody", 4), (None, 5)] + [(f"u{i}", 10 + i) for i in range(2, 300)], "bd string, n int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = left_join_split(left, right, F.lower("bd"), F.lower("owner"))
+        plain = left.join(right, F.lower("bd") == F.lower("owner"), "left")
+        assert _largest_share(got.where("todo is not null").select("todo")) < 0.12 < 0.3 < _largest_share(plain.where("todo is not null"))
+        want = sorted(map(tuple, plain.collect()), key=str)
+        assert sorted(map(tuple, got.collect()), key=str) == want
+        assert got._jdf.queryExecution().executedPlan().toString().count("ReusedExchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ranks_of_a_hot_key_are_spread(spark, many_partitions):
+    """One order holds a third of the invoices, some of a day and second: ranks are those of one window, no task ranks more than a few of them."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from salesops.operators.windows import row_number_split
+    df = spark.range(6000).selectExpr("case when id % 3 = 0 then 'hot' when id % 3 = 1 then null else concat('o', id % 500) end ord",
+                                      "case when id % 41 = 0 then null else date'2024-01-01' + cast(id % 7 as int) end d",
+                                      "case when id % 37 = 0 then null else concat('t', id % 60) end t", "concat('i', id) name")
+    rest = [F.col("name").desc_nulls_last()]
+    got = row_number_split(df, "ord", ["d", "t"], rest, hot_rows=100)
+    whole = Window.partitionBy("ord").orderBy(F.col("d").desc_nulls_last(), F.col("t").desc_nulls_last(), *rest)
+    want = {r["name"]: r["rn"] for r in df.withColumn("rn", F.row_number().over(whole)).collect()}
+    assert {r["name"]: r["rn"] for r in got.collect()} == want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _largest_share(got.where("ord = 'hot'")) < 0.15
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

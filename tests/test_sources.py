@@ -40,6 +40,8 @@ def test_jdbc_facts_are_sliced():
         hits = [con.sql(f"SELECT coalesce({p.replace('`creation`', value)}, false)").fetchall()[0][0] for p in slices]
         assert sum(hits) == 1
     assert jdbc_plan("gl_entry", {"gl_entry": ("idx", 0, 9, 3)}, None) == ("range", ("idx", 0, 9, 3))
-    assert jdbc_plan("address", {}, None) == ("whole", None)
+    assert jdbc_plan("sales_person", {}, None) == ("whole", None)
+    for grows in ("address", "customer_credit_limit", "party_account"):
+        assert jdbc_plan(grows, {}, span)[0] == "slices"
     with pytest.raises(ValueError):
         jdbc_plan("payment_entry", {}, None)
