@@ -21,9 +21,19 @@ more is judged by its words (one of comments like the latter names).  A page
 that has no other words is read without regard to names.
 
 Character references are decoded, white space inside a block becomes one space,
-blocks are trimmed and joined by one space.  Defined results: a null or empty
+blocks are trimmed and joined by one space.
+
+Pages are read once from left to right, in time linear in their length whatever
+is in them.  A quote opens a value only behind ``=``, and only if it is closed
+somewhere; a tag ends at the next ``>`` outside such a value.  A ``<`` that no
+letter, ``/``, ``!`` or ``?`` follows is text.  End tags look up their element by
+name; those of elements that are not open are passed over.
+
+Defined results: a null or empty
 html, and a page without words, give an empty text.  Unclosed elements end with the
 page; a page that ends in a tag or comment ends there.  Rows with null or repeated page_id are pages of their own.
+Extra columns are ignored; an empty table gives no rows.  All kinds of the sampled pages
+get weights, so their number is bounded by the elements of these pages.
 """
 
 from __future__ import annotations
@@ -31,6 +41,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,8 +50,10 @@ from pyspark.sql import functions as F
 from salesops.llm.tasks import map_arrow
 from salesops.llm.text import chunks
 
-#: Labelled pages that weights are counted on, and the most kinds that are kept.
-SAMPLE_PAGES, KEPT_KINDS = 2000, 5000
+#: Labelled pages that weights are counted on.
+SAMPLE_PAGES = 2000
+#: Longest name of a kind; longer ones are told apart by a hash.
+NAME = 60
 #: Bounds of learned weights: (lowest, highest) of words and of tags.
 WORD_RANGE, TAG_RANGE = (-4.0, 1.0), (-4.0, -0.05)
 #: Weights of kinds that no labelled page has.
@@ -60,18 +73,79 @@ COMMENTS = frozenset("comment comments reply replies respond".split())
 TELLING = frozenset("has have with no without is".split())
 IMPLIED_END = {"p": frozenset(("p",)), "li": frozenset(("li",)), "dt": frozenset(("dt", "dd")), "dd": frozenset(("dt", "dd")), "tr": frozenset(("tr", "td", "th")), "td": frozenset(("td", "th")), "th": frozenset(("td", "th")), "option": frozenset(("option",))}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|textarea|title|noscript|iframe|template|noembed|noframes|xmp)\b(?P<ra>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<at>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+RAW = frozenset("script style textarea title noscript iframe template noembed noframes xmp".split())
+
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)(\s*=\s*)?")
+_BARE = re.compile(r"[^\s>]*")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 _PART = re.compile(r"[a-z]+")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 
 
-def _attributes(raw: str) -> dict[str, str]:
-    """Values by lower-case attribute name, the first of each name."""
-    out: dict[str, str] = {}
-    for m in _ATTRIBUTE.finditer(raw):
-        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
-    return out
+class _Scanner:
+    """Tags of a page from left to right."""
+
+    def __init__(self, page: str):
+        self.page, self.size = page, len(page)
+        #: Quotes that are not closed behind the place reached.
+        self.open_ended: set[str] = set()
+
+    def _quoted(self, quote: str, at: int) -> int:
+        """Place of the closing quote, or -1."""
+        if quote in self.open_ended:
+            return -1
+        end = self.page.find(quote, at)
+        if end < 0:
+            self.open_ended.add(quote)
+        return end
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int, bool]:
+        """Values by lower-case attribute name (the first of each name), the place behind the tag, and whether it closes itself."""
+        page, out = self.page, {}
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            name, at = m[1], m.end()
+            if name or m[2]:
+                value = ""
+                if m[2]:
+                    quote = page[at : at + 1]
+                    end = self._quoted(quote, at + 1) if quote in ('"', "'") and quote else -1
+                    if end >= 0:
+                        value, at = page[at + 1 : end], end + 1
+                    else:
+                        bare = _BARE.match(page, at)
+                        value, at = bare[0], bare.end()
+                out.setdefault(name.lower(), value)
+            elif at >= self.size:
+                return out, self.size, False
+            else:  # only ">" ends here
+                return out, at + 1, page[at - 1] == "/"
+
+    def tags(self):
+        """(start, end, end tag, name, attributes, closes itself) of tags; comments and the like have no name.  Of a raw element start and end take in its text and end tag."""
+        page, at = self.page, 0
+        while (start := page.find("<", at)) >= 0:
+            after = page[start + 1 : start + 2]
+            closes = after == "/"
+            m = _NAME.match(page, start + 1 + closes)
+            if m:
+                name = m[0].lower()
+                values, at, alone = self.attributes(m.end())
+                if name in RAW and not closes:
+                    found = _RAW_END[name].search(page, at)
+                    at = self.attributes(found.end())[1] if found else self.size
+                yield start, at, closes, name, values, alone
+            elif page.startswith("<!--", start):
+                end = page.find("-->", start + 4)
+                at = end + 3 if end >= 0 else self.size
+                yield start, at, False, "", {}, False
+            elif after and after in "/!?":
+                end = page.find(">", start)
+                at = end + 1 if end >= 0 else self.size
+                yield start, at, False, "", {}, False
+            else:
+                at = start + 1
 
 
 def _hidden(attributes: dict[str, str]) -> bool:
@@ -89,6 +163,10 @@ def _furniture(attributes: dict[str, str], names: frozenset[str] = DROPPED_NAMES
     return level
 
 
+def _short(name: str) -> str:
+    return name if len(name) <= NAME else f"{name[:NAME // 2]}#{zlib.crc32(name.encode('utf-8', 'surrogatepass')):08x}"
+
+
 def tokens(page: str, by_name: bool = True) -> list[tuple[str, str, bool, bool, str]]:
     """Tags and texts in page order: (kind, text, dropped, breaks a block, content element opened or closed).
 
@@ -96,6 +174,8 @@ def tokens(page: str, by_name: bool = True) -> list[tuple[str, str, bool, bool,
     element that holds it, past inline ones, with its class.  Tags have an empty text."""
     out: list[tuple[str, str, bool, bool, str]] = []
     stack: list[tuple[str, str, bool, int]] = []  # element, kind of its words, left out by an element, place in out
+    opened: dict[str, list[int]] = {}  # places in the stack by element
+    blocks: list[int] = []  # places in the stack of elements that are not inline
     told: dict[int, int] = {}  # place -> what is known of the element opened there: the constants below
     ends: dict[int, int] = {}
     at = 0
@@ -110,44 +190,37 @@ def tokens(page: str, by_name: bool = True) -> list[tuple[str, str, bool, bool,
     def close(k: int) -> None:
         while len(stack) > k:
             name, _, dropped, place = stack.pop()
+            opened[name].pop()
+            if name not in INLINE:
+                blocks.pop()
             ends[place] = len(out)
             out.append((f"</{name}", "", bool(dropped), name not in INLINE, f"/{name}" if name in CONTENT else ""))
 
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        if m["raw"]:
-            out.append((f"<{m['raw'].lower()}", "", True, True, ""))
-            continue
-        if not m["tag"]:
+    for start, end, closes, name, attributes, alone in _Scanner(page).tags():
+        text(page[at:start])
+        at = end
+        if not name:
             continue
-        name = m["tag"].lower()
-        if m["end"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+        if closes:
+            if opened.get(name):
+                k = opened[name][-1]
+                # An inline element is not closed from inside a block.
+                if name not in INLINE or not blocks or blocks[-1] < k:
                     close(k)
-                    break
-                if stack[k][0] not in INLINE and name in INLINE:
-                    break
-            else:
-                if name not in INLINE:
-                    out.append((f"</{name}", "", False, True, ""))
+            elif name not in INLINE:
+                out.append((f"</{name}", "", False, True, ""))
+            continue
+        if name in RAW:
+            out.append((f"<{name}", "", True, True, ""))
             continue
         if name in VOID:
             out.append((f"<{name}", "", False, name not in INLINE, ""))
             continue
-        if name not in INLINE:
-            # A block ends an open paragraph; some elements end their like.
-            implied = IMPLIED_END.get(name, frozenset()) | {"p"}
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in implied:
-                    close(k)
-                    break
-                if stack[k][0] not in INLINE:
-                    break
+        # A block ends an open paragraph; some elements end their like.
+        if name not in INLINE and blocks and (stack[blocks[-1]][0] == "p" or stack[blocks[-1]][0] in IMPLIED_END.get(name, ())):
+            close(blocks[-1])
         above = stack[-1] if stack else ("", "body", False, 0)
         dropped = above[2] or name in DROPPED
-        attributes = _attributes(m["at"]) if m["at"] else {}
         if name in CONTENT:
             told[len(out)] = (COMMENT if _furniture(attributes, COMMENTS) else OWN) if by_name else OWN
         elif attributes and name not in ("html", "body"):
@@ -157,8 +230,11 @@ def tokens(page: str, by_name: bool = True) -> list[tuple[str, str, bool, bool,
             elif level:
                 told[len(out)] = COMMENT if level == 2 and _furniture(attributes, COMMENTS) == 2 else WHOLE if level == 2 else PART
         named = [v for k, v in attributes.items() if k in ("class", "id", "role")] if name not in INLINE else []
-        kind = above[1] if name in INLINE else f"{name}.{named[0].lower()}"[:60] if named else name
-        if not m["at"].rstrip().endswith("/") or name in ("p", "div", "article", "main", "section", "span", "a"):
+        kind = above[1] if name in INLINE else _short(f"{name}.{named[0].lower()}") if named else name
+        if not alone or name in ("p", "div", "article", "main", "section", "span", "a"):
+            opened.setdefault(name, []).append(len(stack))
+            if name not in INLINE:
+                blocks.append(len(stack))
             stack.append((name, kind, dropped, len(out)))
         out.append((f"<{name}", "", dropped, name not in INLINE, name if name in CONTENT else ""))
     text(page[at:])
@@ -233,7 +309,7 @@ def learn(pages: DataFrame, sample: int = SAMPLE_PAGES) -> dict[str, float]:
     drawn = own.where(F.col("draw") <= last).select("html")
     counted = map_arrow(drawn, run, "kind string, inside long, outside long").groupBy("kind").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside"))
     weights = {}
-    for r in counted.orderBy(F.desc(F.col("inside") + F.col("outside")), "kind").limit(KEPT_KINDS).collect():
+    for r in counted.collect():
         low, high = WORD_RANGE if r["kind"][0] == "w" else TAG_RANGE
         weights[r["kind"]] = min(high, max(low, math.log((r["inside"] + 0.5) / (r["outside"] + 0.5))))
     return weights
