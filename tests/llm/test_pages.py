@@ -19,7 +19,7 @@ TEXT = "Words of the article go on for a while here and end now."
     (f"<p>{TEXT}</p><!-- open", TEXT),
     (f"<p>a < b and <3 c, {TEXT}</p>", f"a < b and <3 c, {TEXT}"),
     (f"<script>if (a</b) x = '<p>no</p>'</SCRIPT ><p>{TEXT}</p><style>p{{}}", TEXT),
-    (f"<p>{TEXT}</nope></p></b></div><p>More</p>", f"{TEXT} More"),
+    (f"<p>{TEXT}</nope></p></b></div><p>More of it here.</p>", f"{TEXT} More of it here."),
     (f"<b><p>{TEXT}</b> goes on</p>", f"{TEXT} goes on"),
     (f"<p/><div/>{TEXT}<br/>End", f"{TEXT} End"),
     ("<", "<"), ("", ""), ("</", "</"), ("<p", ""), ("<>x", "<>x"),
