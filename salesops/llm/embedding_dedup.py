@@ -7,17 +7,22 @@ of cosine 0.98 lie 0.2 apart; with a step of 1.6 one projection agrees with
 probability 0.90, all eight of a table with 0.43, and 20 tables miss the pair
 with probability 0.00001.
 
-Equal vectors of a label go on as one, with their number.  Buckets over
-``block`` vectors are cut into blocks and every pair of blocks is one unit of work,
-a matrix product; so no task holds an unbounded bucket.  A pair counts in the
-first table that brings it together only, so links are summed without listing pairs:
-a unit emits one row per linked vector, its number of links and the smallest
-vector it is joined with.
+Equal vectors of a label go on as one, with their number.  Buckets travel narrow,
+as (bucket, row, sketch): a sketch holds the vector's coordinates along ``AXES``
+orthonormal directions, a byte each.  Linked vectors are within 0.2 of each other,
+so also along these directions; that leaves few of the pairs that a bucket
+brings together by chance, and only rows with such a pair are joined with their
+vectors.  Buckets over ``block`` rows are cut into blocks and every pair of blocks
+is one unit of work, in both steps; so no task holds an unbounded bucket.  Cosines are
+matrix products.  A pair counts in the first table that brings it
+together only, so links are summed without listing pairs: a unit emits one row per linked
+vector, its number of links and the smallest row it is joined with.
 
 Defined results: null vectors, zero vectors, vectors with null or non-finite
 components and vectors with a null label or vec_id link with nothing and are
 their own component.  Vectors of different lengths never link.  Rows repeating
-a vec_id are vectors of their own; their results share the id.
+a vec_id are vectors of their own, each with its own links; a component is named by
+the smallest vec_id in it.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,11 +34,14 @@ from pyspark.sql import functions as F
 
 from salesops.llm.graph import components, stored
 from salesops.llm.tasks import map_arrow
+from salesops.llm.text import mix
 
 THRESHOLD = 0.98
 TABLES, PROJECTIONS, WIDTH = 20, 8, 1.6
 BLOCK = 512
 SEED = 20
+#: Directions of a sketch, a byte each; steps of a sketch within a unit length.
+AXES, STEPS = 8, 100
 
 
 def usable(vector: str = "embedding"):
@@ -58,8 +66,28 @@ def _buckets(x: np.ndarray) -> np.ndarray:
         return mixed ^ (mixed >> 29)
 
 
+def _axes(length: int) -> np.ndarray:
+    """Up to ``AXES`` orthonormal directions, as columns."""
+    rng = np.random.default_rng([SEED + 1, length])
+    return np.linalg.qr(rng.standard_normal((length, min(AXES, length))))[0]
+
+
+def _sketches(x: np.ndarray) -> np.ndarray:
+    """Coordinates of normalised vectors along the axes in whole steps, packed into a long."""
+    at = np.zeros((len(x), 8), np.int8)
+    steps = np.rint(x @ _axes(x.shape[1]) * STEPS)
+    at[:, : steps.shape[1]] = steps
+    return at.view(np.int64).ravel()
+
+
+def _reach(threshold: float) -> float:
+    """Greatest distance of the sketches of two vectors at the threshold, in steps: their own, and half a step of rounding at either end of each axis."""
+    return float(np.sqrt(max(2 - 2 * threshold, 0.0)) * STEPS + np.sqrt(AXES) + 1e-6)
+
+
 def hashed(distinct: DataFrame) -> DataFrame:
-    """Adds the bucket of each table; distinct: rep, label, n, embedding."""
+    """Adds the buckets (one key per table, told apart by label, length and table) and the sketch; distinct: rep, label, n, embedding."""
+    kind = distinct.schema["embedding"].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
@@ -72,91 +100,130 @@ def hashed(distinct: DataFrame) -> DataFrame:
                 part, x = part.filter(pa.array(some)), x[some] / norm[some][:, None]
                 if not len(x):
                     continue
-                found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * TABLES + 1, TABLES, dtype=np.int32)), pa.array(_buckets(x).ravel()))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "label", "n", "embedding")), found], names=["rep", "label", "n", "embedding", "buckets"])
+                labels = part.column("label").to_numpy().astype(np.int64)
+                keys = mix((_buckets(x) + np.arange(TABLES) * 0x51ED27).view(np.uint64)) ^ mix((labels * 1_000_003 + size).view(np.uint64) + np.uint64(SEED))[:, None]
+                found = pa.ListArray.from_arrays(pa.array(np.arange(0, len(x) * TABLES + 1, TABLES, dtype=np.int32)), pa.array(keys.view(np.int64).ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("rep", "label", "n", "embedding")), found, pa.array(_sketches(x))], names=["rep", "label", "n", "embedding", "buckets", "sketch"])
 
-    return map_arrow(distinct, run, "rep long, label int, n long, embedding array<double>, buckets array<long>")
+    return map_arrow(distinct, run, f"rep long, label int, n long, embedding {kind}, buckets array<long>, sketch long")
 
 
-def _unit(table: int, rep: np.ndarray, n: np.ndarray, x: np.ndarray, buckets: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _linked(key: int, rep: np.ndarray, n: np.ndarray, label: np.ndarray, x: np.ndarray, buckets: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Vectors of one unit with new links: rep, number of links, smallest vector joined with."""
     norm = np.sqrt((x * x).sum(axis=1))
     linked = (x @ x.T) / (norm[:, None] * norm[None, :]) >= threshold
     np.fill_diagonal(linked, False)
+    linked &= label[:, None] == label[None, :]
     if side is not None:
         linked &= side[:, None] != side[None, :]
     if linked.any():
-        for t in range(table):
+        for t in range(int(np.flatnonzero(buckets[0] == key)[0])):
             linked &= buckets[:, t][:, None] != buckets[:, t][None, :]
     links = linked @ n
     some = links > 0
-    label, top = rep.copy(), np.iinfo(np.int64).max
+    low, top = rep.copy(), np.iinfo(np.int64).max
     while some.any():
-        low = np.minimum(label, np.where(linked, label[None, :], top).min(axis=1))
-        if (low == label).all():
+        least = np.minimum(low, np.where(linked, low[None, :], top).min(axis=1))
+        if (least == low).all():
             break
-        label = low
-    return rep[some], links[some], label[some]
+        low = least
+    return rep[some], links[some], low[some]
+
+
+UNIT = ["key", "i", "j"]
+
+
+def _units(batches, columns: list[str]):
+    """Key and rows of each unit of rows sorted by ``UNIT``; units of one row are left out."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in UNIT]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        cut = np.append(np.flatnonzero(new), batch.num_rows)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            this = tuple(int(c[a]) for c in cols)
+            if last is not None and this != last:
+                if sum(h.num_rows for h in held) > 1:
+                    yield last, pa.Table.from_batches(held).select(columns).combine_chunks()
+                held = []
+            last = this
+            held.append(batch.slice(a, b - a))
+    if held and sum(h.num_rows for h in held) > 1:
+        yield last, pa.Table.from_batches(held).select(columns).combine_chunks()
+
+
+def candidates(signed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """key, i, j, own, rep of rows that a bucket brings near another one, by unit of work."""
+    banded = signed.select(F.explode("buckets").alias("key"), "rep", "sketch")
+    sizes = signed.select(F.explode("buckets").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    placed = banded.join(sizes, "key").withColumn("cuts", F.ceil(F.col("size") / F.lit(block)).cast("int")).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("cuts")).cast("int"))
+    pair = F.when(F.col("cuts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
+        F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j"))))
+    units = placed.select("key", "own", "rep", "sketch", F.explode(pair).alias("pair")).select("key", "pair.i", "pair.j", "own", "rep", "sketch")
+    reach = _reach(threshold) ** 2
+
+    def run(batches):
+        out, rows = [], 0
+        for (key, i, j), t in _units(batches, ["own", "rep", "sketch"]):
+            x = t.column("sketch").to_numpy().reshape(-1, 1).view(np.int8).astype(np.float64)
+            own, rep = t.column("own").to_numpy(), t.column("rep").to_numpy()
+            square = (x * x).sum(axis=1)
+            near = square[:, None] + square[None, :] - 2 * (x @ x.T) <= reach
+            np.fill_diagonal(near, False)
+            if i != j:
+                near &= own[:, None] != own[None, :]
+            some = near.any(axis=1)
+            n = int(some.sum())
+            if n:
+                out.append((np.full(n, key), np.full(n, i, np.int32), np.full(n, j, np.int32), own[some].astype(np.int32), rep[some]))
+                rows += n
+            if rows > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[*UNIT, "own", "rep"])
+                out, rows = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=[*UNIT, "own", "rep"])
+
+    return map_arrow(units.repartition(*UNIT).sortWithinPartitions(*UNIT), run, "key long, i int, j int, own int, rep long")
 
 
 def links(signed: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """Rows (rep, links, low) of linked vectors, by unit of work."""
-    length = F.size("embedding")
-    banded = signed.select("rep", "label", "n", "embedding", "buckets", length.alias("len"), F.posexplode("buckets").alias("table", "bucket"))
-    key = ["label", "len", "table", "bucket"]
-    sizes = signed.select("label", length.alias("len"), F.posexplode("buckets").alias("table", "bucket")).groupBy(*key).agg(F.count("*").alias("size")).where("size > 1")
-    cuts = F.ceil(F.col("size") / F.lit(block)).cast("int")
-    placed = banded.join(sizes, key).withColumn("cuts", cuts).withColumn("own", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("cuts")).cast("int"))
-    pair = F.when(F.col("cuts") == 1, F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.col("cuts") - 1), lambda k: F.struct(F.least(F.col("own"), k).alias("i"), F.greatest(F.col("own"), k).alias("j"))))
-    unit = [*key, "i", "j"]
-    units = placed.withColumn("pair", F.explode(pair)).withColumn("i", F.col("pair.i")).withColumn("j", F.col("pair.j")).select(*unit, "own", "rep", "n", "embedding", "buckets")
+    near = stored(candidates(signed, threshold, block))
+    units = near.join(signed.drop("sketch"), "rep")
 
     def run(batches):
-        held, last = [], None
-
-        def flush():
-            rows = pa.Table.from_batches(held).combine_chunks()
+        for (key, i, j), rows in _units(batches, ["own", "rep", "n", "label", "embedding", "buckets"]):
             get = lambda c: rows.column(c).to_numpy()
-            own = get("own")
-            x = _matrix(rows.column("embedding").combine_chunks(), last[1])
-            found = _unit(last[2], get("rep"), get("n"), x, rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, TABLES), own if last[4] != last[5] else None, threshold)
-            return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["rep", "links", "low"])
+            vectors = rows.column("embedding").combine_chunks()
+            x = _matrix(vectors, len(vectors[0]))
+            found = _linked(key, get("rep"), get("n"), get("label"), x, rows.column("buckets").combine_chunks().flatten().to_numpy().reshape(-1, TABLES), get("own") if i != j else None, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(f, pa.int64()) for f in found], names=["rep", "links", "low"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in unit]
-            new = np.zeros(batch.num_rows, bool)
-            new[0] = True
-            for c in cols:
-                new[1:] |= c[1:] != c[:-1]
-            cut = np.append(np.flatnonzero(new), batch.num_rows)
-            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
-                this = tuple(int(c[a]) for c in cols)
-                if last is not None and this != last:
-                    if sum(h.num_rows for h in held) > 1:
-                        yield flush()
-                    held.clear()
-                last = this
-                held.append(batch.slice(a, b - a))
-        if held and sum(h.num_rows for h in held) > 1:
-            yield flush()
-
-    return map_arrow(units.repartition(*unit).sortWithinPartitions(*unit), run, "rep long, links long, low long")
+    return map_arrow(units.repartition(*UNIT).sortWithinPartitions(*UNIT), run, "rep long, links long, low long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("label").cast("int").alias("label"))
+    # Floats stay floats on the way; products are taken in double precision.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("embedding"), F.col("label").cast("int").alias("label"))
     fit = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull() & F.exists("embedding", lambda v: v != 0)
     told = rows.withColumn("fit", fit)
-    same = stored(told.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
+    grouped = told.where("fit").groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
+    # Numbered where they are written; everything else reads the written rows.
+    same = stored(grouped.withColumn("rep", F.monotonically_increasing_id()))
     found = stored(links(stored(hashed(same.select("rep", "label", "n", "embedding"))), threshold, block))
-    joined = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
+    joined = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b"))).withColumnRenamed("node", "rep")
     summed = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    facts = same.join(summed, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "label", "embedding", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    linked = same.select("rep", "least").join(summed, "rep", "left").join(joined, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = linked.groupBy("component").agg(F.min("least").alias("component_id"))
+    facts = linked.join(named, "component").select("rep", F.coalesce("links", F.lit(0)).alias("links"), "component_id")
+    facts = same.select("rep", "label", "embedding", "n").join(facts, "rep").select("label", "embedding", (F.col("n") - 1 + F.col("links")).alias("n_links"), "component_id")
     fitted = told.where("fit").join(facts, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     alone = told.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return fitted.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

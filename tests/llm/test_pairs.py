@@ -187,6 +187,27 @@ def test_embeddings_of_odd_rows(spark):
     assert embedding_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_rows_that_repeat_a_vec_id_have_their_own_links(spark):
+    one, two = np.eye(8)[0], np.eye(8)[1]
+    near = lambda v, k: (v + 0.05 * np.eye(8)[k]).tolist()
+    rows = [(7, one.tolist(), 1), (7, two.tolist(), 1), (8, near(one, 4), 1), (9, near(two, 5), 1), (9, near(two, 5), 1), (3, near(two, 6), 2)]
+    df = spark.createDataFrame([(*r, 1, "r") for r in rows], VECTORS)
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.near_duplicates(df).collect())
+    assert got == [(3, 0, 3, True), (7, 1, 7, True), (7, 2, 7, True), (8, 1, 7, False), (9, 2, 7, False), (9, 2, 7, False)]
+
+
+def test_sketches_leave_no_near_pair_out():
+    rng = np.random.default_rng(2)
+    for dim in (1, 3, 64):
+        x = rng.standard_normal((500, dim))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y = x + rng.standard_normal((500, dim)) * 0.2 / np.sqrt(dim)
+        y /= np.linalg.norm(y, axis=1)[:, None]
+        a, b = (embedding_dedup._sketches(v).reshape(-1, 1).view(np.int8).astype(float) for v in (x, y))
+        near = (x * y).sum(axis=1) >= 0.98
+        assert near.any() and (np.linalg.norm(a - b, axis=1)[near] <= embedding_dedup._reach(0.98)).all()
+
+
 @pytest.mark.parametrize("blocks", [(1024, 8192), (3, 40)])
 def test_search_matches_brute_force(spark, blocks):
     rows = _vectors(np.random.default_rng(8), 300, dim=24)
