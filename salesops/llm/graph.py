@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """Adds ``number``, each row's place from 0 in the order of the columns: rows are dealt into ranges and numbered in each, and one row a range tells how many come before it."""
+    ranged = stored(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = sizes.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
+    return ranged.withColumn("number", inside - 1).join(before, "__range").withColumn("number", F.col("number") + F.col("__before")).drop("__range", "__before")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of the links (a, b), as rows (node, component) of every node but the smallest of each component, which names it.
 

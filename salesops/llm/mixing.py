@@ -1,6 +1,10 @@
 """Mixing sources to target weights by entropy balancing.
 
-Sources share a budget of words by weight, none above a cap.  Inside a source
+Sources share a budget of words by weight, none above a cap.  The capped shares
+come from one threshold: each source takes the smaller of its cap and its
+weight times the threshold, which rises until the shares add up to the budget.
+
+Inside a source
 every document gets a rate, a mean number of copies between 0 and ``CAP``.  The
 rates minimise the entropy distance from one copy of each document, the sum of
 rate * log(rate) + (CAP - rate) * log((CAP - rate) / (CAP - 1)), under the
@@ -9,28 +13,32 @@ solution tilts the rates exponentially: rate = CAP / (1 + (CAP - 1) *
 exp(-multiplier * size / mean size)).  The multiplier is 0 only where the target
 is the source's own words.  Newton steps on the log odds of the words taken run
 for all sources at once, kept inside the bracket that the steps before left: a
-step is one grouped sum over (source, size) counts.
+step is one grouped sum over (source, size) counts, joined with the multipliers.
 
 Whole copies come from the rates by a phase in [0, 1) hashed from the row:
 copies = floor(rate + phase + shift).  The shift of each source is found by
-grouped sums at many shifts at once, narrowing three times, and a last
-correction adds or drops one copy of the document that comes nearest to what is
-left.  No sort, window or list over a source is taken: a source with a third of
-all rows is summed in parts like any other.
+grouped sums at many shifts at once, narrowing three times, so that the words taken
+stay at or below the target, and a last correction adds one copy of the document
+that brings them nearest to it.  No sort, window or list over a source is taken: a
+source with a third of all rows is summed in parts like any other.
+
+Sources' values (sizes, targets, multipliers, shifts) are small Spark tables, written
+at each step; the driver gets numbers of rows and the threshold's sums only, so
+there may be a source for every site.  Sums are taken in whole numbers and decimals, so
+that reruns agree to the last digit.
 
 Defined results: null and empty texts have size 0 and take 0 words.  A null
 source is a source of its own, last in order.  Rows with a null doc_id or
 repeating one are documents of their own.  A source without words has target 0.
+Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from salesops.llm.graph import stored
+from salesops.llm.graph import numbered, stored
 
 WEIGHTS = (5, 2, 1)
 BUDGET = 1.5
@@ -38,10 +46,6 @@ CAP = 2
 #: Newton steps before halvings of the bracket take over, and the part of a target that words may miss it by.
 NEWTON_STEPS, TOLERANCE = 12, 1e-7
 SHIFTS, NARROWINGS = 64, 3
-#: Most sources whose values are broadcast; beyond it they are joined by shuffle.
-BROADCAST_SOURCES = 100_000
-
-
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words) and phase of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -49,34 +53,38 @@ def sized(docs: DataFrame) -> DataFrame:
     return rows.withColumn("phase", F.pmod(F.xxhash64(F.lit(17), "doc_id", "key"), F.lit(1 << 32)) / float(1 << 32))
 
 
-def share(sizes: list[int], weights: list[float], budget: float, cap: float = CAP) -> list[float]:
-    """Targets by weight, each at most ``cap`` times its size; the excess goes to the others by weight until none is above."""
-    out, open_ = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0]
-    left = budget
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if unit * weights[i] > cap * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = unit * weights[i]
-            break
-        for i in over:
-            out[i] = float(cap * sizes[i])
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+def _joined(df: DataFrame, small: DataFrame) -> DataFrame:
+    """Joins one row per source (column ``of``)."""
+    return df.join(small, F.col("source").eqNullSafe(F.col("of"))).drop("of")
 
 
-def targets(rows: DataFrame) -> DataFrame:
-    """source, source_size, mean size and target of every source.
+def threshold(sources: DataFrame, budget: float, cap: float = CAP) -> float:
+    """The number by which weights become shares, each at most ``cap`` times its source's size, that add up to ``budget``; sources: weight, source_size.
 
-    The driver holds one row per source, the list that the weights are given for."""
-    held = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
-    held.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be")))
-    sizes = [r["source_size"] for r in held]
-    found = share(sizes, [float(WEIGHTS[i % len(WEIGHTS)]) for i in range(len(held))], BUDGET * sum(sizes))
-    table = [(r["source"], r["source_size"], r["source_size"] / r["n"] or 1.0, t) for r, t in zip(held, found, strict=True)]
-    return rows.sparkSession.createDataFrame(table, "source string, source_size long, mean double, target double")
+    Newton steps on the sum of the shares, which is made of straight pieces that flatten: from below, a step per capped group of sources."""
+    least, last = 0.0, -1.0
+    limit = F.col("source_size") * F.lit(float(cap))
+    while least > last:
+        last = least
+        over = limit <= F.col("weight") * F.lit(last)
+        r = sources.where("source_size > 0").agg(F.sum(F.when(over, limit)).alias("taken"), F.sum(F.when(~over, F.col("weight"))).alias("weight")).first()
+        if not r["weight"]:
+            break
+        least = max(last, (budget - (r["taken"] or 0.0)) / r["weight"])
+    return least
+
+
+def targets(counted: DataFrame) -> DataFrame:
+    """of (the source), source_size, mean size and target of every source; counted: source, size, n."""
+    held = counted.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n"))
+    last = F.col("source").isNull()
+    weights = F.element_at(F.array(*(F.lit(float(w)) for w in WEIGHTS)), (F.col("number") % len(WEIGHTS) + 1).cast("int"))
+    ranked = stored(numbered(held, last, "source").withColumn("weight", weights))
+    total = ranked.agg(F.sum("source_size")).first()[0] or 0
+    unit = threshold(ranked, BUDGET * total)
+    share = F.least(F.col("source_size") * float(CAP), F.col("weight") * F.lit(unit))
+    mean = F.when(F.col("source_size") > 0, F.col("source_size") / F.col("n")).otherwise(1.0)
+    return ranked.select(F.col("source").alias("of"), "source_size", mean.alias("mean"), share.alias("target"))
 
 
 def _rate(multiplier: Column) -> Column:
@@ -85,86 +93,71 @@ def _rate(multiplier: Column) -> Column:
     return F.when(F.col("fill") >= 1, float(CAP)).when(F.col("fill") <= 0, 0.0).otherwise(CAP / (1 + (CAP - 1) * F.exp(-x)))
 
 
-def _per_source(df: DataFrame, small: DataFrame, n: int) -> DataFrame:
-    """Joins one row per source (column ``of``), ``n`` rows in all."""
-    small = F.broadcast(small) if n <= BROADCAST_SOURCES else small
-    return df.join(small, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-
-
-def _with(df: DataFrame, values: dict, name: str) -> DataFrame:
-    """Adds a per-source value."""
-    small = df.sparkSession.createDataFrame(list(values.items()) or [(None, 0.0)], f"of string, {name} double")
-    return _per_source(df, small, len(values))
+def _sum(value: Column) -> Column:
+    """Sum whose order does not matter."""
+    return F.sum(value.cast("decimal(38,12)")).cast("double")
 
 
-def _next(value: float, low: float, high: float, goal: float, top: float, words: float, slope: float, newton: bool) -> float:
+def _next(newton: bool) -> Column:
     """A Newton step on the log odds of the words taken, or where that leaves the bracket its middle (twice as far where it is open)."""
-    if newton and slope > 0 and 0 < words < top:
-        step = (math.log(goal / (top - goal)) - math.log(words / (top - words))) * words * (top - words) / (slope * top)
-        if low < value + step < high:
-            return value + step
-    if math.isinf(low):
-        return min(2 * high, high - 1)
-    if math.isinf(high):
-        return max(2 * low, low + 1)
-    return (low + high) / 2
-
-
-def multipliers(counted: DataFrame, goals: dict[str | None, float], steps: int = NEWTON_STEPS) -> dict[str | None, float]:
-    """Solves the dual; counted: source, size, n, fill, mean."""
-    value, bracket = dict.fromkeys(goals, 0.0), dict.fromkeys(goals, (-math.inf, math.inf))
-    open_, done = counted.where("fill > 0 and fill < 1"), 0
-    r, words = _rate(F.col("multiplier")), F.col("n") * F.col("size")
-    sums = (F.sum(words * r).alias("words"), F.sum(words * r * (1 - r / CAP) * F.col("size") / F.col("mean")).alias("slope"), (CAP * F.sum(words)).alias("top"))
-    while True:
-        off = False
-        for s in _with(open_, value, "multiplier").groupBy("source").agg(*sums).collect():
-            name, goal = s["source"], goals[s["source"]]
-            if abs(goal - s["words"]) <= TOLERANCE * max(goal, 1.0):
-                continue
-            low, high = bracket[name] = (value[name], bracket[name][1]) if s["words"] < goal else (bracket[name][0], value[name])
-            new = _next(value[name], low, high, goal, s["top"], s["words"], s["slope"], done < steps)
-            # A bracket without a number between its ends is as near as numbers come.
-            if low < new < high:
-                value[name], off = new, True
-        if not off:
-            return value
+    value, low, high, goal, top, words, slope = (F.col(c) for c in ("multiplier", "low", "high", "target", "top", "words", "slope"))
+    odds = lambda w: F.log(w / (top - w))
+    inside = F.when(newton & (slope > 0) & (words > 0) & (words < top), value + (odds(goal) - odds(words)) * words * (top - words) / (slope * top))
+    end = F.lit(float("inf"))
+    other = F.when(low == -end, F.least(2 * high, high - 1)).when(high == end, F.greatest(2 * low, low + 1)).otherwise((low + high) / 2)
+    return F.when((inside > low) & (inside < high), inside).otherwise(other)
+
+
+def multipliers(counted: DataFrame, told: DataFrame, steps: int = NEWTON_STEPS) -> DataFrame:
+    """of and multiplier of every source; counted: source, size, n; told: of, target, mean, fill."""
+    end = F.lit(float("inf"))
+    begin = told.select("of", "target", "mean", "fill", F.lit(0.0).alias("multiplier"), (-end).alias("low"), end.alias("high"))
+    whole = begin.where("fill <= 0 or fill >= 1").select("of", "multiplier")
+    open_, found, done = stored(begin.where("fill > 0 and fill < 1")), whole, 0
+    r, words = _rate(F.col("multiplier")), (F.col("n") * F.col("size")).cast("double")
+    sums = (_sum(words * r).alias("words"), _sum(words * r * (1 - r / CAP) * F.col("size") / F.col("mean")).alias("slope"), (CAP * _sum(words)).alias("top"))
+    while not open_.isEmpty():
+        state = _joined(counted, open_).groupBy("source").agg(*sums, *(F.first(c).alias(c) for c in ("target", "mean", "fill", "multiplier", "low", "high")))
+        under = F.col("words") < F.col("target")
+        state = state.withColumn("low", F.when(under, F.col("multiplier")).otherwise(F.col("low"))).withColumn("high", F.when(under, F.col("high")).otherwise(F.col("multiplier")))
+        state = state.withColumn("next", F.when(F.abs(F.col("target") - F.col("words")) > TOLERANCE * F.greatest("target", F.lit(1.0)), _next(F.lit(done < steps))))
+        # A bracket without a number between its ends is as near as numbers come.
+        state = stored(state.withColumn("next", F.when((F.col("next") > F.col("low")) & (F.col("next") < F.col("high")), F.col("next"))).withColumnRenamed("source", "of"))
+        found = found.unionByName(state.where("next is null").select("of", "multiplier"))
+        open_ = state.where("next is not null").select("of", "target", "mean", "fill", F.col("next").alias("multiplier"), "low", "high")
         done += 1
+    return stored(found)
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, key (xxhash64 of the text), size, source_size, target, rate, copies, taken."""
     rows = stored(sized(docs))
-    told = targets(rows)
-    facts = {r["source"]: r for r in told.collect()}
-    goals = {s: r["target"] for s, r in facts.items()}
-    rows = _per_source(rows, told.withColumnRenamed("source", "of"), len(facts))
-    rows = rows.withColumn("fill", F.when(F.col("source_size") > 0, F.col("target") / (CAP * F.col("source_size"))).otherwise(0.0))
-    counted = stored(rows.groupBy("source", "size", "fill", "mean").agg(F.count("*").alias("n")))
-    rated = stored(_with(rows, multipliers(counted, goals), "multiplier").withColumn("rate", _rate(F.col("multiplier"))).drop("multiplier", "fill", "mean"))
+    counted = stored(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    told = stored(targets(counted).withColumn("fill", F.when(F.col("source_size") > 0, F.col("target") / (CAP * F.col("source_size"))).otherwise(0.0)))
+    facts = told.join(multipliers(counted, told).withColumnRenamed("of", "in"), F.col("of").eqNullSafe(F.col("in"))).drop("in")
+    rated = stored(_joined(rows, facts).withColumn("rate", _rate(F.col("multiplier"))).drop("multiplier", "fill", "mean"))
 
     def copies(shift: Column) -> Column:
         whole = F.floor(F.col("rate") + F.col("phase") + shift)
         return F.when(F.col("rate") >= CAP, CAP).when(F.col("rate") <= 0, 0).otherwise(F.greatest(F.lit(0), F.least(F.lit(CAP), whole))).cast("long")
 
     # Words taken only grow with the shift, so the last of the shifts that stays at or below the target is kept.
-    shift, step = dict.fromkeys(goals, -1.0), 2.0 / SHIFTS
+    shifts, step = stored(told.select("of", F.col("target").alias("goal"), F.lit(-1.0).alias("shift"))), 2.0 / SHIFTS
     for _ in range(NARROWINGS):
         tried = [F.sum(copies(F.col("shift") + i * step) * F.col("size")).alias(f"w{i}") for i in range(SHIFTS)]
-        for r in _with(rated, shift, "shift").groupBy("source").agg(*tried).collect():
-            fits = [i for i in range(SHIFTS) if r[f"w{i}"] <= goals[r["source"]]]
-            shift[r["source"]] += (fits[-1] if fits else 0) * step
+        sums = _joined(rated, shifts).groupBy("source").agg(F.first("goal").alias("goal"), F.first("shift").alias("shift"), *tried)
+        fits = sum((F.col(f"w{i}") <= F.col("goal")).cast("int") for i in range(SHIFTS))
+        shifts = stored(sums.select(F.col("source").alias("of"), "goal", (F.col("shift") + F.greatest(fits - 1, F.lit(0)) * step).alias("shift")))
         step /= SHIFTS
-    taken = _with(rated, shift, "shift").withColumn("copies", copies(F.col("shift"))).drop("shift")
-    sums = taken.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words")).collect()
-    left = {r["source"]: goals[r["source"]] - r["words"] for r in sums}
+    taken = stored(_joined(rated, shifts).withColumn("copies", copies(F.col("shift"))).drop("shift", "goal"))
+    words = taken.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("words"), F.first("target").alias("goal"))
+    left = words.select(F.col("source").alias("of"), (F.col("goal") - F.col("words")).alias("left"))
     # One more copy of the row whose size is nearest to what is left, where that comes nearer.
-    more = _with(taken, left, "left").where(f"copies < {CAP} and size > 0 and abs(left - size) < abs(left) and rate > 0")
+    more = _joined(taken, left).where(f"copies < {CAP} and size > 0 and abs(left - size) < abs(left) and rate > 0")
     who = F.struct(F.abs(F.col("left") - F.col("size")).alias("off"), F.col("doc_id"), F.col("key"))
-    best = more.groupBy("source").agg(F.min(who).alias("best")).select(F.col("source").alias("of"), F.col("best.doc_id").alias("of_id"), F.col("best.key").alias("of_key"))
+    best = stored(more.groupBy("source").agg(F.min(who).alias("best")).select(F.col("source").alias("of"), F.col("best.doc_id").alias("of_id"), F.col("best.key").alias("of_key")))
     hit = F.col("source").eqNullSafe(F.col("of")) & F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("key") == F.col("of_key"))
-    best = taken.sparkSession.createDataFrame(best.collect(), best.schema)  # at most one row per source
-    fixed = taken.join(F.broadcast(best) if len(facts) <= BROADCAST_SOURCES else best, hit, "left").withColumn("copies", F.least(F.lit(CAP), F.col("copies") + F.col("of_key").isNotNull().cast("long")))
+    fixed = taken.join(best, hit, "left").withColumn("copies", F.least(F.lit(CAP), F.col("copies") + F.col("of_key").isNotNull().cast("long")))
     return fixed.select("doc_id", "source", "key", "size", "source_size", "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 

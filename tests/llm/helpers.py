@@ -46,3 +46,18 @@ def classes(ids, links):
                 root[a] = root[b] = low
                 changed = True
     return root
+
+
+def share(sizes, weights, budget, cap=2):
+    """Targets by weight, each at most ``cap`` times its size; the excess goes to the others by weight until none is above."""
+    out, open_, left = [0.0] * len(sizes), [i for i, s in enumerate(sizes) if s > 0], budget
+    while open_:
+        unit = left / sum(weights[i] for i in open_)
+        over = [i for i in open_ if unit * weights[i] > cap * sizes[i]]
+        for i in over or open_:
+            out[i] = float(cap * sizes[i]) if over else unit * weights[i]
+        if not over:
+            break
+        left -= sum(out[i] for i in over)
+        open_ = [i for i in open_ if i not in set(over)]
+    return out

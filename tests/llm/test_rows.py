@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from salesops.llm import html_text, mixing, packing, quality, sharding, toxicity
-from tests.llm.helpers import frame, prose, words
+from tests.llm.helpers import frame, prose, share, words
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -48,10 +48,30 @@ def test_shards_of_few_or_no_rows(spark):
     assert sorted((r["doc_id"], r["size"], r["slot"]) for r in got) == [(1, 1, 0), (2, 2, got[0]["slot"] if got[0]["doc_id"] == 2 else got[1]["slot"])]
 
 
-def test_share_moves_excess_by_weight():
-    assert mixing.share([100, 100, 100], [5, 2, 1], 450) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert mixing.share([10, 1000, 0], [5, 2, 1], 1515) == [20.0, 1495.0, 0.0]
-    assert mixing.share([], [], 0) == []
+def test_share_moves_excess_by_weight(spark):
+    assert share([100, 100, 100], [5, 2, 1], 450) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
+    assert share([10, 1000, 0], [5, 2, 1], 1515) == [20.0, 1495.0, 0.0]
+    assert share([], [], 0) == []
+    rng = random.Random(3)
+    for n in (0, 1, 3, 40):
+        names = sorted(f"s{rng.randrange(10**6)}é" for _ in range(n))
+        sizes = [int(rng.paretovariate(0.4)) % 10**6 * (rng.random() < 0.9) for _ in names]
+        # A source's size comes in two counted sizes.
+        counted = spark.createDataFrame([(s, z, 1) for s, z in zip(names, sizes, strict=True)] + [(s, 0, 2) for s in names] + [(None, 5, 7)] * (n > 0), "source string, size long, n long")
+        got = {r["of"]: (r["source_size"], r["target"]) for r in mixing.targets(counted).collect()}
+        every = [*names, *([None] if n else [])]
+        full = [*sizes, *([35] if n else [])]
+        want = share(full, [(5, 2, 1)[i % 3] for i in range(len(every))], 1.5 * sum(full))
+        assert got == {s: (z, pytest.approx(w)) for s, z, w in zip(every, full, want, strict=True)}
+
+
+def test_many_sources(spark):
+    """A source for every site: fifty thousand of them, a third of all rows in one."""
+    n = 75_000
+    docs = spark.range(n).selectExpr("id doc_id", "repeat('w ', cast(1 + id * 7919 % 23 as int)) text", "'en' lang", "case when id < 25000 then 'site0' else concat('site', id) end source", "0L n_chars")
+    got = mixing.mix(docs)
+    r = got.selectExpr("count(*) n", "count(distinct source) sources", "sum(taken) taken", "sum(size) size", "max(taken - 2 * size) over").first()
+    assert (r["n"], r["sources"], r["over"]) == (n, 50_001, 0) and abs(r["taken"] / r["size"] - 1.5) < 0.15
 
 
 def test_mix_comes_near_its_targets(spark):
@@ -63,7 +83,7 @@ def test_mix_comes_near_its_targets(spark):
     for _, t, s in rows:
         total[s] += len(words(t))
     names = sorted((s for s in total if s is not None), key=lambda s: s.encode("utf-32-be")) + [None]
-    want = dict(zip(names, mixing.share([total[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(total.values())), strict=True))
+    want = dict(zip(names, share([total[s] for s in names], [(5, 2, 1)[i % 3] for i in range(len(names))], 1.5 * sum(total.values())), strict=True))
     taken = Counter()
     for r in got:
         assert 0 <= r["taken"] <= 2 * r["size"] and r["source_size"] == total[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
