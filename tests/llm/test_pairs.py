@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from salesops.llm import bagminhash, embedding_dedup, near_dup, substring_dedup, text, topk
+from salesops.llm import bagminhash, embedding_dedup, graph, near_dup, substring_dedup, text, topk
 from salesops.llm.graph import components
 from tests.llm.helpers import bag, classes, frame, jaccard, prose, words
 
@@ -61,6 +61,26 @@ def test_components_name_the_smallest(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_large_star_and_a_path(spark):
+    """A hub of 100,000 links meets no single task; a path takes rounds."""
+    star = spark.range(100_000).selectExpr("cast(500000 + id as long) a", "7L b")
+    path = spark.range(300).selectExpr("cast(id * 3 + 1000 as long) a", "cast(id * 3 + 1003 as long) b")
+    other = spark.range(50).selectExpr("cast(1000000 - id as long) a", "cast(2000000 + id as long) b")
+    got = components(star.union(path).union(other).union(spark.createDataFrame([(2000000, 1000)], "a long, b long")))
+    sizes = {r["component"]: r["n"] for r in got.groupBy("component").count().withColumnRenamed("count", "n").collect()}
+    assert sizes[7] == 100_000 and sizes[1000] == 302 and sum(sizes.values()) == 100_000 + 302 + 49
+
+
+def test_least_of_hubs_and_others(spark):
+    rows = spark.range(5000).selectExpr("if(id % 2 = 0, -1, id) k", "id * 37 % 1009 v", "id")
+    got = {r["id"]: r["m"] for r in graph.with_least(rows, "k", "v", 5000).collect()}
+    want, least = {}, {}
+    for r in rows.collect():
+        least[r["k"]] = min(least.get(r["k"], 10**9), r["v"])
+        want[r["id"]] = r["k"]
+    assert got == {i: least[k] for i, k in want.items()}
+
+
 def _near_rows():
     rng = random.Random(4)
     rows, i = [], 100
