@@ -42,6 +42,20 @@ def test_shards_hold_near_equal_bytes(spark):
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
 
 
+def test_shards_of_repeated_rows_and_small_parts(spark):
+    """A third of the rows is one row many times; parts are as small as asked."""
+    rows = [(5, "same text", "s")] * 400 + [(None, "x" * 50, "s")] * 300 + [(i, "y" * (i % 90), "s") for i in range(500)]
+    for part_bytes in (200, 1 << 31):
+        got = sharding.shard(frame(spark, rows), ranges=8, part_bytes=part_bytes).collect()
+        assert Counter((r["doc_id"], r["size"]) for r in got) == Counter((i, len(t) + 1) for i, t, _ in rows)
+        sums, slots = Counter(), {}
+        for r in got:
+            sums[r["shard"]] += r["size"]
+            slots.setdefault(r["shard"], []).append(r["slot"])
+        assert all(abs(sums[k] - sum(sums.values()) / 16) <= 91 for k in range(16))
+        assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
 def test_shards_of_few_or_no_rows(spark):
     assert sharding.shard(frame(spark, [])).count() == 0
     got = sharding.shard(frame(spark, [(1, None), (2, "x")]), shards=2).collect()
