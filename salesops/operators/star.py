@@ -21,9 +21,9 @@ A row whose value condition fails only adds 0 to ``all_v``.  So each child is
 read within the date span that holds its filter and its condition (pushed to
 the scan).  Whether it has any other row matters only for keys whose maximum
 inside is negative or NULL and of which the span shows no other row; that is asked
-of the two columns key and date, for these keys alone: rows beyond their lowest
-and highest are dropped at the scan, a semi join picks the keys, and adaptive
-execution leaves the look out where no key needs it.
+of the two columns key and date, for these keys alone and for all children in one
+pass: a semi join with the keys that ask drops the rows before they are shuffled,
+and adaptive execution leaves the pass out where no key asks.
 """
 
 from __future__ import annotations
@@ -36,10 +36,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-#: Above every key.
-_HIGHEST = "\U0010ffff"
-
-
 @dataclass(frozen=True)
 class Child:
     """One achievement table: its filter branch, its value condition, the
@@ -56,35 +52,23 @@ class Child:
 
 
 def child_stats(child: Child, key: str = "bd") -> DataFrame:
-    """Per key: ``hit``, and ``all``/``match`` maxima of every value."""
+    """Per key, of the rows in the span: ``hit``, the maxima ``in`` (inside the condition) and ``match`` of every
+    value, and whether it has ``some`` rows inside and any ``out``side."""
     n = child.name
     near = child.df if child.span is None else child.df.where(child.span)
     inside = F.coalesce(child.cond, F.lit(False))
-    aggs = [F.max(F.coalesce(child.pred, F.lit(False)).cast("int")).alias(f"{n}_hit"), F.count_if(inside).alias("__in"),
-            F.count_if(~inside).alias("__out")]
+    aggs = [F.max(F.coalesce(child.pred, F.lit(False)).cast("int")).alias(f"{n}_hit")]
     for vname, v in child.values.items():
         aggs.append(F.max(F.when(inside, v)).alias(f"{n}_in_{vname}"))
         aggs.append(F.max(F.when(child.pred, F.when(inside, v).otherwise(F.lit(0)))).alias(f"{n}_match_{vname}"))
-    stats = near.groupBy(key).agg(*aggs)
-    if child.span is None:
-        alone = F.col("__out") == 0
-    else:
-        # the 0 of a row outside the condition shows where a maximum inside is negative or NULL
-        low = reduce(Column.__or__, [F.coalesce(F.col(f"{n}_in_{v}") < 0, F.lit(True)) for v in child.values])
-        asked = stats.where(low & (F.col("__in") > 0) & (F.col("__out") == 0)).select(F.col(key).alias("__star_k"))
-        least = asked.agg(F.coalesce(F.min("__star_k"), F.lit(_HIGHEST))).scalar()
-        most = asked.agg(F.coalesce(F.max("__star_k"), F.lit(""))).scalar()
-        outside = child.df.where(~inside & F.col(key).between(least, most))
-        other = outside.join(asked, F.col(key) == F.col("__star_k"), "left_semi").select(F.col(key).alias("__star_o")).distinct()
-        stats = stats.join(other, F.col(key) == F.col("__star_o"), "left")
-        alone = F.col("__star_o").isNull() & (F.col("__out") == 0)
-    alone = alone & (F.col("__in") > 0)
-    cols = [F.col(key), F.col(f"{n}_hit")]
-    for vname in child.values:
-        top = F.col(f"{n}_in_{vname}")
-        cols.append(F.when(alone, top).otherwise(F.greatest(top, F.lit(0))).alias(f"{n}_all_{vname}"))
-        cols.append(F.col(f"{n}_match_{vname}"))
-    return stats.select(*cols)
+    aggs.append((F.count_if(inside) > 0).alias(f"{n}_some"))
+    aggs.append((F.count_if(~inside) > 0).alias(f"{n}_out"))
+    return near.groupBy(key).agg(*aggs)
+
+
+def _outside(child: Child, key: str) -> DataFrame:
+    """Keys of the child's rows outside its condition, with its name."""
+    return child.df.where(~F.coalesce(child.cond, F.lit(False))).select(F.col(key).alias("__star_o"), F.lit(child.name).alias("__star_c"))
 
 
 def star_max(keys: DataFrame, children: Sequence[Child], key: str = "bd") -> DataFrame:
@@ -97,12 +81,28 @@ def star_max(keys: DataFrame, children: Sequence[Child], key: str = "bd") -> Dat
     for ch in children:
         out = out.join(child_stats(ch, key), key, "left")
     hit = {ch.name: F.coalesce(F.col(f"{ch.name}_hit") == 1, F.lit(False)) for ch in children}
-    any_hit = reduce(Column.__or__, hit.values())
+    out = out.where(reduce(Column.__or__, hit.values()))
+    # the 0 of a row outside the condition shows where a maximum inside is negative or NULL
+    asks = []
+    for ch in children:
+        if ch.span is not None:
+            low = reduce(Column.__or__, [F.coalesce(F.col(f"{ch.name}_in_{v}") < 0, F.lit(True)) for v in ch.values])
+            asks.append(F.when(low & F.col(f"{ch.name}_some") & ~F.col(f"{ch.name}_out"), F.lit(ch.name)))
+    other = {ch.name: F.lit(False) for ch in children}
+    if asks:
+        asked = out.select(F.col(key).alias("__star_k"), F.explode(F.array_compact(F.array(*asks))).alias("__star_n"))
+        outside = reduce(DataFrame.unionByName, [_outside(ch, key) for ch in children if ch.span is not None])
+        met = outside.join(asked, (F.col("__star_o") == F.col("__star_k")) & (F.col("__star_c") == F.col("__star_n")), "left_semi")
+        found = met.groupBy("__star_o").agg(F.collect_set("__star_c").alias("__star_f"))
+        out = out.join(found, F.col(key) == F.col("__star_o"), "left")
+        other = {ch.name: F.coalesce(F.array_contains("__star_f", ch.name), F.lit(False)) for ch in children}
     cols = [F.col(c) for c in keys.columns]
     for ch in children:
-        other_hit = reduce(Column.__or__, [h for n, h in hit.items() if n != ch.name])
+        n = ch.name
+        other_hit = reduce(Column.__or__, [h for m, h in hit.items() if m != n], F.lit(False))
+        alone = F.col(f"{n}_some") & ~F.col(f"{n}_out") & ~other[n]
         for vname in ch.values:
-            all_v = F.when(F.col(f"{ch.name}_hit").isNull(), F.lit(0)).otherwise(F.col(f"{ch.name}_all_{vname}"))
-            cols.append(F.when(other_hit, all_v)
-                        .otherwise(F.col(f"{ch.name}_match_{vname}")).alias(f"{ch.name}_{vname}"))
-    return out.where(any_hit).select(*cols)
+            top = F.col(f"{n}_in_{vname}")
+            all_v = F.when(F.col(f"{n}_hit").isNull(), F.lit(0)).when(alone, top).otherwise(F.greatest(top, F.lit(0)))
+            cols.append(F.when(other_hit, all_v).otherwise(F.col(f"{n}_match_{vname}")).alias(f"{n}_{vname}"))
+    return out.select(*cols)
